@@ -56,7 +56,7 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
 def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hashes of the sequences [start, end) under prefix(), the same at any position."""
     inverse = powers(len(sums), pow(base, -1, 2**64))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + np.asarray(ends - starts).astype(U64))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,39 +119,47 @@ class Words:
         return at, out
 
 
-def byte_windows(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all byte strings of so many bytes, at every position where one fits."""
-    if len(data) < size:
-        return np.zeros(0, U64)
-    at = np.arange(len(data) - size + 1)
-    return spans(prefix(_BYTE[data], _BASE), at, at + size, _BASE)
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    return prefix(_BYTE[data], _BASE)
+
+
+def byte_spans(sums: np.ndarray, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings of so many bytes that begin at starts, under byte_sums()."""
+    return spans(sums, starts, starts + size, _BASE)
 
 
 def cover(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of n places lie in one of the windows that begin at starts."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + size, n), -1)
-    return np.cumsum(step[:-1]) > 0
+    begun = np.zeros(n + 1, np.int32)
+    begun[1:][starts] = 1
+    begun = np.cumsum(begun, dtype=np.int32)
+    return begun[1:] > np.concatenate([np.zeros(min(size, n), np.int32), begun[1 : n + 1 - size]])
+
+
+def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of 64-bit values each hash is in."""
+    return (((hashes >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
 
 
 class Keys:
-    """The distinct keys of a batch in ascending order, with the places at which each occurs.
+    """The distinct keys of a batch in order of bucket and hash, with the places where each occurs.
 
-    A bucket is a range of hash values, so the keys are in bucket order too. `hashes` belong to
-    rows whose document values do not decrease; places keep that order, so the first place of a
-    key is in its smallest document.
+    A bucket is a range of hash values unless the bucket of each place is given. `hashes` belong
+    to rows whose document values do not decrease; places keep that order, so the first place of
+    a key is in its smallest document.
     """
 
-    def __init__(self, hashes: np.ndarray, buckets: int):
-        self.order = np.argsort(hashes, kind="stable")
+    def __init__(self, hashes: np.ndarray, buckets: int, bucket: np.ndarray | None = None):
+        self.order = np.argsort(hashes, kind="stable") if bucket is None else np.lexsort((hashes, bucket))
         ordered = hashes[self.order]
         new = np.ones(len(ordered), bool)
         np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        if bucket is not None:
+            new[1:] |= np.diff(bucket[self.order]) != 0
         self.at = np.flatnonzero(new)
         self.until = np.append(self.at[1:], len(ordered))
         self.keys = ordered[self.at]
-        self.buckets = buckets
+        self.bucket = ranges(self.keys, buckets) if bucket is None else self.first(bucket)
 
     def first(self, values: np.ndarray) -> np.ndarray:
         """Of each key, the value at its first place."""
@@ -165,9 +173,8 @@ class Keys:
 
     def parts(self):
         """(bucket, slice of its keys) of each bucket that has keys."""
-        bucket = ((self.keys >> U64(32)) * U64(self.buckets)) >> U64(32)
-        found, at = np.unique(bucket, return_index=True)
-        for b, lo, hi in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+        found, at = np.unique(self.bucket, return_index=True)
+        for b, lo, hi in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(self.bucket)], strict=True):
             yield b, slice(lo, hi)
 
     def spread(self, values: np.ndarray) -> np.ndarray:
