@@ -10,7 +10,10 @@ chunks below has the same exchange, which Spark reuses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a null id counts as: larger than every other.
@@ -38,3 +41,26 @@ def by_bucket(messages: DataFrame, answer, schema: str) -> DataFrame:
 
 def with_answers(chunked: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is
+    unset, as in tests on one machine, below the checkpoint folder of the context or a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, and there for any executor."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most so many rows; else as it is, for
+    a shuffled join. For narrow rows only: df should be cheap to compute again, or written."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
