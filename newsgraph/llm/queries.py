@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgraph.llm import minhash, mixing, substring_dedup, suffix_dedup
+from newsgraph.llm import minhash, mixing, quality, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_line_model(docs, table(spark, sf_dir, "labels"))
+    return quality.judge_quality(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -32,6 +38,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality_rules": op5_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
