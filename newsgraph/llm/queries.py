@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgraph.llm import minhash, mixing, quality, substring_dedup, suffix_dedup
+from newsgraph.llm import html_text, minhash, mixing, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -34,12 +38,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(urls, url_filter.fit(url_filter.weak_labels(urls)))
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {}
