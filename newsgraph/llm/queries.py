@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsgraph.llm import html_text, minhash, mixing, quality, substring_dedup, suffix_dedup, url_filter
+from newsgraph.llm import html_text, minhash, mixing, quality, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -49,8 +55,20 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op6_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) b from pages),
+        q as (select page_id, octet_length(b) n, sha1(b) d from p),
+        h as (select d, n, max(page_id) head from q where n >= 1000 group by d, n having count(*) > 1)
+        select page_id, n::bigint as payload_bytes, d as payload_digest,
+               case when head is not null and head <> page_id then 'revisit' else 'response' end as record_type,
+               case when head <> page_id then head end as refers_to
+        from q left join h using (d, n)""",
+}
