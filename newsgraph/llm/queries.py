@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import html_text, minhash, mixing, quality, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from newsgraph.llm import decontaminate, html_text, minhash, mixing, quality, secrets, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("n_windows").cast("long").alias("n_windows"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
