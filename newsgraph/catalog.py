@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from newsgraph.operators import clusters, entities, normalize, read, score, search, tables  # noqa: F401
+from newsgraph.registry import ORACLE, QUERIES
+from newsgraph.streaming import jobs  # noqa: F401
+
+__all__ = ["ORACLE", "QUERIES"]
