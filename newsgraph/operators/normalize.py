@@ -1 +1,302 @@
-"""To come."""
+"""Column steps that turn feed entries and pages into articles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from newsgraph.operators.read import AS_OF, at
+from newsgraph.registry import Tables, query
+
+_ITEM = "title string, link string, guid string, description string, pubDate string, category array<string>"
+
+
+def read_feed_entries(snapshots: DataFrame) -> DataFrame:
+    """One row for each <item> that parses, of (source_name, raw_content); a broken item or a cut
+    feed costs only itself."""
+    items = snapshots.select("source_name", F.explode(F.regexp_extract_all("raw_content", F.lit(r"(?s)(<item[ >].*?</item>)"), F.lit(1))).alias("raw"))
+    parsed = items.select("source_name", F.from_xml("raw", _ITEM, {"mode": "PERMISSIVE"}).alias("x"))
+    return parsed.select("source_name", "x.*").filter("title is not null or link is not null")
+
+
+@query("A1_feed_entries", "select 'src' || (page_id % 20) as source_name, 'Page ' || page_id as title, replace(url, '&', '+') as link from pages where page_id % 9 <> 4")
+def _(t: Tables) -> DataFrame:
+    close = F.when(F.col("page_id") % 9 == 4, "").otherwise("</item>")  # a cut feed
+    raw = F.concat(F.lit("<rss><channel><item><title>Page "), "page_id", F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("+")), F.lit("</link>"), close)
+    snapshots = t.pages.select(F.concat(F.lit("src"), F.col("page_id") % 20).alias("source_name"), raw.alias("raw_content"))
+    return read_feed_entries(snapshots).select("source_name", "title", "link")
+
+
+def unescape(c: Column) -> Column:
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = F.replace(c, F.lit(safe), F.lit(raw))
+    return c
+
+
+def normalize_entries(entries: DataFrame) -> DataFrame:
+    """Entries with a title and a link: unescaped, trimmed, cut to 500 and 2048; guid is id or link."""
+    title, link = F.trim(unescape(F.col("title"))), F.trim("link")
+    out = entries.withColumn("title", F.left(title, F.lit(500))).withColumn("source_url", F.left(link, F.lit(2048)))
+    out = out.filter("title <> '' and source_url <> ''").withColumn("guid", F.coalesce(F.nullif("id", F.lit("")), "source_url"))
+    return out.withColumn("slug", slug(F.col("title"), F.col("guid")))
+
+
+@query(
+    "N1_normalize_entries",
+    """select left(trim(replace(text, '&amp;', '&')), 500) as title, case when doc_id % 2 = 0 then doc_id::varchar else 'http://x/' || doc_id end as guid
+    from documents where trim(text) <> '' and doc_id % 10 <> 3""",
+)
+def _(t: Tables) -> DataFrame:
+    link = F.when(F.col("doc_id") % 10 != 3, F.concat(F.lit("http://x/"), "doc_id"))
+    entries = t.documents.select(F.col("text").alias("title"), link.alias("link"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("").alias("id"))
+    return normalize_entries(entries).select("title", "guid")
+
+
+def strip_markup(html: Column) -> Column:
+    """Text without comments, scripts, styles and tags; runs of white space become one space."""
+    plain = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "<[^>]*>", " "), r"[ \t\n\r\x0b\f]+", " "))
+
+
+@query(
+    "N2_strip_markup",
+    r"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\x0b\f]+', ' ', 'g')) as body from pages""",
+)
+def _(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", strip_markup(F.col("html")).alias("body"))
+
+
+def slug(title: Column, guid: Column) -> Column:
+    """Lower-case words of the title by hyphens (cut at 200) and 8 digits of the guid's SHA-256."""
+    words = F.regexp_replace(F.lower(unescape(title)), r"(?U)[^\w\s-]", "")
+    hyphens = F.regexp_replace(F.trim(words), r"(?U)[\s_-]+", "-")
+    return F.concat(F.left(hyphens, F.lit(200)), F.lit("-"), F.substring(F.sha2(guid, 256), 1, 8))
+
+
+@query(
+    "N3_slug",
+    r"select doc_id, left(regexp_replace(trim(regexp_replace(lower(p), '[^\p{L}\p{M}\p{N}\s_-]', '', 'g')), '[\s_-]+', '-', 'g'), 200) || '-' || left(sha256(doc_id::varchar), 8) as slug from (select doc_id, left(split_part(text, chr(10), 1), 80) as p from documents)",
+)
+def _(t: Tables) -> DataFrame:
+    title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))
+    return t.documents.select("doc_id", slug(title, F.col("doc_id").cast("string")).alias("slug"))
+
+
+def url_hash(url: Column) -> Column:
+    return F.substring(F.sha2(url, 256), 1, 16)
+
+
+@query("N4_url_hash", "select page_id, left(sha256(url), 16) as source_url_hash from pages")
+def _(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", url_hash(F.col("url")).alias("source_url_hash"))
+
+
+def clean_excerpt(text: Column) -> Column:
+    """Without a syndication footer; text that ends within a sentence is cut at the last end of one
+    if at least max(60, 40 %) of it stays, else it gets an ellipsis."""
+    body = F.trim(F.regexp_replace(text, r"(?is)\s*The post .{0,300} (appeared first on|first appeared on) .{0,200}$", ""))
+    cut = F.regexp_extract(body, r"(?s)^(.*[.!?])(?:\s|$)", 1)
+    least = F.greatest(F.lit(60), F.length(body) * 2 / 5)
+    return F.when(body.rlike(r"[.!?…]$") | (body == ""), body).when(F.length(cut) >= least, cut).otherwise(F.concat(body, F.lit("…")))
+
+
+@query(
+    "N5_excerpt",
+    r"""with b as (select doc_id, trim(left(replace(text, chr(10), ' '), 200)) as body from documents), c as (select *, regexp_extract(body, '(?s)^(.*[.!?])(?:\s|$)', 1) as cut from b)
+    select doc_id, case when regexp_matches(body, '[.!?…]$') or body = '' then body when length(cut) >= greatest(60, length(body) * 2 / 5) then cut else body || '…' end as excerpt from c""",
+)
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", clean_excerpt(F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(200))).alias("excerpt"))
+
+
+def choose_content(entries: DataFrame) -> DataFrame:
+    """content: the first of body, summary and title that is not empty; desc from its first 2000."""
+    filled = [F.nullif(F.trim(c), F.lit("")) for c in ("body", "summary", "title")]
+    return entries.withColumn("content", F.coalesce(*filled)).withColumn("desc", F.left("content", F.lit(2000)))
+
+
+@query("N6_content", "select doc_id, coalesce(nullif(trim(case when doc_id % 2 = 0 then text else ' ' end), ''), nullif(lang, 'en'), source) as content from documents")
+def _(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(" ").alias("body"), F.nullif("lang", F.lit("en")).alias("summary"), F.col("source").alias("title"))
+    return choose_content(rows).select("doc_id", "content")
+
+
+def pick_image(entries: DataFrame) -> Column:
+    """Of thumbnail, media image, image enclosure, featured image and first <img>, the first there."""
+    media = F.filter("media_content", lambda m: m["type"].startswith("image"))
+    links = F.filter("links", lambda m: (m["rel"] == "enclosure") & m["type"].startswith("image"))
+    img = F.nullif(F.regexp_extract("content_html", r"(?i)<img[^>]+src=[\"']([^\"']+)", 1), F.lit(""))
+    return F.coalesce(F.get("media_thumbnail", F.lit(0))["url"], F.get(media, F.lit(0))["url"], F.get(links, F.lit(0))["href"], F.nullif("featuredimage", F.lit("")), img)
+
+
+@query(
+    "N7_image",
+    "select page_id, case page_id % 5 when 0 then 'thumb' when 1 then 'media' when 2 then 'link' when 3 then 'featured' else url end as image from pages where not contains(url, '''')",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("page_id") % 5
+    rows = t.pages.filter("not contains(url, \"'\")").select(
+        "page_id",
+        F.when(k == 0, F.array(F.struct(F.lit("thumb").alias("url")))).alias("media_thumbnail"),
+        F.when(k <= 1, F.array(F.struct(F.lit("video/mp4").alias("type"), F.lit("v").alias("url")), F.struct(F.lit("image/png").alias("type"), F.lit("media").alias("url")))).alias("media_content"),
+        F.when(k <= 2, F.array(F.struct(F.lit("enclosure").alias("rel"), F.lit("image/png").alias("type"), F.lit("link").alias("href")))).alias("links"),
+        F.when(k <= 3, "featured").alias("featuredimage"),
+        F.concat(F.lit("<p><img alt='' src='"), "url", F.lit("'>")).alias("content_html"),
+    )
+    return rows.select("page_id", pick_image(rows).alias("image"))
+
+
+PATTERNS = {"cve": r"(?i)CVE-\d{4}-\d{4,7}", "cwe": r"CWE-\d{1,4}", "technique": r"T\d{4}(?:\.\d{3})?", "email": r"[a-z0-9._]+@[a-z0-9.-]+\.[a-z]{2,}"}
+
+
+def extract_ids(text: Column, pattern: str) -> Column:
+    """All matches, distinct, in order of their first."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+@query(
+    "N8_extract",
+    "with m as (select doc_id, unnest(regexp_extract_all(text, '[a-z0-9._]+@[a-z0-9.-]+\\.[a-z]{2,}')) as x, generate_subscripts(regexp_extract_all(text, '[a-z0-9._]+@[a-z0-9.-]+\\.[a-z]{2,}'), 1) as i from documents), f as (select doc_id, x, min(i) as i from m group by 1, 2) select doc_id, string_agg(x, ',' order by i) as found from f group by 1",
+)
+def _(t: Tables) -> DataFrame:
+    found = extract_ids(F.col("text"), PATTERNS["email"])
+    return t.documents.select("doc_id", F.array_join(found, ",").alias("found")).filter("found <> ''")
+
+
+def classify_tags(articles: DataFrame, junk: DataFrame, gazetteer: DataFrame, topics: DataFrame) -> DataFrame:
+    """(slug, keywords, topics): junk tags go, known names become keywords, other tags their topic."""
+    tags = articles.select("slug", F.explode("raw_tags").alias("tag")).distinct().join(junk, "tag", "left_anti")
+    named = tags.join(gazetteer.select("tag", "name"), "tag", "left").join(topics.select("tag", "topic"), "tag", "left")
+    topic = F.when(F.col("name").isNull(), F.col("topic"))
+    found = named.groupBy("slug").agg(F.array_sort(F.collect_set("name")).alias("keywords"), F.array_sort(F.collect_set(topic)).alias("topics"))
+    return articles.select("slug").join(found, "slug", "left")
+
+
+@query(
+    "N9_classify_tags",
+    """with t as (select distinct slug, unnest(raw_tags) as tag from articles), k as (select slug, tag, case when left(tag, 1) in ('a', 'b', 'c') then 'k:' || tag end as name, case when length(tag) > 3 then 'long' else 'short' end as topic from t where tag not in ('the', 'of', 'and', 'la', 'de')),
+    f as (select slug, string_agg(distinct name, ',' order by name) as keywords, string_agg(distinct case when name is null then topic end, ',') as topics, count(distinct case when name is null then topic end) as n from k group by 1)
+    select a.slug, coalesce(keywords, '') as keywords, coalesce(n, 0)::int as n_topics from articles a left join f on a.slug = f.slug""",
+)
+def _(t: Tables) -> DataFrame:
+    tags = t.articles.select(F.explode("raw_tags").alias("tag")).distinct()
+    out = classify_tags(
+        t.articles,
+        tags.filter(F.col("tag").isin("the", "of", "and", "la", "de")),
+        tags.filter(F.left("tag", F.lit(1)).isin("a", "b", "c")).withColumn("name", F.concat(F.lit("k:"), "tag")),
+        tags.withColumn("topic", F.when(F.length("tag") > 3, "long").otherwise("short")),
+    )
+    return out.select("slug", F.coalesce(F.array_join("keywords", ","), F.lit("")).alias("keywords"), F.coalesce(F.size("topics"), F.lit(0)).alias("n_topics"))
+
+
+def profile_body(length: Column, least: Column, from_feed: Column) -> tuple[Column, Column]:
+    """Quality ok / weak (a third of the source's threshold, rounded up) / empty, and where it is from."""
+    quality = F.when(length >= least, "ok").when(length >= F.ceil(least / 3), "weak").otherwise("empty")
+    return quality, F.when(from_feed & (length >= least), "rss-full").otherwise("page")
+
+
+@query(
+    "N10_profile_body",
+    "select slug, case when length(body) >= 1500 then 'ok' when length(body) >= 500 then 'weak' else 'empty' end as quality, case when category = 'en' and length(body) >= 1500 then 'rss-full' else 'page' end as body_source from articles",
+)
+def _(t: Tables) -> DataFrame:
+    quality, source = profile_body(F.length("body"), F.lit(1500), F.col("category") == "en")
+    return t.articles.select("slug", quality.alias("quality"), source.alias("body_source"))
+
+
+def chunk_articles(articles: DataFrame, size: int = 1800) -> DataFrame:
+    """(slug, chunk, text): the title, a slice of the body and the line of entities."""
+    n = F.greatest(F.ceil(F.length("body") / size).cast("int"), F.lit(1))
+    rows = articles.select("slug", "title", "body", "entities", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    part = F.substring(F.col("body"), F.col("chunk") * size + 1, F.lit(size))
+    return rows.select("slug", "chunk", F.concat_ws("\n", "title", part, "entities").alias("text"))
+
+
+@query(
+    "N12_chunks",
+    "select slug, i::int as chunk, sha256(title || chr(10) || substr(body, (i * 1800 + 1)::int, 1800) || chr(10) || array_to_string(raw_tags, ' ')) as text from (select slug, title, body, raw_tags, unnest(range(greatest(ceil(length(body) / 1800.0)::int, 1))) as i from articles)",
+)
+def _(t: Tables) -> DataFrame:
+    return chunk_articles(t.articles.withColumn("entities", F.array_join("raw_tags", " "))).withColumn("text", F.sha2("text", 256))
+
+
+def normalized_key(name: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+@query("N15_key", "select p_partkey as id, trim(regexp_replace(lower(p_type || ' / ' || p_name), '[^a-z0-9]+', '-', 'g'), '-') as normalized_key from part")
+def _(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), normalized_key(F.concat_ws(" / ", "p_type", "p_name")).alias("normalized_key"))
+
+
+def age_label(published: Column, as_of: Column) -> Column:
+    minutes = F.floor((F.unix_micros(as_of) - F.unix_micros(published)) / 60_000_000)
+    hours = F.floor(minutes / 60)
+    return (
+        F.when(minutes < 60, F.concat(minutes, F.lit("m")))
+        .when(hours < 24, F.concat(hours, F.lit("h "), minutes % 60, F.lit("m")))
+        .otherwise(F.concat(F.floor(hours / 24), F.lit("d")))
+    )
+
+
+@query(
+    "N16_age",
+    "with m as (select slug, floor(epoch(timestamp '2024-01-25' - published_at) / 60)::bigint as m from posts where published_at <= timestamp '2024-01-25') select slug, case when m < 60 then m || 'm' when m < 1440 then (m // 60) || 'h ' || (m % 60) || 'm' else (m // 1440) || 'd' end as age from m",
+)
+def _(t: Tables) -> DataFrame:
+    return t.posts.filter(F.col("published_at") <= at(AS_OF)).select("slug", age_label(F.col("published_at").cast("timestamp"), at(AS_OF)).alias("age"))
+
+
+def fetch_outcome(status: Column, error: Column) -> Column:
+    return (
+        F.when(error.contains("timeout"), "timeout").when(error.isNotNull(), "error").when(status == 404, "not_found").when(status.between(400, 499), "blocked")
+        .when(status >= 500, "server").otherwise("ok")
+    )
+
+
+@query(
+    "N17_outcome",
+    "select event_id, case when event_id % 11 = 0 then 'timeout' when event_id % 13 = 0 then 'error' when s = 404 then 'not_found' when s between 400 and 499 then 'blocked' when s >= 500 then 'server' else 'ok' end as outcome from (select event_id, (200 + user_id * 4) as s from events)",
+)
+def _(t: Tables) -> DataFrame:
+    error = F.when(F.col("event_id") % 11 == 0, "read timeout").when(F.col("event_id") % 13 == 0, "reset")
+    return t.events.select("event_id", fetch_outcome(200 + F.col("user_id") * 4, error).alias("outcome"))
+
+
+def apply_glossary(rows: DataFrame, glossary: dict[str, dict[str, str]], text_col: str = "text") -> DataFrame:
+    """Whole-word replacements by language; the glossary is a fixed set of rules."""
+    out = F.col(text_col)
+    for lang, terms in glossary.items():
+        replaced = F.col(text_col)
+        for word, other in terms.items():
+            replaced = F.regexp_replace(replaced, rf"\b{word}\b", other)
+        out = F.when(F.col("lang") == lang, replaced).otherwise(out)
+    return rows.withColumn(text_col, out)
+
+
+@query("N18_glossary", r"select doc_id, sha256(case when lang = 'en' then regexp_replace(regexp_replace(text, '\bthe\b', 'THE', 'g'), '\bof\b', 'OF', 'g') else text end) as text from documents where lang = 'en' or doc_id % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    rows = t.documents.filter("lang = 'en' or doc_id % 2 = 0").select("doc_id", "lang", "text")
+    return apply_glossary(rows, {"en": {"the": "THE", "of": "OF"}}).select("doc_id", F.sha2("text", 256).alias("text"))
+
+
+@query("N20_json", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def _(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+def format_brief(rows: DataFrame) -> DataFrame:
+    """A line for each ranked row: rank, title, at most three CVEs, the score from 7 on, KEV."""
+    cves = F.array_join(F.slice("cve_ids", 1, 3), ", ")
+    score = F.when(F.col("cvss_score") >= 7, F.concat(F.lit("CVSS "), F.format_number("cvss_score", 1)))
+    parts = F.concat_ws(" | ", "title", F.nullif(cves, F.lit("")), score, F.when(F.col("cisa_kev"), "KEV"))
+    return rows.select("rank", F.concat("rank", F.lit(". "), parts).alias("line"))
+
+
+@query(
+    "N19_brief",
+    """select doc_id as rank, doc_id || '. ' || title || case when len(cve_ids) > 0 then ' | ' || array_to_string(cve_ids, ', ') else '' end || case when cvss_score >= 7 then ' | CVSS ' || printf('%.1f', cvss_score) else '' end ||
+    case when content_type = 'kev_catalog' then ' | KEV' else '' end as line from articles""",
+)
+def _(t: Tables) -> DataFrame:
+    return format_brief(t.articles.withColumn("rank", F.col("doc_id")).withColumn("cisa_kev", F.col("content_type") == "kev_catalog"))
