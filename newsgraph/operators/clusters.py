@@ -1 +1,204 @@
-"""To come."""
+"""Grouping articles about one event: candidates, assignment, merges, roll-ups."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from newsgraph.registry import Tables, query
+
+BACK, AHEAD = "30 days", "14 days"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table below spark.checkpoint.dir (a temporary folder where that is unset, as in tests)."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+        top = spark.sparkContext.getCheckpointDir()
+    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def candidates_structured(articles: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(slug, id) that share a key while the cluster is active from 30 days before to 14 after.
+
+    articles: slug, key, published_at; clusters: id, key, latest_at, state.
+    """
+    live = clusters.filter("state <> 'resolved'")
+    window = F.col("latest_at").between(F.col("published_at") - F.expr(f"interval {BACK}"), F.col("published_at") + F.expr(f"interval {AHEAD}"))
+    return articles.join(live, "key").filter(window).select("slug", "id").distinct()
+
+
+@query(
+    "C10_candidates",
+    """with a as (select slug, unnest(raw_tags) as key, published_at from articles where content_type = 'news'), c as (select source_name as id, published_at as latest_at, unnest(raw_tags) as key from articles where content_type = 'kev_catalog')
+    select distinct slug, id from a join c using (key) where length(key) > 3 and latest_at between published_at - interval 30 day and published_at + interval 14 day""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.articles.select("slug", "source_name", "content_type", "published_at", F.explode("raw_tags").alias("key")).filter("length(key) > 3")
+    clusters = rows.filter("content_type = 'kev_catalog'").select(F.col("source_name").alias("id"), "key", F.col("published_at").alias("latest_at"), F.lit("new").alias("state"))
+    return candidates_structured(rows.filter("content_type = 'news'").select("slug", "key", "published_at"), clusters)
+
+
+def merge_pairs(keys: DataFrame) -> DataFrame:
+    """Unordered pairs (a, b) of cluster ids that share a key, once. keys: id, key."""
+    keys = keys.distinct()
+    return keys.join(keys.select(F.col("id").alias("b"), "key"), "key").filter("id < b").select(F.col("id").alias("a"), "b").distinct()
+
+
+@query("C15_merge_pairs", "with k as (select distinct source_name as id, upper(unnest(cve_ids)) as key from articles where content_type = 'ics_advisory') select distinct x.id as a, y.id as b from k x join k y using (key) where x.id < y.id")
+def _(t: Tables) -> DataFrame:
+    keys = t.articles.filter("content_type = 'ics_advisory'").select(F.col("source_name").alias("id"), F.explode(F.transform("cve_ids", F.upper)).alias("key"))
+    return merge_pairs(keys)
+
+
+def route(content_type: Column, roundup: Column) -> Column:
+    return F.when(content_type == "kev_catalog", "annotate").when(roundup, "topics").when(content_type == "product_advisory", "join").otherwise("full")
+
+
+@query("K1_routing", "select slug, case when content_type = 'kev_catalog' then 'annotate' when category = 'fr' then 'topics' when content_type = 'product_advisory' then 'join' else 'full' end as route from articles")
+def _(t: Tables) -> DataFrame:
+    return t.articles.select("slug", route(F.col("content_type"), F.col("category") == "fr").alias("route"))
+
+
+def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, root) of the nodes of edges (a, b): least label of neighbours, then of the label's
+    label, until nothing changes; each round is written, as lineage would grow."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+    for _ in range(rounds):
+        seen = both.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
+        nearer = now.join(seen, "id").select("id", F.least("root", "m").alias("root"), F.col("root").alias("old"))
+        jumped = nearer.join(now.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"), "old")
+        now = written(jumped)
+        if now.filter("root <> old").isEmpty():
+            return now.select("id", "root")
+        now = now.select("id", "root")
+    raise RuntimeError(f"no components after {rounds} rounds")
+
+
+def dedup_by_key(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, survivor): clusters that share keys, in chains too, become the largest of them (ties: least id).
+
+    Members of a key are linked to its least cluster, so a common key costs a link for each.
+    """
+    least = keys.groupBy("key").agg(F.min("id").alias("b"))
+    roots = connected(keys.join(least, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    best = roots.join(sizes, "id").groupBy("root").agg(F.max_by("id", F.struct("n", F.struct(-F.col("id")))).alias("survivor"))
+    return roots.join(best, "root").select("id", "survivor")
+
+
+_COMPONENTS = """with recursive k as (select distinct l_orderkey as id, l_partkey as key from lineitem where l_quantity > 49 and l_discount > 0.05), e as (select distinct x.id as a, y.id as b from k x join k y using (key) where x.id <> y.id),
+    r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as root from r group by 1), s as (select l_orderkey as id, count(*) as n from lineitem group by 1),
+    b as (select id, root, first_value(id) over (partition by root order by n desc, id) as survivor from c join s using (id)) select id, survivor from b"""
+
+
+@query("K12_dedup", _COMPONENTS)
+def _(t: Tables) -> DataFrame:
+    keys = t.lineitem.filter("l_quantity > 49 and l_discount > 0.05").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
+    return dedup_by_key(keys, t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")))
+
+
+@query("K11_absorb", _COMPONENTS.replace("select id, survivor from b", ", m as (select l_orderkey as id, l_partkey as slug from lineitem) select coalesce(survivor, m.id) as id, count(distinct slug) as article_count from m left join b on b.id = m.id group by 1"))
+def _(t: Tables) -> DataFrame:
+    keys = t.lineitem.filter("l_quantity > 49 and l_discount > 0.05").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
+    moved = dedup_by_key(keys, t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")))
+    return absorb(t.members, moved)
+
+
+def absorb(members: DataFrame, moved: DataFrame) -> DataFrame:
+    """Members repointed to the survivors, each article once: (id, article_count)."""
+    repointed = members.join(moved, F.col("cluster_id") == F.col("id"), "left").select(F.coalesce("survivor", "cluster_id").alias("id"), "slug")
+    return repointed.groupBy("id").agg(F.count_distinct("slug").alias("article_count"))
+
+
+def assign(articles: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(slug, cluster) in order of publication, as if one article came after the other.
+
+    edges: earlier, later, score of article pairs that may share a cluster. In each round the
+    articles whose earlier neighbours are all decided are decided together: each joins its
+    best-scoring neighbour that is a seed (ties: the earlier one), else it becomes a seed, or
+    stays out if `may_seed` is false. Fails loudly if the rounds do not suffice.
+    """
+    order = F.struct("published_at", "slug")
+    seq = articles.select("slug", "may_seed", order.alias("o"))
+    todo = written(seq)
+    links = written(edges.join(seq.select(F.col("slug").alias("earlier"), F.col("o").alias("eo")), "earlier"))
+    done = written(seq.select("slug", F.lit("").alias("cluster"), F.lit(False).alias("seed")).limit(0))
+    for _ in range(rounds):
+        waits = links.join(todo.select(F.col("slug").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("slug")).distinct()
+        ready = written(todo.join(waits, "slug", "left_anti"))
+        seeds = done.filter("seed").select(F.col("slug").alias("earlier"), "cluster")
+        best = links.join(seeds, "earlier").groupBy(F.col("later").alias("slug")).agg(F.max_by("cluster", F.struct("score", -F.unix_micros("eo.published_at"))).alias("joined"))
+        made = ready.join(best, "slug", "left").select("slug", F.coalesce("joined", F.when(F.col("may_seed"), F.col("slug"))).alias("cluster"), (F.col("joined").isNull() & F.col("may_seed")).alias("seed"))
+        done = written(done.unionByName(made))
+        todo = written(todo.join(ready.select("slug"), "slug", "left_anti"))
+        if todo.isEmpty():
+            return done.select("slug", "cluster")
+    raise RuntimeError(f"articles are left after {rounds} rounds")
+
+
+@query("K4_assign")
+def _(t: Tables) -> DataFrame:
+    """Articles that share a rare CVE of the catalogue may share a cluster; checked by brute force in the tests."""
+    rows = t.articles.filter("content_type in ('kev_catalog', 'ics_advisory')").select("slug", "published_at", F.lit(True).alias("may_seed"), F.explode_outer("cve_ids").alias("key"))
+    keyed = rows.filter("key like 'CVE%'").select("slug", "published_at", "key")
+    later = keyed.select(F.col("slug").alias("later"), F.col("published_at").alias("l"), "key")
+    edges = keyed.join(later, "key").filter("published_at < l and l < published_at + interval 3 days").groupBy(F.col("slug").alias("earlier"), "later").agg((F.count("*") * 1.0).alias("score"))
+    return assign(rows.select("slug", "published_at", "may_seed").distinct(), edges)
+
+
+def build_clusters(members: DataFrame, articles: DataFrame) -> DataFrame:
+    """All derived fields of clusters from their members: counts, sources, span, categories."""
+    rows = members.join(articles, "slug")
+    return rows.groupBy("cluster_id").agg(
+        F.count_distinct("slug").alias("article_count"), F.count_distinct("source_name").alias("source_count"), F.min("added_at").alias("earliest"), F.max("added_at").alias("latest_at"),
+        F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.max("cvss").alias("max_cvss"),
+    )
+
+
+_BUILD = "select l_orderkey as cluster_id, count(distinct l_partkey) as article_count, count(distinct l_suppkey) as source_count, min(l_shipdate) as earliest, max(l_shipdate) as latest_at, string_agg(distinct p_brand, ',' order by p_brand) as categories, max(p_size) / 5.0 as max_cvss from lineitem join part on p_partkey = l_partkey group by 1"
+
+
+def _facts(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("slug"), F.col("p_brand").alias("category"), (F.col("p_size") / 5.0).alias("cvss"))
+
+
+@query("K5_build", _BUILD)
+def _(t: Tables) -> DataFrame:
+    return build_clusters(t.members, _facts(t))
+
+
+def update_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, touched: DataFrame) -> DataFrame:
+    """The table with the touched clusters built anew from all their members."""
+    fresh = build_clusters(members.join(touched, "cluster_id", "left_semi"), articles)
+    return clusters.join(touched, "cluster_id", "left_anti").unionByName(fresh)
+
+
+@query("K6_update", _BUILD)
+def _(t: Tables) -> DataFrame:
+    old = build_clusters(t.members.filter("place > 1"), _facts(t))
+    return update_clusters(old, t.members, _facts(t), t.members.select("cluster_id").distinct())
+
+
+@query("K14_detail", "select conv_id as cluster_id, count(*) as n, min(turn) as earliest, max(turn) as latest, string_agg(distinct role, ',' order by role) as keywords from conversations group by 1")
+def _(t: Tables) -> DataFrame:
+    c = t.conversations.groupBy(F.col("conv_id").alias("cluster_id"))
+    return c.agg(F.count("*").alias("n"), F.min("turn").alias("earliest"), F.max("turn").alias("latest"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("keywords"))
+
+
+@query("D20_signature", "select slug, array_to_string(list_sort(list(distinct case when type = 'actor' then normalized_key end) filter (type = 'actor')), ',') as actors, case when count(distinct case when type = 'actor' then normalized_key end) > 1 then 'high' when count(distinct normalized_key) > 1 then 'medium' else 'low' end as confidence from mentions group by 1")
+def _(t: Tables) -> DataFrame:
+    return event_signature(t.mentions).withColumn("actors", F.nullif(F.array_join("actors", ","), F.lit("")))
+
+
+def event_signature(mentions: DataFrame) -> DataFrame:
+    """Ordered distinct keys by type and how far they tell the event: two actors, two keys, or less."""
+    out = mentions.groupBy("slug").agg(F.array_sort(F.collect_set(F.when(F.col("type") == "actor", F.col("normalized_key")))).alias("actors"), F.count_distinct("normalized_key").alias("n"))
+    return out.select("slug", "actors", F.when(F.size("actors") > 1, "high").when(F.col("n") > 1, "medium").otherwise("low").alias("confidence"))
