@@ -174,7 +174,8 @@ class Keys:
     def parts(self):
         """(bucket, slice of its keys) of each bucket that has keys."""
         found, at = np.unique(self.bucket, return_index=True)
-        for b, lo, hi in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(self.bucket)], strict=True):
+        until = [*at[1:].tolist(), len(self.bucket)][: len(found)]
+        for b, lo, hi in zip(found.tolist(), at.tolist(), until, strict=True):
             yield b, slice(lo, hi)
 
     def spread(self, values: np.ndarray) -> np.ndarray:
