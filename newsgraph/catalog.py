@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsgraph.operators import clusters, entities, normalize, read, score, search, tables  # noqa: F401
+from newsgraph.operators import clusters, entities, intel, normalize, read, score, search, tables  # noqa: F401
 from newsgraph.registry import ORACLE, QUERIES
 from newsgraph.streaming import jobs  # noqa: F401
 

@@ -5,6 +5,7 @@ The queries run a stream over landed files to its end and return what its sink h
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,43 @@ def _(t: Tables) -> DataFrame:
     clusters = t.posts.groupBy("category").agg((F.min("published_at") + F.expr("interval 20 days")).alias("latest_at"))
     near = F.col("latest_at").between(F.col("published_at") - F.expr("interval 3 days"), F.col("published_at") + F.expr("interval 2 days"))
     return run_to_end(posts(t).join(F.broadcast(clusters), "category").filter(near).select("slug", "category"), "append")
+
+
+def upsert_stream(stream: DataFrame, target: DataFrame) -> DataFrame:
+    """The target after all micro-batches: each inserts what is new. Batches have the number that
+    the checkpoint knows them by and are written under it, so one that runs again adds nothing."""
+    versions = [target]
+
+    def insert(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(["slug"]).join(versions[-1], "slug", "left_anti")
+        versions.append(written(versions[-1].unionByName(fresh.select(*target.columns))))
+
+    checkpoint = written(stream.sparkSession.range(1)).inputFiles()[0].rsplit("/", 1)[0] + "-stream"
+    job = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return versions[-1]
+
+
+@query("Z2_upsert_stream", "select event_id as slug, case when event_id % 2 = 0 then 'old' else event_type end as category from events")
+def _(t: Tables) -> DataFrame:
+    target = t.posts.filter("slug % 2 = 0").select("slug", F.lit("old").alias("category"))
+    return upsert_stream(posts(t).select("slug", "category"), target)
+
+
+def _transitions(key, batches, state):
+    """new -> developing (2) -> confirmed (3): a row for each step, once."""
+    (count,) = state.get if state.exists else (0,)
+    out = []
+    for batch in batches:
+        for _ in range(len(batch)):
+            count += 1
+            if count <= 3:
+                out.append((key[0], ("new", "developing", "confirmed")[count - 1]))
+    state.update((count,))
+    yield pd.DataFrame(out, columns=["source_name", "state"])
+
+
+@query("Z5_lifecycle", "with n as (select user_id as source_name, count(*) as n from events group by 1) select source_name, ['new', 'developing', 'confirmed'][i::int] as state from n, range(1, 4) r(i) where i <= n")
+def _(t: Tables) -> DataFrame:
+    steps = posts(t).groupBy("source_name").applyInPandasWithState(_transitions, "source_name long, state string", "count long", "append", "NoTimeout")
+    return run_to_end(steps, "append")
