@@ -483,7 +483,7 @@ def _(t: Tables) -> DataFrame:
 def launch_check(articles: DataFrame, as_of: str) -> DataFrame:
     """Share of good bodies in the last 7 days (at least half) and of each of the 5 sources of
     highest credibility (at least 0.8): (name, share, passed)."""
-    good = (F.count_if(F.col("body_quality") == "ok") / F.count("*")).alias("share")
+    good = F.try_divide(F.count_if(F.col("body_quality") == "ok"), F.count("*")).alias("share")
     week = articles.filter(F.col("published_at").between(at(as_of) - F.expr("interval 7 days"), at(as_of))).agg(good).select(F.lit("last 7 days").alias("name"), "share", F.lit(0.5).alias("least"))
     best = articles.groupBy("source_name").agg(F.max("credibility_weight").alias("w")).orderBy(F.desc("w"), "source_name").limit(5)
     top = articles.join(F.broadcast(best), "source_name", "left_semi").groupBy(F.col("source_name").alias("name")).agg(good).withColumn("least", F.lit(0.8))
