@@ -493,8 +493,8 @@ def launch_check(articles: DataFrame, as_of: str) -> DataFrame:
 @query(
     "D27_launch_check",
     """with best as (select source_name from articles group by 1 order by max(credibility_weight) desc, 1 limit 5)
-    select 'last 7 days' as name, count(*) filter (body_quality = 'ok') / count(*) as share, share >= 0.5 as passed from articles where published_at between timestamp '2024-01-18' and timestamp '2024-01-25'
-    union all select source_name, count(*) filter (body_quality = 'ok') / count(*) as s, s >= 0.8 from articles where source_name in (select source_name from best) group by 1""",
+    select 'last 7 days' as name, count(*) filter (body_quality = 'ok') / nullif(count(*), 0) as share, share >= 0.5 as passed from articles where published_at between timestamp '2024-01-18' and timestamp '2024-01-25'
+    union all select source_name, count(*) filter (body_quality = 'ok') / nullif(count(*), 0) as s, s >= 0.8 from articles where source_name in (select source_name from best) group by 1""",
 )
 def _(t: Tables) -> DataFrame:
     return launch_check(t.articles, AS_OF)
