@@ -86,8 +86,8 @@ def least_matches(threshold: float, miss: float, n: int) -> list[int]:
     return out
 
 
-def _survivors(batches: Iterator[pa.RecordBatch], bounds: list[int]) -> Iterator[pa.RecordBatch]:
-    """The pairs of signatures that no step of the verification prunes."""
+def _probable(batches: Iterator[pa.RecordBatch], bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    """The pairs of signatures, and whether no step of the verification prunes them."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -97,17 +97,48 @@ def _survivors(batches: Iterator[pa.RecordBatch], bounds: list[int]) -> Iterator
             part = slice(i * STEP, (i + 1) * STEP)
             matches[live] += (left[live, part] == right[live, part]).sum(axis=1)
             live = live[matches[live] >= bound]
-        yield batch.select(["a", "b"]).take(pa.array(live))
+        probable = np.zeros(batch.num_rows, bool)
+        probable[live] = True
+        yield pa.record_batch([batch["a"], batch["b"], pa.array(probable)], ["a", "b", "probable"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each pair (a, b) with its exact verdict and how the set of b differs from that of a: the
+    size of the difference and its first elements, those that only b has before those of a."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
+        linked, sizes, n_diff, first = [], [], [], []
+        for x, y, probable in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), batch["probable"].to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            added, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            both = len(y) - len(added)
+            linked.append(probable and 100 * both >= percent * (len(x) + len(added)))
+            sizes.append(len(y))
+            n_diff.append(len(added) + len(gone))
+            first.append(np.concatenate([added, gone])[: (100 - percent) * len(y) // percent + 1].view(np.int64))
+        columns = [batch["a"], batch["b"], pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n_diff, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+        yield pa.record_batch(columns, ["a", "b", "linked", "n", "n_diff", "first"])
+
+
+_COMPARED = "a binary, b binary, linked boolean, n int, n_diff int, first array<bigint>"
+
+
+def _similar_differences(star: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be linked though one of the two is not linked with their common pivot.
+
+    Let D be the difference of a node's set from the pivot's. Two nodes x and y are linked only
+    if D(x) and D(y) differ in at most (1 - t) / (1 + t) * (|x| + |y|) elements; D of a node that
+    is not linked with the pivot is larger than that bound allows alone, so D(x) and D(y) have
+    at least c > 0 elements in common, and in any fixed order of elements the least common one is
+    among the first |D| - c + 1 of both. Joining on those elements finds every such pair.
+    """
+    open_stars = star.groupBy("a").agg(F.bool_and("linked").alias("done")).filter("not done").select("a")
+    rows = star.join(open_stars, "a", "left_semi").select("a", "b", "linked", "n", "n_diff", F.posexplode("first").alias("at", "e"))
+    other = rows.select("a", "e", *(F.col(c).alias(f"{c}_y") for c in ("b", "linked", "n", "n_diff", "at")))
+    common = F.ceil((F.col("n_diff") + F.col("n_diff_y") - (100 - percent) / (100 + percent) * (F.col("n") + F.col("n_y"))) / 2 - 1e-6)
+    early = (F.col("at") <= F.col("n_diff") - common) & (F.col("at_y") <= F.col("n_diff_y") - common)
+    fits = 100 * F.least("n", "n_y") >= percent * F.greatest("n", "n_y")
+    met = rows.join(other, (rows["a"] == other["a"]) & (rows["e"] == other["e"]) & (F.col("b") < F.col("b_y")) & ~(F.col("linked") & F.col("linked_y")) & early & fits)
+    return met.select(F.col("b").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -117,11 +148,13 @@ def near_duplicates(
 
     Texts with equal sets are one node (partial aggregation, so copies never meet in one task).
     Nodes meet in bands of their MinHash signatures; the number of bands is such that a pair at
-    the threshold is missed with probability `miss` at most. First every node of a band is
-    compared with the band's least node, which is linear; then nodes of a band that are still in
-    different components are compared with each other, if their sizes allow the similarity.
-    Pairs are compared STEP hash values at a time and dropped when the posterior probability of
-    the similarity falls below `miss`; the rest is confirmed on the whole sets (64-bit hashes).
+    the threshold is missed with probability `miss` at most. Every node of a band is compared
+    with the band's least node, its pivot, which is linear. Two nodes that are not both linked
+    with their pivot are compared if their differences from the pivot have an early element in
+    common, which any linked pair has (see _similar_differences); so the pairs within a band are
+    never made. Pairs are compared STEP hash values at a time and dropped when the posterior
+    probability of the similarity falls below `miss`; the rest is confirmed on the whole sets
+    (64-bit hashes).
 
     Returns doc_id, n_shingles, component_id (least id of the component), kept (doc_id is it),
     one row for each row of docs. Null or empty text, or no word: no shingles, no link. Null id:
@@ -142,33 +175,27 @@ def near_duplicates(
     full = rows.groupBy("band").agg(F.min("print").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = exchange.written(rows.join(full, "band"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of pairs a < b: those that are linked."""
-        sig = nodes.select("print", "signature")
+    # The shingle sets of the nodes that meet others. Rows with equal ids differ in their texts:
+    # the set that belongs to a node has its print.
+    wanted = exchange.written(met.select("print").distinct().join(nodes.select("print", "id"), "print"))
+    found = texts.join(exchange.small(wanted.select("id").distinct()), "id", "left_semi")
+    sets = found.mapInArrow(lambda it: _with_print(it, words), "print binary, shingles binary")
+    sets = exchange.written(sets.join(exchange.small(wanted.select("print")), "print", "left_semi").dropDuplicates(["print"]))
+    bounds = least_matches(t, miss, n)
+
+    def compared(pairs: DataFrame, only_probable: bool) -> DataFrame:
+        """Pairs after the verification on signatures, confirmed on the sets."""
         for x in "ab":
-            pairs = pairs.join(sig.select(F.col("print").alias(x), F.col("signature").alias(f"sig_{x}")), x)
-        bounds = least_matches(t, miss, n)
-        pairs = exchange.written(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _survivors(it, bounds), "a binary, b binary"))
-        wanted = exchange.written(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(nodes.select("print", "id"), "print"))
-        found = texts.join(exchange.small(wanted.select("id").distinct()), "id", "left_semi")
-        # Rows with equal ids differ in their texts: the set that belongs to a node has its print.
-        sets = found.mapInArrow(lambda it: _with_print(it, words), "print binary, shingles binary")
-        sets = exchange.written(sets.join(exchange.small(wanted.select("print")), "print", "left_semi").dropDuplicates(["print"]))
+            pairs = pairs.join(nodes.select(F.col("print").alias(x), F.col("signature").alias(f"sig_{x}")), x)
+        pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _probable(it, bounds), "a binary, b binary, probable boolean")
+        pairs = exchange.written(pairs.filter("probable") if only_probable else pairs)
         for x in "ba":
             pairs = pairs.join(sets.select(F.col("print").alias(x), F.col("shingles").alias(f"set_{x}")), x)
-        return exchange.written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _linked(it, percent), "a binary, b binary"))
-
-    first = met.filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct()
-    linked = links(first)
-    label = components.connected_components(linked)
-    labelled = met.join(label.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("band")
-    apart = labelled.join(mixed, "band").select("band", "print", "component", "n_shingles", "pivot")
-    other = apart.select("band", F.col("print").alias("b"), F.col("component").alias("of_b"), F.col("n_shingles").alias("size_b"), F.col("pivot").alias("p"))
-    sizes = (100 * F.least("n_shingles", "size_b") >= percent * F.greatest("n_shingles", "size_b"))
-    second = apart.join(other, "band").filter((F.col("print") < F.col("b")) & (F.col("component") != F.col("of_b")) & (F.col("print") != F.col("p")) & sizes)
-    more = links(second.select(F.col("print").alias("a"), "b").distinct())
-    label = components.connected_components(linked.unionByName(more))
+        return exchange.written(pairs.select("a", "b", "probable", "set_a", "set_b").mapInArrow(lambda it: _compared(it, percent), _COMPARED))
+
+    star = compared(met.filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct(), False)
+    more = compared(_similar_differences(star, percent), True)
+    label = components.connected_components(star.unionByName(more).filter("linked").select("a", "b"))
     least = label.withColumnRenamed("node", "print").join(owner, "print")
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
     known = owner.join(label.withColumnRenamed("node", "print"), "print", "left").join(whole, "component", "left")
