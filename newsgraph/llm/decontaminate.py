@@ -31,14 +31,15 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(units, F.lit(TOKEN), F.lit(0))
 
 
-def window_hashes(template_tokens: Column, doublings: int = 3) -> Column:
-    """Hashes of all windows of 2 ** doublings tokens, by joining neighbours over and over."""
-    out = F.transform(template_tokens, lambda t: F.xxhash64(t))
+def with_window_hashes(df: DataFrame, template_tokens: str, doublings: int = 3) -> DataFrame:
+    """Add hashes: those of all windows of 2 ** doublings tokens, by joining neighbours over and
+    over. Each step is a column of its own, as a step uses the one before several times."""
+    df = df.withColumn("_h0", F.transform(template_tokens, lambda t: F.xxhash64(t)))
     for i in range(doublings):
-        step = 2**i
-        shorter = F.greatest(F.size(out) - step, F.lit(0))
-        out = F.zip_with(F.slice(out, 1, shorter), F.slice(out, step + 1, shorter), lambda a, b: F.xxhash64(a, b))
-    return out
+        step, last = 2**i, f"_h{i}"
+        df = df.withColumn("_n", F.greatest(F.size(last) - step, F.lit(0)))
+        df = df.withColumn(f"_h{i + 1}", F.zip_with(F.slice(last, F.lit(1), F.col("_n")), F.slice(last, F.lit(step + 1), F.col("_n")), lambda a, b: F.xxhash64(a, b))).drop("_n", last)
+    return df.withColumnRenamed(f"_h{doublings}", "hashes")
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -54,8 +55,8 @@ def benchmark_windows(items: DataFrame, doublings: int = 3, literals: int = 5, i
     are not placeholders, with the ids of their items."""
     size = 2**doublings
     parsed = items.select(F.col(id_col).alias("item"), template(F.col(text_col)).alias("t"), tokens(F.col(text_col)).alias("r"))
-    parsed = parsed.withColumn("h", window_hashes(F.col("t"), doublings))
-    rows = parsed.select("item", "t", "r", F.posexplode("h").alias("at", "hash"))
+    parsed = with_window_hashes(parsed, "t", doublings)
+    rows = parsed.select("item", "t", "r", F.posexplode("hashes").alias("at", "hash"))
     rows = rows.select("item", "hash", F.slice("t", F.col("at") + 1, size).alias("template"), F.slice("r", F.col("at") + 1, size).alias("raw"))
     rows = rows.filter(F.size(F.filter("template", lambda t: ~_is_slot(t))) >= literals)
     return rows.groupBy("hash", "template", "raw").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -77,7 +78,8 @@ def leaks(docs: DataFrame, items: DataFrame, doublings: int = 3, literals: int =
     2 ** doublings tokens of an item, with the same words and slots that correspond one to one."""
     size = 2**doublings
     known = exchange.written(benchmark_windows(items, doublings, literals))
-    rows = docs.select(*_key(id_col, text_col), F.posexplode(window_hashes(template(F.col(text_col)), doublings)).alias("at", "hash"))
+    parsed = with_window_hashes(docs.select(*_key(id_col, text_col), template(F.col(text_col)).alias("_t")), "_t", doublings)
+    rows = parsed.select("_k1", "_k2", F.posexplode("hashes").alias("at", "hash"))
     # A semi join first: as many rows as windows come in, few go on.
     hits = exchange.written(rows.join(exchange.small(known.select("hash").distinct()), "hash", "left_semi").distinct())
     per_row = hits.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
