@@ -15,6 +15,8 @@ from newsgraph.llm import blocks, components, exchange
 #: Hash values of a signature that a band has, and that one step of the verification compares.
 BAND = 5
 STEP = 20
+#: Rounds in which what is left of each band gets another pivot.
+PIVOTS = 2
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -122,22 +124,27 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 _COMPARED = "a binary, b binary, linked boolean, n int, n_diff int, first array<bigint>"
 
 
-def _similar_differences(star: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may be linked though one of the two is not linked with their common pivot.
+def _similar_differences(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that may be linked though not both are linked with their pivot.
 
     Let D be the difference of a node's set from the pivot's. Two nodes x and y are linked only
     if D(x) and D(y) differ in at most (1 - t) / (1 + t) * (|x| + |y|) elements; D of a node that
     is not linked with the pivot is larger than that bound allows alone, so D(x) and D(y) have
     at least c > 0 elements in common, and in any fixed order of elements the least common one is
-    among the first |D| - c + 1 of both. Joining on those elements finds every such pair.
+    among the first |D| - c + 1 of both. Joining on those elements finds every such pair; only
+    elements that nodes of two components have are joined.
     """
     open_stars = star.groupBy("a").agg(F.bool_and("linked").alias("done")).filter("not done").select("a")
-    rows = star.join(open_stars, "a", "left_semi").select("a", "b", "linked", "n", "n_diff", F.posexplode("first").alias("at", "e"))
-    other = rows.select("a", "e", *(F.col(c).alias(f"{c}_y") for c in ("b", "linked", "n", "n_diff", "at")))
+    named = star.join(open_stars, "a", "left_semi").join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    rows = exchange.written(named.select("a", "b", "component", "linked", "n", "n_diff", F.posexplode("first").alias("at", "e")))
+    several = rows.groupBy("a", "e").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a", "e")
+    rows = exchange.written(rows.join(several, ["a", "e"], "left_semi"))
+    other = rows.select("a", "e", *(F.col(c).alias(f"{c}_y") for c in ("b", "component", "linked", "n", "n_diff", "at")))
     common = F.ceil((F.col("n_diff") + F.col("n_diff_y") - (100 - percent) / (100 + percent) * (F.col("n") + F.col("n_y"))) / 2 - 1e-6)
     early = (F.col("at") <= F.col("n_diff") - common) & (F.col("at_y") <= F.col("n_diff_y") - common)
     fits = 100 * F.least("n", "n_y") >= percent * F.greatest("n", "n_y")
-    met = rows.join(other, (rows["a"] == other["a"]) & (rows["e"] == other["e"]) & (F.col("b") < F.col("b_y")) & ~(F.col("linked") & F.col("linked_y")) & early & fits)
+    apart = (F.col("b") < F.col("b_y")) & (F.col("component") != F.col("component_y"))
+    met = rows.join(other, (rows["a"] == other["a"]) & (rows["e"] == other["e"]) & apart & early & fits)
     return met.select(F.col("b").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
@@ -149,10 +156,10 @@ def near_duplicates(
     Texts with equal sets are one node (partial aggregation, so copies never meet in one task).
     Nodes meet in bands of their MinHash signatures; the number of bands is such that a pair at
     the threshold is missed with probability `miss` at most. Every node of a band is compared
-    with the band's least node, its pivot, which is linear. Two nodes that are not both linked
-    with their pivot are compared if their differences from the pivot have an early element in
-    common, which any linked pair has (see _similar_differences); so the pairs within a band are
-    never made. Pairs are compared STEP hash values at a time and dropped when the posterior
+    with the band's least node, its pivot, which is linear; what is not connected with it gets
+    another pivot, twice. Nodes that are still apart are compared if their differences from the
+    first pivot have an early element in common, which any linked pair has (see
+    _similar_differences); so the pairs within a band are never made. Pairs are compared STEP hash values at a time and dropped when the posterior
     probability of the similarity falls below `miss`; the rest is confirmed on the whole sets
     (64-bit hashes).
 
@@ -194,8 +201,19 @@ def near_duplicates(
         return exchange.written(pairs.select("a", "b", "probable", "set_a", "set_b").mapInArrow(lambda it: _compared(it, percent), _COMPARED))
 
     star = compared(met.filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct(), False)
-    more = compared(_similar_differences(star, percent), True)
-    label = components.connected_components(star.unionByName(more).filter("linked").select("a", "b"))
+    links = star.filter("linked").select("a", "b")
+    label = exchange.written(components.connected_components(links))
+    for _ in range(PIVOTS):
+        # What of a band is not with its pivot gets another one, so that groups far from it are joined too.
+        named = met.join(label.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+        named = named.join(label.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot")), "pivot", "left")
+        met = exchange.written(named.filter(F.col("component") != F.coalesce("of_pivot", "pivot")).select("band", "print", "n_shingles"))
+        met = met.join(met.groupBy("band").agg(F.min("print").alias("pivot")), "band")
+        next_star = compared(met.filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct(), True)
+        links = links.unionByName(next_star.filter("linked").select("a", "b"))
+        label = exchange.written(components.connected_components(links))
+    more = compared(_similar_differences(star, label, percent), True)
+    label = components.connected_components(links.unionByName(more.filter("linked").select("a", "b")))
     least = label.withColumnRenamed("node", "print").join(owner, "print")
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
     known = owner.join(label.withColumnRenamed("node", "print"), "print", "left").join(whole, "component", "left")
