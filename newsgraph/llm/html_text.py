@@ -33,8 +33,11 @@ BESIDE = re.compile(
     r"replies|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|teaser|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
-#: Containers of which one holds the article.
+#: Containers of which one encloses the article.
 REGIONS = frozenset("article main section div body td".split())
+#: On the scale of log1p(characters outside links for each tag): what a line beside an article or
+#: main element lacks, and what is prose anyhow, so that a page of prose only is not split.
+PRIOR, PROSE = 1.0, float(np.log1p(25))
 
 
 class _Lines(HTMLParser):
@@ -152,33 +155,29 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     size = np.array([max(0, len(text) - linked) for text, _, linked, _ in lines], float)
     ratio = size / np.maximum(1, [tags for _, tags, _, _ in lines])
     smooth = np.log1p(smoothed(ratio, sigma))
-    content = smooth >= threshold(smooth) if len(lines) > 1 else np.ones(1, bool)
-    # The region of the article: an article or main element, else the innermost that has most of the content.
-    weight = np.zeros(page.regions + 1)
-    named = np.zeros(page.regions + 1)
+    # An article or main element is a prior: beside one, a line needs more for its tags.
     chains = []
-    for (_, _, _, region), n, good in zip(lines, size, content, strict=True):
-        chain = {region}
+    for _, _, _, region in lines:
+        chain = [region]
         while region:
             region = page.parent[region]
-            chain.add(region)
+            chain.append(region)
         chains.append(chain)
-        for r in chain:
-            weight[r] += n * good
-            if page.kind[r] in ("article", "main"):
-                named[r] += n
-    if named.max() > 0:
-        best = _innermost(page, named, "article") if any(page.kind[r] == "article" and named[r] for r in range(len(named))) else _innermost(page, named, "main")
-    else:
-        best = max((r for r in range(len(weight)) if weight[r] >= 0.8 * weight.max()), default=0)
+    named = np.array([any(page.kind[r] in ("article", "main") for r in chain) for chain in chains])
+    prior = np.where(named, 0.0, PRIOR) if named.any() else np.zeros(len(lines))
+    smooth, own = smooth - prior, np.log1p(size / 2) - prior
+    cut = min(threshold(smooth), PROSE) if len(lines) > 1 else -np.inf
+    # Smoothing lifts what stands next to the article; a line that selects is above the cut by itself
+    # too, with the two tags of a paragraph, as those of the containers around it say nothing of it.
+    content = (smooth >= cut) & (own >= cut)
+    if not content.any():
+        content = smooth >= cut
+    # The smallest region that encloses all content lines, taken as a whole.
+    common = set.intersection(*(set(chain) for chain, good in zip(chains, content, strict=True) if good))
+    best = next(r for r in chains[int(np.argmax(content))] if r in common)
     return "\n".join(text for (text, _, _, _), chain in zip(lines, chains, strict=True) if best in chain)
 
 
-def _innermost(page: _Lines, weight: np.ndarray, kind: str) -> int:
-    """The heaviest region of the kind; of equals the first, which encloses the others."""
-    return max((r for r in range(len(weight)) if page.kind[r] == kind), key=lambda r: (weight[r], -r))
-
-
 def _extracted(batches: Iterator[pa.RecordBatch], html_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x) for x in batch[html_col].to_pylist()]
@@ -190,8 +189,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace the HTML of every page by its main text and n_chars, the code points of that.
 
     Events of the streaming parser give lines (blocks) with their text-to-tag ratio; smoothing
-    and a threshold between two clusters mark content lines, and the region with the content is
-    kept as a whole, without elements that stand beside an article by their name, class, id or
+    and a threshold between two clusters mark content lines, and the smallest region that encloses
+    all of them is kept as a whole (article and main elements are a prior), without elements that stand beside an article by their name, class, id or
     role. Null or empty HTML, or nothing found: empty text. Columns of pages named text and
     n_chars are replaced. One pass, no shuffle.
     """

@@ -247,6 +247,18 @@ def test_html_edges(spark):
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_html_article_in_parts():
+    """Several article elements, a lead beside a body, and an article element that holds little."""
+    a, b, c = (" ".join(f"{x}{i} of the story" for i in range(25)) + "." for x in "abc")
+    lead = a[:120].strip()
+    links = "<div><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div>"
+    assert html_text.main_text(f"<body><article><p>{a}</article><article><p>{b}</article></body>") == f"{a}\n{b}"
+    assert html_text.main_text(f"<body>{links}<main><article><p>{a}<p>{b}</article><article><p>{c}</article></main></body>") == f"{a}\n{b}\n{c}"
+    assert html_text.main_text(f"<body>{links}<div><div><p>{lead}</div><div><p>{a} {b} {c}<p>{b}<p>{c} {a}</div></div></body>") == f"{lead}\n{a} {b} {c}\n{b}\n{c} {a}"
+    assert html_text.main_text(f"<body><article><p>hi</article><div><p>{a} {b}<p>{c}</div></body>").endswith(f"{a} {b}\n{c}")
+    assert html_text.main_text(f"<body><div>Share this</div><article><p>{a}<p>{b}</article><div>Read on</div></body>") == f"{a}\n{b}"
+
+
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/71?x", "http://a.b.example.com/en/8#t", "ftp://x.net", "http://x.net/de/", "http://net/de/8", "http://anet/de/8", "://org/es/q", "http://日本/ü"]
     frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id int, url string, host string")
