@@ -31,15 +31,11 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(units, F.lit(TOKEN), F.lit(0))
 
 
-def with_window_hashes(df: DataFrame, template_tokens: str, doublings: int = 3) -> DataFrame:
-    """Add hashes: those of all windows of 2 ** doublings tokens, by joining neighbours over and
-    over. Each step is a column of its own, as a step uses the one before several times."""
-    df = df.withColumn("_h0", F.transform(template_tokens, lambda t: F.xxhash64(t)))
-    for i in range(doublings):
-        step, last = 2**i, f"_h{i}"
-        df = df.withColumn("_n", F.greatest(F.size(last) - step, F.lit(0)))
-        df = df.withColumn(f"_h{i + 1}", F.zip_with(F.slice(last, F.lit(1), F.col("_n")), F.slice(last, F.lit(step + 1), F.col("_n")), lambda a, b: F.xxhash64(a, b))).drop("_n", last)
-    return df.withColumnRenamed(f"_h{doublings}", "hashes")
+def with_window_hashes(df: DataFrame, template_tokens: str, sizes: list[int]) -> DataFrame:
+    """A row (at, hash) for each place and size, with the hash of so many tokens from there on."""
+    df = df.withColumn("_n", F.size(template_tokens)).withColumn("_size", F.explode(F.array(*map(F.lit, sizes))))
+    df = df.filter("_n >= _size").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_size"))))
+    return df.withColumn("hash", F.xxhash64(F.slice(template_tokens, F.col("at") + 1, F.col("_size")))).drop("_n", "_size", template_tokens)
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -51,52 +47,62 @@ def _is_slot(t: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, doublings: int = 3, literals: int = 5, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, template, raw, items): the distinct windows that hold at least `literals` words that
-    are not placeholders, with the ids of their items."""
+    """(hash, start, whole, n, template, raw, items): the distinct windows that hold at least
+    `literals` words that are not placeholders, with the ids of their items; of an item without
+    such a window its whole template, of n tokens. whole is the hash of all n tokens and hash that
+    of the first `start` of them, the largest power of two, so documents are hashed at few sizes."""
     size = 2**doublings
-    parsed = items.select(F.col(id_col).alias("item"), template(F.col(text_col)).alias("t"), tokens(F.col(text_col)).alias("r"))
-    parsed = with_window_hashes(parsed, "t", doublings)
-    rows = parsed.select("item", "t", "r", F.posexplode("hashes").alias("at", "hash"))
-    rows = rows.select("item", "hash", F.slice("t", F.col("at") + 1, size).alias("template"), F.slice("r", F.col("at") + 1, size).alias("raw"))
-    rows = rows.filter(F.size(F.filter("template", lambda t: ~_is_slot(t))) >= literals)
-    return rows.groupBy("hash", "template", "raw").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = items.select(F.col(id_col).alias("item"), template(F.col(text_col)).alias("t"), tokens(F.col(text_col)).alias("r")).filter("size(t) > 0")
+    part = lambda i: F.struct(F.slice("t", i + 1, size).alias("template"), F.slice("r", i + 1, size).alias("raw"))
+    rows = rows.withColumn("w", F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(0), F.size("t") - size), part)).otherwise(F.array().cast("array<struct<template:array<string>,raw:array<string>>>")))
+    rows = rows.withColumn("w", F.filter("w", lambda w: F.size(F.filter(w["template"], lambda t: ~_is_slot(t))) >= literals))
+    rows = rows.withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.struct(F.col("t").alias("template"), F.col("r").alias("raw")))))
+    rows = rows.select("item", F.explode("w").alias("w")).select("item", "w.*").withColumn("n", F.size("template"))
+    rows = rows.withColumn("start", F.expr("shiftleft(1, length(bin(n)) - 1)"))
+    rows = rows.select("item", F.xxhash64(F.slice("template", F.lit(1), F.col("start"))).alias("hash"), "start", F.xxhash64("template").alias("whole"), "n", "template", "raw")
+    return rows.groupBy("hash", "start", "whole", "n", "template", "raw").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def consistent(template_tokens: Column, raw: Column, found: Column) -> Column:
-    """Whether words agree where the template has words, and slots one to one where it has slots."""
+    """Whether words agree where the template has words, and slots one to one where it has slots.
+    A template of slots only says nothing of its own, so its words have to agree too."""
     all_three = F.arrays_zip(template_tokens.alias("t"), raw.alias("r"), found.alias("f"))
     words = F.forall(all_three, lambda x: _is_slot(x["t"]) | (x["r"] == x["f"]))
     slots = F.filter(all_three, lambda x: _is_slot(x["t"]))
     pairs = F.size(F.array_distinct(slots))
     ours = F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["t"], x["r"]))))
     theirs = F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["t"], x["f"]))))
-    return words & (pairs == ours) & (pairs == theirs)
+    some = F.exists(template_tokens, lambda t: ~_is_slot(t))
+    return words & (pairs == ours) & (pairs == theirs) & (some | (raw == found))
 
 
 def leaks(docs: DataFrame, items: DataFrame, doublings: int = 3, literals: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_k1, _k2, n_windows, items): the rows of docs, known by two hashes, that hold a window of
-    2 ** doublings tokens of an item, with the same words and slots that correspond one to one."""
-    size = 2**doublings
+    2 ** doublings tokens of an item, or the whole of an item without one, with the same words and
+    slots that correspond one to one."""
     known = exchange.written(benchmark_windows(items, doublings, literals))
-    parsed = with_window_hashes(docs.select(*_key(id_col, text_col), template(F.col(text_col)).alias("_t")), "_t", doublings)
-    rows = parsed.select("_k1", "_k2", F.posexplode("hashes").alias("at", "hash"))
-    # A semi join first: as many rows as windows come in, few go on.
-    hits = exchange.written(rows.join(exchange.small(known.select("hash").distinct()), "hash", "left_semi").distinct())
-    per_row = hits.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
+    sizes = sorted(r.start for r in known.select("start").distinct().collect()) or [2**doublings]
+    parsed = docs.select(*_key(id_col, text_col), template(F.col(text_col)).alias("_t"))
+    rows = with_window_hashes(parsed, "_t", sizes)
+    # As many rows as places come in, few go on: those with the start of a window, and its lengths.
+    lengths = known.groupBy("hash").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    hits = exchange.written(rows.join(exchange.small(lengths), "hash").select("_k1", "_k2", "at", F.explode("lengths").alias("n")).distinct())
+    per_row = hits.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
     keyed = docs.select(*_key(id_col, text_col), text_col).join(exchange.small(per_row), ["_k1", "_k2"])
-    keyed = keyed.select("_k1", "_k2", "hits", tokens(F.col(text_col)).alias("raw_tokens"))
-    windows = keyed.select("_k1", "_k2", F.explode(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["hash"].alias("hash"), F.slice("raw_tokens", h["at"] + 1, size).alias("found")))).alias("w"))
-    windows = windows.select("_k1", "_k2", "w.*").distinct()
-    same = windows.join(exchange.small(known, 200_000), "hash").filter(consistent(F.col("template"), F.col("raw"), F.col("found")))
-    return same.groupBy("_k1", "_k2").agg(F.count_distinct("at").alias("n_windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    keyed = keyed.select("_k1", "_k2", "hits", tokens(F.col(text_col)).alias("_r"), template(F.col(text_col)).alias("_t"))
+    found = keyed.select("_k1", "_k2", "_r", "_t", F.explode("hits").alias("h")).filter("h.at + h.n <= size(_t)")
+    found = found.select("_k1", "_k2", "h.at", "h.n", *(F.slice(c, F.col("h.at") + 1, F.col("h.n")).alias(name) for c, name in (("_r", "found"), ("_t", "as"))))
+    found = found.withColumn("whole", F.xxhash64("as"))
+    same = found.join(exchange.small(known, 200_000), ["whole", "n"]).filter((F.col("as") == F.col("template")) & consistent(F.col("template"), F.col("raw"), F.col("found")))
+    return same.groupBy("_k1", "_k2").agg(F.count_distinct("at", "n").alias("n_windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doublings: int = 3, literals: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs of the rows that leaks() finds, with n_windows and items.
 
-    Null or empty text, or fewer tokens than a window: never found. An item with fewer tokens
-    than a window, or too few words beside its placeholders, has no window. Equal rows are found
-    together. Windows of the benchmark are broadcast only if they are counted to be few.
+    Null or empty text, or an item without tokens: never found. An item with fewer tokens than a
+    window, or too few words beside its placeholders, has no window and is found by the whole of
+    its template. Equal rows are found together. Windows of the benchmark are broadcast only if they are counted to be few.
     """
     found = exchange.small(exchange.written(leaks(docs, items, doublings, literals, id_col, text_col)))
     keyed = docs.drop("n_windows", "items").select("*", *_key(id_col, text_col))

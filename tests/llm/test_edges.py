@@ -234,6 +234,17 @@ def test_leaks_and_consistent_slots(spark, odd, none):
     assert decontaminate.decontaminate(none, items).count() == 0 and decontaminate.decontaminate(odd, items.limit(0)).count() == 10
 
 
+def test_short_and_slot_dense_items(spark):
+    """Items without a window of 8 tokens with 5 words: found whole, with other words in their slots."""
+    items = [(1, "If Sara buys 12 pens at 3 dollars each"), (2, "what is 7 plus 5"), (3, "Ann met Bob, Ann left"), (4, "Paris"), (5, "On May 3 Tom and Ann paid 4 usd and Joe paid 5 usd to Ann in May"), (6, "zebra"), (7, " ?")]
+    rows = [
+        (1, "so If Tom buys 7 pens at 9 dollars each and"), (2, "If Tom buys 7 pens at 9 dollars"), (3, "If Tom buys 7 pens in 9 dollars each"), (4, "say what is 31 plus 40 or"), (5, "what is 6 plus 6"), (6, "Eve met Joe, Eve left"),
+        (7, "Eve met Joe, Joe left"), (8, "London"), (9, "in Paris"), (10, "x In June 8 Bob and Eve paid 6 eur and Sam paid 7 eur to Eve in June y"), (11, "In June 8 Bob and Eve paid 6 eur and Sam paid 7 eur to Bob in June"), (12, "a zebra"), (13, ""), (14, "what is 7 plus"), (4, "say what is 31 plus 40 or"),
+    ]
+    found = decontaminate.contaminated(docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, tuple(r.items), r.n_windows) for r in found) == [(1, (1,), 1), (4, (2,), 1), (4, (2,), 1), (6, (3,), 1), (9, (4,), 1), (10, (5,), 1), (12, (6,), 1)]
+
+
 def test_html_edges(spark):
     pages = [
         (1, None, ""), (2, "", ""), (3, "<p>unclosed <b>bold", "unclosed bold"), (4, "<<>&&amp; x", "<<>&& x"), (5, "<script>var a='<p>x</p>'</script>", ""),
