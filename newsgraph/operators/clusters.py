@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from datetime import timedelta
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,40 +123,88 @@ def absorb(members: DataFrame, moved: DataFrame) -> DataFrame:
     return repointed.groupBy("id").agg(F.count_distinct("slug").alias("article_count"))
 
 
-def assign(articles: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows in order of publication within the components of links (a, b), whatever their diameter:
+    labels only fall, so the rounds end by themselves."""
+    roots = connected(links.filter("a <> b").distinct(), rounds=1_000_000).withColumnRenamed("id", "slug")
+    rows = rows.join(roots, "slug", "left").withColumn("root", F.coalesce("root", "slug"))
+    return rows.repartition("root").sortWithinPartitions("root", "published_at", "slug")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def _placed(decisions: Iterator[tuple[str, str | None]]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(decisions, 10_000)):
+        yield pa.record_batch([pa.array([x[i] for x in part], pa.string()) for i in (0, 1)], ["slug", "cluster"])
+
+
+def assign(articles: DataFrame, edges: DataFrame) -> DataFrame:
     """(slug, cluster) in order of publication, as if one article came after the other.
 
-    edges: earlier, later, score of article pairs that may share a cluster. In each round the
-    articles whose earlier neighbours are all decided are decided together: each joins its
+    edges: earlier, later, score of article pairs that may share a cluster. An article joins its
     best-scoring neighbour that is a seed (ties: the earlier one), else it becomes a seed, or
-    stays out if `may_seed` is false. Fails loudly if the rounds do not suffice.
+    stays out if `may_seed` is false. One pass over each component of the edges in order, that
+    holds the seeds of the component only.
     """
-    order = F.struct("published_at", "slug")
-    seq = articles.select("slug", "may_seed", order.alias("o"))
-    todo = written(seq)
-    links = written(edges.join(seq.select(F.col("slug").alias("earlier"), F.col("o").alias("eo")), "earlier"))
-    done = written(seq.select("slug", F.lit("").alias("cluster"), F.lit(False).alias("seed")).limit(0))
-    for _ in range(rounds):
-        waits = links.join(todo.select(F.col("slug").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("slug")).distinct()
-        ready = written(todo.join(waits, "slug", "left_anti"))
-        seeds = done.filter("seed").select(F.col("slug").alias("earlier"), "cluster")
-        best = links.join(seeds, "earlier").groupBy(F.col("later").alias("slug")).agg(F.max_by("cluster", F.struct("score", -F.unix_micros("eo.published_at"))).alias("joined"))
-        made = ready.join(best, "slug", "left").select("slug", F.coalesce("joined", F.when(F.col("may_seed"), F.col("slug"))).alias("cluster"), (F.col("joined").isNull() & F.col("may_seed")).alias("seed"))
-        done = written(done.unionByName(made))
-        todo = written(todo.join(ready.select("slug"), "slug", "left_anti"))
-        if todo.isEmpty():
-            return done.select("slug", "cluster")
-    raise RuntimeError(f"articles are left after {rounds} rounds")
+    links = edges.join(articles.select(F.col("slug").alias("earlier"), F.col("published_at").alias("eo")), "earlier")
+    rows = articles.select("slug", "published_at", "may_seed").join(links.withColumnRenamed("later", "slug"), "slug", "left")
+    rows = _with_root(rows, edges.select(F.col("earlier").alias("a"), F.col("later").alias("b")))
+
+    def decide(rows: Iterator[dict]) -> Iterator[tuple[str, str | None]]:
+        root, seeds = None, set()
+        for (at, slug), given in groupby(rows, key=lambda r: (r["root"], r["slug"])):
+            if at != root:
+                root, seeds = at, set()
+            best, may_seed = None, False
+            for r in given:
+                may_seed = r["may_seed"]
+                if r["earlier"] in seeds and (best is None or (-r["score"], r["eo"], r["earlier"]) < best):
+                    best = -r["score"], r["eo"], r["earlier"]
+            if best is None and may_seed:
+                seeds.add(slug)
+            yield slug, best[2] if best else slug if may_seed else None
+
+    return rows.select("root", "slug", "may_seed", "earlier", "score", "eo").mapInArrow(lambda it: _placed(decide(_rows(it))), "slug string, cluster string")
+
+
+def assign_by_key(articles: DataFrame, keyed: DataFrame, days: int) -> DataFrame:
+    """assign() for articles that share keys and are less than so many days apart, scored by the
+    number of shared keys, without making the pairs: an article meets the recent seeds of its keys.
+
+    keyed: slug, key. The pass holds the seeds of the last days for each key of a component.
+    """
+    keys = keyed.groupBy("slug").agg(F.collect_list("key").alias("keys"))
+    least = keyed.groupBy("key").agg(F.min("slug").alias("b"))
+    links = keyed.join(least, "key").select(F.col("slug").alias("a"), "b")
+    rows = _with_root(articles.select("slug", "published_at", "may_seed").join(keys, "slug", "left"), links)
+    window = timedelta(days=days)
+
+    def decide(rows: Iterator[dict]) -> Iterator[tuple[str, str | None]]:
+        root, recent = None, {}
+        for r in rows:
+            if r["root"] != root:
+                root, recent = r["root"], {}
+            slug, now, shared = r["slug"], r["published_at"], Counter()
+            for key in r["keys"] or ():
+                recent[key] = [x for x in recent.get(key, ()) if now - x[0] < window]
+                shared.update(x for x in recent[key] if x[0] < now)
+            best = min(((-n, *seed) for seed, n in shared.items()), default=None)
+            if best is None and r["may_seed"]:
+                for key in r["keys"] or ():
+                    recent[key].append((now, slug))
+            yield slug, best[2] if best else slug if r["may_seed"] else None
+
+    return rows.select("root", "slug", "published_at", "may_seed", "keys").mapInArrow(lambda it: _placed(decide(_rows(it))), "slug string, cluster string")
 
 
 @query("K4_assign")
 def _(t: Tables) -> DataFrame:
     """Articles that share a rare CVE of the catalogue may share a cluster; checked by brute force in the tests."""
     rows = t.articles.filter("content_type in ('kev_catalog', 'ics_advisory')").select("slug", "published_at", F.lit(True).alias("may_seed"), F.explode_outer("cve_ids").alias("key"))
-    keyed = rows.filter("key like 'CVE%'").select("slug", "published_at", "key")
-    later = keyed.select(F.col("slug").alias("later"), F.col("published_at").alias("l"), "key")
-    edges = keyed.join(later, "key").filter("published_at < l and l < published_at + interval 3 days").groupBy(F.col("slug").alias("earlier"), "later").agg((F.count("*") * 1.0).alias("score"))
-    return assign(rows.select("slug", "published_at", "may_seed").distinct(), edges)
+    return assign_by_key(rows.select("slug", "published_at", "may_seed").distinct(), rows.filter("key like 'CVE%'").select("slug", "key"), 3)
 
 
 def build_clusters(members: DataFrame, articles: DataFrame) -> DataFrame:

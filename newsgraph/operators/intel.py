@@ -219,11 +219,9 @@ def _(t: Tables) -> DataFrame:
 @query("K13_rebuild")
 def _(t: Tables) -> DataFrame:
     """The full rebuild in order: mentions, candidates of the roundup-free articles, assignment, roll-up."""
-    from newsgraph.operators.clusters import assign
+    from newsgraph.operators.clusters import assign_by_key
 
     rows = t.articles.filter(~is_roundup(F.col("title")) & F.col("content_type").isin("kev_catalog", "ics_advisory"))
-    keyed = cve_keys(rows)
-    later = keyed.select(F.col("slug").alias("later"), F.col("published_at").alias("l"), "cve_id")
-    edges = keyed.join(later, "cve_id").filter("published_at < l and l < published_at + interval 2 days").groupBy(F.col("slug").alias("earlier"), "later").agg((F.count("*") * 1.0).alias("score"))
-    placed = assign(rows.select("slug", "published_at", F.lit(True).alias("may_seed")), edges)
+    keyed = cve_keys(rows).select("slug", F.col("cve_id").alias("key"))
+    placed = assign_by_key(rows.select("slug", "published_at", F.lit(True).alias("may_seed")), keyed, 2)
     return placed.join(t.articles, "slug").groupBy("cluster").agg(F.count("*").alias("article_count"), F.count_distinct("source_name").alias("source_count"), F.max("published_at").alias("latest_at"))

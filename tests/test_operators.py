@@ -68,6 +68,26 @@ def test_assignment_equals_one_by_one(spark):
     assert {int(r.slug): r.cluster for r in clusters.assign(rows, links).collect()} == cluster
 
 
+def test_assignment_of_a_long_chain(spark):
+    """A chain of 260 articles on one key, each less than 3 days after the one before, and a second key."""
+    n, gap = 260, 25
+    names = [f"{i * 7919 % 1000:03d}" for i in range(n)]
+    keys = [["k"] + (["m", "m2"] if i % 3 == 0 else []) for i in range(n)]
+    pairs = {(a, b): len(set(keys[a]) & set(keys[b])) for b in range(n) for a in range(max(0, b - 2), b) if (b - a) * gap < 72}
+    want, seeds = {}, set()
+    for b in range(n):
+        best = max(((pairs[a, b], -a) for a in seeds if (a, b) in pairs), default=None)
+        want[names[b]] = names[-best[1]] if best else names[b]
+        if not best:
+            seeds.add(b)
+    rows = spark.createDataFrame([(names[i], i * gap) for i in range(n)], "slug string, h int")
+    rows = rows.select("slug", F.expr("timestampadd(HOUR, h, timestamp'2024-01-01 00:00:00')").alias("published_at"), F.lit(True).alias("may_seed"))
+    keyed = spark.createDataFrame([(names[i], k) for i in range(n) for k in keys[i]], "slug string, key string")
+    assert {r.slug: r.cluster for r in clusters.assign_by_key(rows, keyed, 3).collect()} == want
+    links = spark.createDataFrame([(names[a], names[b], float(s)) for (a, b), s in pairs.items()], "earlier string, later string, score double")
+    assert {r.slug: r.cluster for r in clusters.assign(rows, links).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     roots = {r.id: r.root for r in clusters.connected(edges).collect()}
