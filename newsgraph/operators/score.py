@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,30 +77,55 @@ def _(t: Tables) -> DataFrame:
     return t.embeddings.join(other, "vec_id").select("vec_id", F.round(calibrated(cosine(F.col("embedding"), F.col("other"))), 4).alias("embed"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors, read from the Arrow buffer."""
+    flat = pa.concat_arrays([x.flatten() for x in vectors.chunks]).to_numpy(zero_copy_only=False).astype(np.float64)
+    if vectors.null_count or len(flat) % len(vectors) or len(set(pc.list_value_length(vectors).to_pylist())) > 1:
+        raise ValueError("vectors need to be of one length and not null")
+    out = flat.reshape(len(vectors), -1)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest_of_block(qid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray, k: int, queries: int = 256, rows: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id, cosine of the k best rows of each query, ties by id: a running top k over
+    sub-blocks, so that a matrix has queries times rows values at most."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(qid), queries):
+        asked = qid[i : i + queries]
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(asked)
+        for j in range(0, len(rid), rows):
+            ids = rid[j : j + rows]
+            cos = np.round(a[i : i + queries] @ b[j : j + rows].T, 9)
+            cos[asked[:, None] == ids[None, :]] = -2
+            n = min(k, len(ids))
+            least = np.partition(cos, len(ids) - n, axis=1)[:, len(ids) - n]
+            for q, cut in enumerate(least):
+                at = np.flatnonzero(cos[q] >= max(cut, -1))  # with all that tie at the cut
+                id_, c = np.concatenate([best[q][0], ids[at]]), np.concatenate([best[q][1], cos[q, at]])
+                order = np.lexsort((id_, -c))[:k]
+                best[q] = id_[order], c[order]
+        out += [(np.full(len(id_), query), id_, c) for query, (id_, c) in zip(asked, best, strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 16_384) -> DataFrame:
     """(query, id, cosine, rank): the k nearest rows of each query, exactly.
 
     A stated set of queries meets all rows in blocks: each block of rows scores a block of
-    queries as one matrix product and keeps its k best, so what moves is k rows for each query
-    and block; the best of those are ranked. queries and rows: id, vector.
+    queries by matrix products of sub-blocks and keeps its k best, so what moves is k rows for each
+    query and block; the best of those are ranked. Rows and queries are counted, so that a block
+    has about `block` of them at most. queries and rows: id, vector.
     """
-    block = lambda c: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(c)
-    asked = queries.select("id", "vector", block("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    stored = rows.select("id", "vector", block("rb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
+    nq, nr = (max(16, -(-df.count() // block)) for df in (queries, rows))
+    part = lambda n, c: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(c)
+    asked = queries.select("id", "vector", part(nq, "qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
+    stored = rows.select("id", "vector", part(nr, "rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if left.num_rows and right.num_rows:
-            a, b = (np.array(x["vector"].to_pylist(), np.float64) for x in (left, right))
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-            qid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-            cos = np.round(a @ b.T, 9)
-            cos[qid[:, None] == rid[None, :]] = -2
-            for i in range(len(qid)):
-                best = np.lexsort((rid, -cos[i]))[:k]
-                out += [(int(qid[i]), int(rid[j]), float(cos[i, j])) for j in best if cos[i, j] >= -1]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query", "id", "cosine"])
+            found = _nearest_of_block(left["id"].to_numpy(), _matrix(left["vector"]), right["id"].to_numpy(), _matrix(right["vector"]), k)
+        return pa.table([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "id", "cosine"])
 
     pairs = asked.groupBy("qb", "rb").cogroup(stored.groupBy("qb", "rb")).applyInArrow(score, "query long, id long, cosine double")
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsgraph.operators import clusters, entities, normalize, read, score, tables
@@ -94,6 +95,23 @@ def test_components_of_a_chain(spark):
     assert set(roots.values()) == {0, 100} and len(roots) == 53
 
 
+def test_nearest_over_many_blocks(spark):
+    """Blocks follow the counts, with equal vectors that tie; sub-blocks hold fewer rows than ties."""
+    rnd = np.random.default_rng(2)
+    vectors = rnd.integers(-2, 3, (130, 3)).astype(float) + 0.5
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 9)
+    want = {q: [int(i) for i in np.lexsort((np.arange(130), -cos[q])) if i != q][:4] for q in range(0, 130, 3)}
+    ids = np.arange(130, dtype=np.int64)
+    query, found, _ = score._nearest_of_block(ids[::3], unit[::3], ids, unit, 4, queries=7, rows=5)
+    assert {q: found[query == q].tolist() for q in want} == want
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<float>")
+    got: dict[int, list[int]] = {}
+    for r in sorted(score.nearest(rows.filter("id % 3 = 0"), rows, 4, block=6).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query, []).append(r.id)
+    assert got == want
+
+
 def test_calibration_points(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in (0.70, 0.75, 0.785, 0.82, 1.0)], "c double").select(F.round(score.calibrated(F.col("c")), 6)).collect()]
     assert got == [0.0, 0.0, 0.5, 1.0, 1.0]
