@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.llm.exchange import written
+from newsgraph.llm.exchange import drop, written
 
 
 def _stars(links: DataFrame, down: bool) -> DataFrame:
@@ -30,7 +30,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
     seen = None
     for _ in range(rounds):
-        now = written(_stars(_stars(now, down=False), down=True))
+        before, now = now, written(_stars(_stars(now, down=False), down=True))
+        if seen:
+            drop(before)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == seen:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

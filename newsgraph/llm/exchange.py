@@ -10,14 +10,17 @@ chunks below has the same exchange, which Spark reuses.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a null id counts as: larger than every other.
 NO_ID = 2**63 - 1
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def partitions(df: DataFrame) -> int:
@@ -44,10 +47,13 @@ def with_answers(chunked: DataFrame, answers: DataFrame, work, schema: str) -> D
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is
-    unset, as in tests on one machine, below the checkpoint folder of the context or a temporary one."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that and the
+    checkpoint folder of the context are unset, a temporary one, if the master is local; on a
+    cluster that is an error, as no other machine would see it."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
         top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -57,7 +63,16 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and there for any executor."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

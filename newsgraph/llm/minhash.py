@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.llm import blocks, components, exchange
@@ -15,8 +15,11 @@ from newsgraph.llm import blocks, components, exchange
 #: Hash values of a signature that a band has, and that one step of the verification compares.
 BAND = 5
 STEP = 20
-#: Rounds in which what is left of each band gets another pivot.
-PIVOTS = 2
+#: Nodes with an element of differences, beside those of one component, that are compared in pairs;
+#: where there are more, they get a pivot of their own.
+GROUP = 200
+#: How often they do, before one after the other is compared with all the rest.
+LEVELS = 2
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -105,47 +108,82 @@ def _probable(batches: Iterator[pa.RecordBatch], bounds: list[int]) -> Iterator[
 
 
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Each pair (a, b) with its exact verdict and how the set of b differs from that of a: the
-    size of the difference and its first elements, those that only b has before those of a."""
+    """Each pair (a, b) with its exact verdict and in which elements the set of b differs from that of a."""
     for batch in batches:
-        linked, sizes, n_diff, first = [], [], [], []
+        linked, sizes, n_pivot, n_diff, diff = [], [], [], [], []
         for x, y, probable in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), batch["probable"].to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             added, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
             both = len(y) - len(added)
             linked.append(probable and 100 * both >= percent * (len(x) + len(added)))
             sizes.append(len(y))
+            n_pivot.append(len(x))
             n_diff.append(len(added) + len(gone))
-            first.append(np.concatenate([added, gone])[: (100 - percent) * len(y) // percent + 1].view(np.int64))
-        columns = [batch["a"], batch["b"], pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n_diff, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-        yield pa.record_batch(columns, ["a", "b", "linked", "n", "n_diff", "first"])
+            diff.append(np.concatenate([added, gone]).view(np.int64))
+        columns = [batch["a"], batch["b"], pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n_pivot, pa.int32()), pa.array(n_diff, pa.int32()), pa.array(diff, pa.list_(pa.int64()))]
+        yield pa.record_batch(columns, ["a", "b", "linked", "n", "n_pivot", "n_diff", "diff"])
+
+
+_COMPARED = "a binary, b binary, linked boolean, n int, n_pivot int, n_diff int, diff array<bigint>"
+
+
+def _differences(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b, component, n, n_diff, at, e, others), written: the nodes b of the stars a that hold
+    several components, a row for each early element e of their differences from a, with its place
+    `at` and how many such rows of (a, e) are not of its most frequent component. Elements stand
+    in the order of how many nodes of the star differ in them; only those that two components
+    have are returned, and of each node only the places at which a common element can be the first
+    (see _may_be_linked)."""
+    named = star.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    named = named.join(label.select(F.col("node").alias("a"), F.col("component").alias("of_pivot")), "a", "left").withColumn("with_pivot", F.col("component") == F.coalesce("of_pivot", "a"))
+    both = [F.min("component").alias("x"), F.max("component").alias("y")]
+    open_stars = named.groupBy("a").agg(*both).filter("x <> y").select("a")
+    rows = exchange.written(named.join(open_stars, "a", "left_semi").select("a", "b", "component", "with_pivot", "n_pivot", "n", "n_diff", F.explode_outer("diff").alias("e")).filter("e is not null"))
+    shared = rows.join(rows.groupBy("a", "e").agg(F.count("*").alias("often"), *both).filter("x <> y").select("a", "e", "often"), ["a", "e"])
+    own = Window.partitionBy("a", "b")
+    place = F.row_number().over(own.orderBy("often", "e")) - 1 + F.col("n_diff") - F.count("*").over(own)
+    # Of a pair in two components one at least is not linked with the pivot, so its difference is large.
+    near = 2 * (100 + percent) * F.col("at") <= (100 + percent) * F.col("n_diff") + (100 - percent) * (F.col("n") - F.col("n_pivot"))
+    last = F.when(F.col("with_pivot"), near).otherwise(percent * F.col("at") <= (100 - percent) * F.col("n"))
+    early = exchange.written(shared.withColumn("at", place).filter(last).select("a", "b", "component", "n", "n_diff", "at", "e"))
+    exchange.drop(rows)
+    by_component = early.groupBy("a", "e", "component").agg(F.count("*").alias("k"))
+    sizes = by_component.groupBy("a", "e").agg((F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+    out = exchange.written(early.join(sizes, ["a", "e"]))
+    exchange.drop(early)
+    return out
 
 
-_COMPARED = "a binary, b binary, linked boolean, n int, n_diff int, first array<bigint>"
+def _may_be_linked(x: str, y: str, percent: int) -> Column:
+    """Whether two nodes of a star with early elements in common can be linked, by their differences from its pivot.
 
+    Let D be the difference of a node's set from the pivot's. Two nodes x and y are linked only if
+    D(x) and D(y) differ in at most (1 - t) / (1 + t) * (|x| + |y|) elements, so at least c of them
+    are common. If not both are linked with the pivot, c > 0, and in any fixed order of elements
+    the least common one is among the first |D| - c + 1 of both. So joining on those elements
+    finds every such pair.
+    """
+    v = lambda side, c: F.col(f"{side}.{c}")
+    common = F.ceil((v(x, "n_diff") + v(y, "n_diff") - (100 - percent) / (100 + percent) * (v(x, "n") + v(y, "n"))) / 2 - 1e-6)
+    early = (v(x, "at") <= v(x, "n_diff") - common) & (v(y, "at") <= v(y, "n_diff") - common)
+    return early & (100 * F.least(v(x, "n"), v(y, "n")) >= percent * F.greatest(v(x, "n"), v(y, "n"))) & (v(x, "component") != v(y, "component"))
 
-def _similar_differences(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that may be linked though not both are linked with their pivot.
 
-    Let D be the difference of a node's set from the pivot's. Two nodes x and y are linked only
-    if D(x) and D(y) differ in at most (1 - t) / (1 + t) * (|x| + |y|) elements; D of a node that
-    is not linked with the pivot is larger than that bound allows alone, so D(x) and D(y) have
-    at least c > 0 elements in common, and in any fixed order of elements the least common one is
-    among the first |D| - c + 1 of both. Joining on those elements finds every such pair; only
-    elements that nodes of two components have are joined.
-    """
-    open_stars = star.groupBy("a").agg(F.bool_and("linked").alias("done")).filter("not done").select("a")
-    named = star.join(open_stars, "a", "left_semi").join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    rows = exchange.written(named.select("a", "b", "component", "linked", "n", "n_diff", F.posexplode("first").alias("at", "e")))
-    several = rows.groupBy("a", "e").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a", "e")
-    rows = exchange.written(rows.join(several, ["a", "e"], "left_semi"))
-    other = rows.select("a", "e", *(F.col(c).alias(f"{c}_y") for c in ("b", "component", "linked", "n", "n_diff", "at")))
-    common = F.ceil((F.col("n_diff") + F.col("n_diff_y") - (100 - percent) / (100 + percent) * (F.col("n") + F.col("n_y"))) / 2 - 1e-6)
-    early = (F.col("at") <= F.col("n_diff") - common) & (F.col("at_y") <= F.col("n_diff_y") - common)
-    fits = 100 * F.least("n", "n_y") >= percent * F.greatest("n", "n_y")
-    apart = (F.col("b") < F.col("b_y")) & (F.col("component") != F.col("component_y"))
-    met = rows.join(other, (rows["a"] == other["a"]) & (rows["e"] == other["e"]) & apart & early & fits)
-    return met.select(F.col("b").alias("a"), F.col("b_y").alias("b")).distinct()
+def _pairs_of_small(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the groups (star, element) of few rows."""
+    some = rows.filter(F.col("others") <= GROUP)
+    met = some.alias("x").join(some.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.b") < F.col("y.b")) & _may_be_linked("x", "y", percent))
+    return met.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+
+
+def _pairs_with_pivot(rows: DataFrame, score: DataFrame, percent: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of the groups of many rows: pairs (a, b) of the group's node of most company with each other
+    node (given percent: with those it may be linked with), and the groups without that node."""
+    rest = rows.filter(F.col("others") > GROUP).drop("others").join(score.withColumnRenamed("print", "b"), "b", "left")
+    top = rest.groupBy("a", "e").agg(F.max(F.struct("score", "b", "component", "n", "n_diff", "at")).alias("top")).select("a", "e", "top.*").drop("score")
+    met = rest.alias("y").join(top.alias("x"), (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.b") != F.col("y.b")))
+    pairs = (met if percent is None else met.filter(_may_be_linked("x", "y", percent))).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    return pairs, met.select("y.a", "y.b", "y.component", "y.n", "y.n_diff", "y.at", "y.e")
 
 
 def near_duplicates(
@@ -156,12 +194,13 @@ def near_duplicates(
     Texts with equal sets are one node (partial aggregation, so copies never meet in one task).
     Nodes meet in bands of their MinHash signatures; the number of bands is such that a pair at
     the threshold is missed with probability `miss` at most. Every node of a band is compared
-    with the band's least node, its pivot, which is linear; what is not connected with it gets
-    another pivot, twice. Nodes that are still apart are compared if their differences from the
-    first pivot have an early element in common, which any linked pair has (see
-    _similar_differences); so the pairs within a band are never made. Pairs are compared STEP hash values at a time and dropped when the posterior
-    probability of the similarity falls below `miss`; the rest is confirmed on the whole sets
-    (64-bit hashes).
+    with the band's pivot, the node that meets most others over all bands and so is the one in
+    the middle of a group of copies; that is linear. Nodes that are still in different components
+    are compared if their differences from the pivot have an early element in common, which any
+    linked pair has (see _may_be_linked); where many nodes have an element, they get a pivot of
+    their own and are looked at again, so the pairs within a band are never made. Pairs are
+    compared STEP hash values at a time and dropped when the posterior probability of the
+    similarity falls below `miss`; the rest is confirmed on the whole sets (64-bit hashes).
 
     Returns doc_id, n_shingles, component_id (least id of the component), kept (doc_id is it),
     one row for each row of docs. Null or empty text, or no word: no shingles, no link. Null id:
@@ -178,13 +217,16 @@ def near_duplicates(
     nodes = exchange.written(sketches.filter("print is not null").dropDuplicates(["print"]))
     owner = sketches.filter("print is not null").groupBy("print").agg(F.min("id").alias("least"))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * BAND) + 1, F.lit(4 * BAND))))
-    rows = nodes.select(F.explode(pieces).alias("band"), "print", "n_shingles")
-    full = rows.groupBy("band").agg(F.min("print").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = nodes.select(F.explode(pieces).alias("band"), "print")
+    full = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = exchange.written(rows.join(full, "band"))
+    score = exchange.written(met.groupBy("print").agg(F.sum("n").alias("score")))
+    pivots = met.join(score, "print").groupBy("band").agg(F.max(F.struct("score", "print")).alias("p")).select("band", F.col("p.print").alias("pivot"))
+    first_pairs = exchange.written(met.join(pivots, "band").filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct())
 
     # The shingle sets of the nodes that meet others. Rows with equal ids differ in their texts:
     # the set that belongs to a node has its print.
-    wanted = exchange.written(met.select("print").distinct().join(nodes.select("print", "id"), "print"))
+    wanted = exchange.written(score.select("print").join(nodes.select("print", "id"), "print"))
     found = texts.join(exchange.small(wanted.select("id").distinct()), "id", "left_semi")
     sets = found.mapInArrow(lambda it: _with_print(it, words), "print binary, shingles binary")
     sets = exchange.written(sets.join(exchange.small(wanted.select("print")), "print", "left_semi").dropDuplicates(["print"]))
@@ -195,25 +237,40 @@ def near_duplicates(
         for x in "ab":
             pairs = pairs.join(nodes.select(F.col("print").alias(x), F.col("signature").alias(f"sig_{x}")), x)
         pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _probable(it, bounds), "a binary, b binary, probable boolean")
-        pairs = exchange.written(pairs.filter("probable") if only_probable else pairs)
+        pairs = live = exchange.written(pairs.filter("probable") if only_probable else pairs)
         for x in "ba":
             pairs = pairs.join(sets.select(F.col("print").alias(x), F.col("shingles").alias(f"set_{x}")), x)
-        return exchange.written(pairs.select("a", "b", "probable", "set_a", "set_b").mapInArrow(lambda it: _compared(it, percent), _COMPARED))
-
-    star = compared(met.filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct(), False)
-    links = star.filter("linked").select("a", "b")
-    label = exchange.written(components.connected_components(links))
-    for _ in range(PIVOTS):
-        # What of a band is not with its pivot gets another one, so that groups far from it are joined too.
-        named = met.join(label.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-        named = named.join(label.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot")), "pivot", "left")
-        met = exchange.written(named.filter(F.col("component") != F.coalesce("of_pivot", "pivot")).select("band", "print", "n_shingles"))
-        met = met.join(met.groupBy("band").agg(F.min("print").alias("pivot")), "band")
-        next_star = compared(met.filter("print != pivot").select(F.col("pivot").alias("a"), F.col("print").alias("b")).distinct(), True)
-        links = links.unionByName(next_star.filter("linked").select("a", "b"))
-        label = exchange.written(components.connected_components(links))
-    more = compared(_similar_differences(star, label, percent), True)
-    label = components.connected_components(links.unionByName(more.filter("linked").select("a", "b")))
+        out = exchange.written(pairs.select("a", "b", "probable", "set_a", "set_b").mapInArrow(lambda it: _compared(it, percent), _COMPARED))
+        exchange.drop(live)
+        return out
+
+    def labelled(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links so far and their components."""
+        now = exchange.written(more.filter("linked").select("a", "b") if links is None else links.unionByName(more.filter("linked").select("a", "b")))
+        return now, exchange.written(components.connected_components(now))
+
+    links = None
+    star = compared(first_pairs, False)
+    links, label = labelled(star)
+    for level in range(LEVELS + 1):
+        rows = _differences(star, label, percent)
+        exchange.drop(star)
+        more = compared(_pairs_of_small(rows, percent), True)
+        links, label = labelled(more)
+        rows, rest = exchange.written(rows.filter(F.col("others") > GROUP)), rows
+        exchange.drop(rest, more)
+        if rows.isEmpty():
+            break
+        if level < LEVELS:
+            star = compared(_pairs_with_pivot(rows, score)[0], False)
+            links, label = labelled(star)
+    while not rows.isEmpty():
+        pairs, rest = _pairs_with_pivot(rows, score, percent)
+        more, before = compared(pairs, True), rows
+        links, label = labelled(more)
+        rows = exchange.written(rest.withColumn("others", F.lit(GROUP + 1)))
+        exchange.drop(more, before)
+    exchange.drop(nodes, met, score, first_pairs, wanted, sets)
     least = label.withColumnRenamed("node", "print").join(owner, "print")
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
     known = owner.join(label.withColumnRenamed("node", "print"), "print", "left").join(whole, "component", "left")

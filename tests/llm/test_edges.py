@@ -117,6 +117,29 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
     assert got == want
 
 
+@pytest.mark.parametrize(("group", "levels"), [(2, 0), (3, 1), (200, 2)])
+def test_groups_around_a_text_equal_brute_force(spark, monkeypatch, group, levels):
+    """Copies with few to very many edits, the same ones in part, in pairs, by pivots and one by one."""
+    monkeypatch.setattr(minhash, "GROUP", group)
+    monkeypatch.setattr(minhash, "LEVELS", levels)
+    r = random.Random(5)
+    base, rows = [f"w{r.randint(0, 60)}" for _ in range(120)], []
+    for i in range(160 if group > 3 else 50):
+        text = list(base)
+        for _ in range(r.choice((1, 3, 6, 10))):
+            k = r.randrange(len(text) - 1)
+            if r.random() < 0.4:
+                del text[k]
+            elif r.random() < 0.5:
+                text[k], text[k + 1] = text[k + 1], text[k]
+            else:
+                text[k] = f"w{r.randint(0, 60)}"
+        rows.append((i, " ".join(text), "s"))
+    want = components({i: shingles(t, 3) for i, t, _ in rows}, 85)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, rows), 3, 85).collect()}
+    assert got == want and 5 < len(set(want.values())) < 150
+
+
 def test_near_duplicates_edges(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     got = {(r.doc_id, r.n_shingles > 0): (r.component_id, r.kept) for r in rows}
