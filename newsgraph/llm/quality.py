@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.llm import blocks
+from newsgraph.llm import blocks, exchange
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = (
@@ -80,57 +80,93 @@ class LineModel:
 def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
     """Maximum conditional likelihood by gradient ascent with momentum, all sequences at once.
 
-    Sequences are (features, labels); shorter ones are padded and masked.
+    Sequences are (features, labels). Places stand one after another, and at each place the longer
+    sequences first, so that a step of the recursions works on one stretch of rows.
     """
-    n, longest = len(sequences), max(len(y) for _, y in sequences)
-    k = sequences[0][0].shape[1]
-    x, y, mask = np.zeros((n, longest, k)), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-    for i, (f, labels) in enumerate(sequences):
-        x[i, : len(labels)], y[i, : len(labels)], mask[i, : len(labels)] = f, labels, True
-    hot = np.eye(2)[y] * mask[..., None]
-    steps = mask[:, 1:].sum()
-    seen_emit = np.einsum("ntk,ntl->kl", x, hot)
-    seen_step = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:] * mask[:, 1:, None])
+    order = sorted((s for s in sequences if len(s[1])), key=lambda s: -len(s[1]))
+    sizes = np.array([len(y) for _, y in order])
+    alive = [int((sizes > t).sum()) for t in range(sizes[0])]  # sequences that reach each place
+    at = np.concatenate([[0], np.cumsum(alive)])
+    k = order[0][0].shape[1]
+    x, y = np.empty((at[-1], k)), np.empty(at[-1], np.int64)
+    for i, (f, labels) in enumerate(order):
+        x[at[: len(labels)] + i], y[at[: len(labels)] + i] = f, labels
+    here = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+    hot, last = np.eye(2)[y], at[sizes - 1] + np.arange(len(order))
+    seen_emit, seen_step = x.T @ hot, np.zeros((2, 2))
+    for t in range(1, len(here)):
+        seen_step += hot[here[t - 1]][: alive[t]].T @ hot[here[t]]
     emit, step, v_emit, v_step = np.zeros((k, 2)), np.zeros((2, 2)), np.zeros((k, 2)), np.zeros((2, 2))
     for _ in range(rounds):
-        score = x @ emit
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            now = score[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + step, axis=1)
-            ahead[:, t] = np.where(mask[:, t, None], now, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            now = np.logaddexp.reduce(step + (score[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-            behind[:, t] = np.where(mask[:, t + 1, None], now, 0)
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        each = np.exp(ahead + behind - total[:, None, None]) * mask[..., None]
-        pair = ahead[:, :-1, :, None] + step + (score + behind)[:, 1:, None, :] - total[:, None, None, None]
-        pairs = (np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
-        g_emit = (seen_emit - np.einsum("ntk,ntl->kl", x, each)) / mask.sum() - ridge * emit
-        g_step = (seen_step - pairs) / max(1, steps) - ridge * step
+        score, ahead, behind = x @ emit, np.empty((len(x), 2)), np.zeros((len(x), 2))
+        ahead[here[0]] = score[here[0]]
+        for t in range(1, len(here)):
+            before = ahead[here[t - 1]][: alive[t]]
+            ahead[here[t]] = score[here[t]] + np.logaddexp(before[:, :1] + step[0], before[:, 1:] + step[1])
+        total = np.logaddexp(ahead[last, 0], ahead[last, 1])
+        pairs = np.zeros((2, 2))
+        for t in range(len(here) - 1, 0, -1):
+            after = score[here[t]] + behind[here[t]]
+            spot = slice(at[t - 1], at[t - 1] + alive[t])
+            behind[spot] = np.logaddexp(step[:, 0] + after[:, :1], step[:, 1] + after[:, 1:])
+            pairs += np.exp(ahead[spot][:, :, None] + step + (after - total[: alive[t], None])[:, None, :]).sum(axis=0)
+        each = np.exp(ahead + behind - np.concatenate([total[:n] for n in alive])[:, None])
+        g_emit = (seen_emit - x.T @ each) / len(x) - ridge * emit
+        g_step = (seen_step - pairs) / max(1, len(x) - len(order)) - ridge * step
         v_emit, v_step = 0.9 * v_emit + rate * g_emit, 0.9 * v_step + rate * g_step
         emit, step = emit + v_emit, step + v_step
     return LineModel(emit, step)
 
 
-def train_line_model(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int = 200, id_col: str = "doc_id", text_col: str = "text") -> LineModel | None:
-    """Fit the chain on at most `sample` labelled documents of each quality, by hash of the id.
+def common_lines(docs: DataFrame, of: DataFrame, least: int = 3, text_col: str = "text") -> DataFrame:
+    """(line): hashes, of those in `of`, of the lines that stand in the texts of docs after `least`
+    different lines at least: what many pages carry, not what copies of one text repeat."""
+    lines = F.concat(F.array(F.lit("")), F.split(text_col, "\n"))
+    pairs = docs.select(F.explode_outer(F.arrays_zip(F.slice(lines, 2, F.size(lines) - 1).alias("line"), lines.alias("before"))).alias("p"))
+    pairs = pairs.select(F.xxhash64("p.line").alias("line"), F.xxhash64("p.before").alias("before"))
+    return pairs.join(exchange.small(of), "line", "left_semi").distinct().groupBy("line").count().filter(F.col("count") >= least).select("line")
 
-    The lines of good documents (quality 1) count as content, those of bad ones as boilerplate. A
-    document adds its first `lines` lines, which bounds what is collected and fitted; scoring
-    reads whole texts. None if one of the two kinds is missing.
+
+def training_sequences(texts: list[tuple[str, int, set[int]]], size: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) from whole texts: (text, quality, places of lines that many texts carry).
+
+    Lines of good texts are content and those of bad ones boilerplate, as are lines that many
+    texts carry. In addition each bad text is set into a good one, between two of its lines, so
+    that labels change within a sequence. Sequences are cut into parts of `size` lines.
+    """
+    good, bad = ([(t.split("\n"), common) for t, q, common in texts if q == kind] for kind in (1, 0))
+    labelled = [[(x, BOILERPLATE if i in common else CONTENT) for i, x in enumerate(lines)] for lines, common in good]
+    junk = [[(x, BOILERPLATE) for x in lines] for lines, _ in bad]
+    for i, lines in enumerate(junk):
+        host = labelled[i % len(labelled)] if labelled else []
+        cut = (7 * i) % (len(host) + 1)
+        labelled.append(host[:cut] + lines + host[cut:])
+    out = []
+    for rows in labelled + junk:
+        rows = [r for r in rows if r[0].encode().split()]
+        features, _, _ = line_features("\n".join(x for x, _ in rows).encode())
+        labels = np.array([y for _, y in rows], np.int64)
+        out += [(features[i : i + size], labels[i : i + size]) for i in range(0, len(labels), size)]
+    return out
+
+
+def train_line_model(docs: DataFrame, labels: DataFrame, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> LineModel | None:
+    """Fit the chain on the whole texts of at most `sample` labelled documents of each quality, by
+    hash of the id. Which of their lines many texts carry is counted over all documents. None if
+    one of the two kinds is missing.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.slice(F.split(F.col(text_col), "\n"), 1, lines).alias("text")).filter("text is not null and doc_id is not null")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
-    sequences = []
-    for quality in (0, 1):
-        chosen = marks.filter(F.col("quality") == quality).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        for r in rows.join(F.broadcast(chosen), "doc_id").select("text").toLocalIterator():
-            features, _, _ = line_features("\n".join(r.text).encode())
-            if len(features):
-                sequences.append((features, np.full(len(features), CONTENT if quality else BOILERPLATE)))
-    kinds = {int(y[0]) for _, y in sequences}
-    return fit(sequences) if len(kinds) == 2 else None
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and doc_id is not null")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").distinct()
+    chosen = [marks.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
+    some = exchange.written(rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").withColumn("lines", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))))
+    common = exchange.written(common_lines(rows, some.select(F.explode("lines").alias("line")).distinct(), text_col="text"))
+    carried = some.select("doc_id", "text", F.posexplode("lines").alias("at", "line")).join(exchange.small(common), "line").groupBy("doc_id", "text").agg(F.collect_set("at").alias("common"))
+    found = some.join(carried, ["doc_id", "text"], "left").select("doc_id", "text", "quality", "common").toLocalIterator()
+    texts = sorted((r.doc_id, r.text, r.quality, tuple(r.common or ())) for r in found)
+    exchange.drop(some, common)
+    kinds = {q for _, _, q, _ in texts}
+    sequences = training_sequences([(t, q, set(c)) for _, t, q, c in texts])
+    return fit(sequences) if len(kinds) == 2 and {int(v) for _, y in sequences for v in y} == {CONTENT, BOILERPLATE} else None
 
 
 def _judged(batches: Iterator[pa.RecordBatch], model: LineModel | None, share: float, id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:

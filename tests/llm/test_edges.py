@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,58 @@ def test_line_model_learns_held_out_labels(spark, sf):
     assert right > 0.95
 
 
+def test_base_columns_equal_python(spark, sf):
+    """word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed as the contract has them."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    r = random.Random(4)
+    rows += [(10**6 + i, "\n".join(" ".join(r.choice(["a#b", "cé", "$", "d|", "e"]) for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 9)))) for i in range(60)]
+    got = {x.doc_id: x for x in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    for i, text in rows:
+        words = WORD.findall(text)
+        windows = [tuple(words[j : j + 8]) for j in range(len(words) - 7)]
+        often = Counter(windows)
+        repeated = {k for j, w in enumerate(windows) if often[w] > 1 for k in range(j, j + 8)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        want = (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want
+        assert got[i].base_failed == (len(words) < 20 or 100 * len(repeated) > 30 * len(words))
+
+
+def test_mixed_documents_get_mixed_labels(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train_line_model(d, labels.filter("doc_id % 2 = 0"))
+    held = d.join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("length(text) > 300").orderBy("doc_id")
+    good, bad = ([r.text for r in held.filter(F.col("quality") == q).limit(12).collect()] for q in (1, 0))
+    parts = [[g, b] if i % 2 else [b, g] for i, (g, b) in enumerate(zip(good, bad))]
+    mixed = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(parts)], "doc_id int, text string")
+    shares = {r.doc_id: r.content_share for r in quality.judge_quality(mixed, model).collect()}
+    true = {i: len((good[i]).encode()) / len("".join(x).encode()) for i, x in enumerate(parts)}
+    assert sum(0 < s < 1 for s in shares.values()) >= 0.8 * len(shares)
+    assert sum(abs(shares[i] - true[i]) < 0.2 for i in true) >= 0.8 * len(shares)
+
+
+def test_gradient_fit_equals_enumeration():
+    """The fitted weights are where the gradient, from all label sequences, is that of the ridge."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(rng.normal(size=(n, 2)), rng.integers(0, 2, n)) for n in (1, 3, 5, 4)]
+    model = quality.fit(data, rounds=4000, rate=0.1, ridge=0.05)
+    g_emit, g_step, places = np.zeros((2, 2)), np.zeros((2, 2)), sum(len(y) for _, y in data)
+    for x, y in data:
+        each = list(itertools.product((0, 1), repeat=len(y)))
+        score = lambda z: sum(x[i] @ model.emit[:, z[i]] for i in range(len(z))) + sum(model.step[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+        p = np.exp([score(z) for z in each])
+        for weight, z in [(1.0, tuple(y)), *((-q, z) for q, z in zip(p / p.sum(), each))]:
+            for i, label in enumerate(z):
+                g_emit[:, label] += weight * x[i] / places
+            for a, b in zip(z, z[1:]):
+                g_step[a, b] += weight / (places - len(data))
+    assert np.abs(g_emit - 0.05 * model.emit).max() < 1e-4 and np.abs(g_step - 0.05 * model.step).max() < 1e-4
+
+
 def test_viterbi_is_the_best_sequence():
     import itertools
 
