@@ -133,7 +133,7 @@ def cover(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     begun = np.zeros(n + 1, np.int32)
     begun[1:][starts] = 1
     begun = np.cumsum(begun, dtype=np.int32)
-    return begun[1:] > np.concatenate([np.zeros(min(size, n), np.int32), begun[1 : n + 1 - size]])
+    return begun[1:] > np.concatenate([np.zeros(min(size, n), np.int32), begun[1 : max(1, n + 1 - size)]])
 
 
 def ranges(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import decontaminate, html_text, minhash, mixing, quality, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from newsgraph.llm import decontaminate, exchange, html_text, minhash, mixing, quality, secrets, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(urls, url_filter.fit(url_filter.weak_labels(urls)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    labels = exchange.written(url_filter.labels_from_text(html_text.extract_main_text(pages)))
+    model = url_filter.fit(labels)
+    exchange.drop(labels)
+    return url_filter.filter_urls(pages.drop("html"), model)
 
 
 QUERIES = {

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsgraph.llm import quality
+
 #: Symbols of the models: 1-26 letters, 27 any digit, 28 '.', 29 '/', 30 '-', 31 anything else, 0 before the start.
 SYMBOLS = 32
 #: Characters of a context at most, so a model has at most SYMBOLS ** (ORDER + 1) counts (8 MB).
@@ -27,10 +29,6 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Words in a host that mark a URL as rejected when no labelled URLs are at hand.
-REJECTED_WORDS = ("adult", "bets", "casino", "farm", "porn", "spam", "xxx")
-
-
 def host(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; '' without :// or for null."""
     found = F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)
@@ -110,12 +108,13 @@ def fit(labelled: DataFrame, url_col: str = "url", rejected_col: str = "rejected
     """Count every labelled URL and calibrate the threshold on one fold that is not counted.
 
     Counts are made where the URLs are: distinct (label, gram) with partial aggregation, of which
-    there are at most 2 * SYMBOLS ** (ORDER + 1) however many URLs there are. The threshold is
-    the least score (on a grid of 0.01) that leaves at most `most_lost` of the accepted URLs of
-    the fold above it, but not below 0. None without URLs of both kinds.
+    there are at most 2 * SYMBOLS ** (ORDER + 1) however many URLs there are. Folds are of whole
+    hosts, so the fold has other hosts than those counted. The threshold is the least score (on a
+    grid of 0.01) that leaves at most `most_lost` of the accepted URLs of the fold above it, but
+    not below 0. None without URLs of both kinds.
     """
     rows = labelled.select(F.col(url_col).alias("url"), F.col(rejected_col).cast("boolean").alias("rejected")).filter("url is not null and rejected is not null")
-    fold = F.pmod(F.xxhash64("url"), F.lit(folds))
+    fold = F.pmod(F.xxhash64(host(F.col("url"))), F.lit(folds))
 
     @F.pandas_udf("array<int>")
     def all_grams(urls: pd.Series) -> pd.Series:
@@ -141,9 +140,19 @@ def fit(labelled: DataFrame, url_col: str = "url", rejected_col: str = "rejected
     return model
 
 
-def weak_labels(urls: DataFrame, words: tuple[str, ...] = REJECTED_WORDS, url_col: str = "url") -> DataFrame:
-    """Label URLs for want of better: rejected if the host has one of the words, else accepted."""
-    return urls.select(F.col(url_col).alias("url"), host(F.col(url_col)).rlike("|".join(words)).alias("rejected"))
+def labels_from_text(pages: DataFrame, url_col: str = "url", text_col: str = "text", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """(url, rejected) from the text of the pages, which says nothing of the words in a URL.
+
+    Rejected: the text fails the base quality rules (under 20 words, or over 30 % of them in
+    repeated windows), or one in 20 of its characters is a symbol. Accepted: 50 words or more and
+    at most one symbol in 100 characters. Pages in between, and URLs that a rule decides, are not
+    labels and train neither model. Null text: no words; null URL: no label.
+    """
+    judged = quality.judge_quality(with_rules(pages.select(F.col(url_col).alias("url"), F.col(text_col).alias("text"))), None, id_col="url")
+    open_to_both = judged.filter("url is not null and rule is null")
+    bad = F.col("base_failed") | (20 * F.col("n_symbols") >= F.col("word_chars"))
+    good = (F.col("n_words") >= 50) & (100 * F.col("n_symbols") <= F.col("word_chars"))
+    return open_to_both.select("url", F.when(bad, True).when(good, False).alias("rejected")).filter("rejected is not null")
 
 
 def filter_urls(urls: DataFrame, model: UrlModel | None, rules: tuple[tuple[str, str, str], ...] = RULES, url_col: str = "url") -> DataFrame:

@@ -349,7 +349,7 @@ def test_html_article_in_parts():
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/71?x", "http://a.b.example.com/en/8#t", "ftp://x.net", "http://x.net/de/", "http://net/de/8", "http://anet/de/8", "://org/es/q", "http://日本/ü"]
     frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id int, url string, host string")
-    assert url_filter.fit(url_filter.weak_labels(frame)) is None
+    assert url_filter.fit(url_filter.labels_from_text(frame.select('url', 'host'), text_col='host')) is None
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(frame, None).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("example.com", "/en/71", "example.com/en/7", "allow") and got[4] == ("a.b.example.com", "/en/8", "com/en/", "block")
@@ -357,14 +357,26 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(frame.limit(0), None).count() == 0
 
 
-def test_url_model_holds_out(spark):
-    urls = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url")
-    labelled = url_filter.weak_labels(urls)
-    model = url_filter.fit(labelled.filter(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(3)) > 0))
-    held = labelled.filter(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(3)) == 0)
-    scored = held.withColumn("s", model.scores(F.col("url"))).groupBy("rejected").agg(F.avg("s").alias("m")).collect()
-    means = {r.rejected: r.m for r in scored}
-    assert means[True] > 0 > means[False]
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """Labels from texts only; hosts of bad pages share a style but no host, and some texts are undecided."""
+    r = random.Random(6)
+    part = lambda a: "".join(r.choice(a) for _ in range(r.randint(5, 9)))
+    rows = []
+    for k in range(240):
+        bad = k % 3 == 0
+        name = f"{part('xqzk0189')}-{part('xqzk')}.biz" if bad else f"{part('aeilnrst')}.{part('aeionrt')}.info"
+        for i in range(6):
+            text = "win# $$$ now&&&" if bad else " ".join(f"{x}{j} says" for j, x in enumerate("abcdefghijklmnopqrstuvwxyz" * 2))
+            rows.append((f"http://{name}/{part('abc') if i % 2 else i}", text if i else "thirty words " * 15, bad))
+    frame = spark.createDataFrame(rows, "url string, text string, bad boolean")
+    labels = url_filter.labels_from_text(frame)
+    counts = {x.rejected: x["count"] for x in labels.groupBy("rejected").count().collect()}
+    assert counts[False] == 160 * 5 and counts[True] >= 80 * 5
+    held = F.pmod(F.xxhash64(url_filter.host(F.col("url")), F.lit(9)), F.lit(4)) == 0
+    model = url_filter.fit(labels.filter(~held))
+    out = url_filter.filter_urls(frame.filter(held), model).groupBy("bad").agg(F.avg((F.col("verdict") == "block").cast("int")).alias("blocked"))
+    got = {x.bad: x.blocked for x in out.collect()}
+    assert got[True] > 0.8 and got[False] < 0.02
 
 
 def test_warc_round_trip(spark):
