@@ -47,7 +47,7 @@ def with_answers(chunked: DataFrame, answers: DataFrame, work, schema: str) -> D
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that and the
+    """URI of a new folder below spark.checkpoint.dir, which driver and executors share. Where that and the
     checkpoint folder of the context are unset, a temporary one, if the master is local; on a
     cluster that is an error, as no other machine would see it."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -56,7 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
         top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame) -> DataFrame:

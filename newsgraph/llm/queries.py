@@ -36,7 +36,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

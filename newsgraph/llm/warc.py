@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import re
 import uuid
@@ -26,9 +27,7 @@ _BATCH = "application/http; msgtype=response"
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder in the shared folder, as URI or path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
+    """The file system of a folder in the shared folder, a URI."""
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri)))
 
 
@@ -52,19 +51,23 @@ def record(record_id: int | None, url: str | None, payload: bytes | None, size:
 
 
 def parse(raw: bytes) -> dict:
-    """The columns of RECORD from one whole record."""
+    """The columns of RECORD from one whole record. Size and digest are those of the payload itself
+    and have to equal what its headers say; a revisit has only the headers."""
     head, rest = raw.split(b"\r\n\r\n", 1)
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, body = block.split(b"\r\n\r\n", 1)
     number = lambda k: None if fields[k].endswith(":none>") else int(fields[k].rpartition(":")[2][:-1])
+    size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    if fields["WARC-Type"] == "response" and (len(body), hashlib.sha1(body).hexdigest()) != (size, digest):
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not that of its headers")
     return {
         "record_id": number("WARC-Record-ID"),
         "url": fields.get("WARC-Target-URI"),
         "record_type": fields["WARC-Type"],
         "refers_to": number("WARC-Refers-To") if "WARC-Refers-To" in fields else None,
-        "payload_bytes": int(re.search(rb"Content-Length: (\d+)", http)[1]),
-        "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
+        "payload_bytes": len(body) if fields["WARC-Type"] == "response" else size,
+        "payload_digest": hashlib.sha1(body).hexdigest() if fields["WARC-Type"] == "response" else digest,
         "payload": body if fields["WARC-Type"] == "response" else None,
     }
 
@@ -124,37 +127,37 @@ def _ranges(places: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         yield group
 
 
-def _read(table: pa.Table, folder: str) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
     fs, top = _open(folder)
     schema = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for x in RECORD.split(", ")])
-    places: dict[str, list[tuple[int, int]]] = {}
-    for name, offset, length in zip(*(table[c].to_pylist() for c in ("file", "offset", "length")), strict=True):
-        places.setdefault(name, []).append((offset, length))
-    for name, some in places.items():
-        with fs.open_input_file(f"{top}/{name}") as file:
-            for group in _ranges(sorted(some)):
-                first, last = group[0][0], sum(group[-1])
-                raw = io.BytesIO(file.read_at(last - first, first)).getbuffer()
-                rows = [parse(zlib.decompress(raw[o - first : o - first + n], wbits=31)) for o, n in group]
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
+    for batch in batches:
+        places: dict[str, list[tuple[int, int]]] = {}
+        for name, offset, length in zip(*(batch[c].to_pylist() for c in ("file", "offset", "length")), strict=True):
+            places.setdefault(name, []).append((offset, length))
+        for name, some in places.items():
+            with fs.open_input_file(f"{top}/{name}") as file:
+                for group in _ranges(sorted(some)):
+                    first, last = group[0][0], sum(group[-1])
+                    raw = io.BytesIO(file.read_at(last - first, first)).getbuffer()
+                    rows = [parse(zlib.decompress(raw[o - first : o - first + n], wbits=31)) for o, n in group]
+                    yield pa.RecordBatch.from_pylist(rows if payloads else [r | {"payload": None} for r in rows], schema)
+
+
+def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of an index (all or some) name, without reading the rest.
 
-    Rows of the same stretch of a file meet in one task, which sorts them and joins neighbours
-    into one read. Returns record_id, url, record_type, refers_to, payload_bytes and
-    payload_digest (of the full payload, hexadecimal), payload (null for a revisit).
+    Rows of the same stretch of a file meet in one partition, sorted by offset, and neighbours are
+    joined into one read; there are as many partitions as stretches, or as Spark has for shuffles
+    if those are more. Returns record_id, url, record_type, refers_to, payload_bytes and
+    payload_digest (of the full payload, hexadecimal; computed from the bytes read, for a revisit
+    those that its record gives), payload (null for a revisit, and for all without `payloads`).
     """
-    stretch = F.floor(F.col("offset") / SPAN)
-
-    def read(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_read(table, f"{folder}/warc")))
-
-    return index.select("file", "offset", "length", stretch.alias("stretch")).groupBy("file", "stretch").applyInArrow(read, RECORD)
+    places = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / SPAN))
+    n = max(exchange.partitions(index), places.select("file", "stretch").distinct().count())
+    return places.repartition(n, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(lambda it: _read(it, f"{folder}/warc", payloads), RECORD)
 
 
-def archive_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
+def archive_round_trip(pages: DataFrame, least: int = 1000, payloads: bool = True) -> DataFrame:
     """Write all pages into archives in the shared folder and read every record back."""
     folder = exchange.shared_folder(pages.sparkSession)
-    return read_archives(write_archives(pages, folder, least), folder)
+    return read_archives(write_archives(pages, folder, least), folder, payloads)

@@ -392,6 +392,13 @@ def test_warc_round_trip(spark):
             assert bytes(r.payload) == big.encode() and r.payload_digest == hashlib.sha1(big.encode()).hexdigest()
     some = warc.read_archives(index.filter("record_id = 4"), folder).collect()
     assert [bytes(r.payload) for r in some] == [b"x" * 999]
+    first = index.filter("record_id = 9 and record_type = 'response'").first()
+    raw = warc.record(1, "u", b"abc", 3, hashlib.sha1(b"abc").hexdigest(), None)
+    assert warc.parse(raw)["payload_digest"] == hashlib.sha1(b"abc").hexdigest() and first.length > 0
+    with pytest.raises(ValueError, match="not that of its headers"):
+        warc.parse(raw.replace(b"abc", b"abd"))
+    long = spark.createDataFrame([(i, "u", "y" * 3_000_000 + str(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r.payload_bytes for r in warc.archive_round_trip(long).collect()} == {3_000_001}
     empty = exchange.shared_folder(spark)
     assert warc.read_archives(warc.write_archives(pages.limit(0), empty), empty).count() == 0
 
