@@ -242,7 +242,9 @@ def test_mixing_edges(spark, odd, none):
     out = mixing.mix_sources(odd.withColumn("size", F.lit("clash")))
     rows = out.collect()
     assert len(rows) == 10 and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in rows)
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(odd.repartition(3)).withColumn("x", F.lit(1)).drop("x").collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(odd.withColumn("size", F.lit("clash")).repartition(3)).collect()))
+    clash = mixing.mix_sources(odd.select("*", *(F.lit("mine").alias(c) for c in ("row", "rank", "bin", "mark", "weight", "sid", "src")))).collect()
+    assert len(clash) == 10 and all(r.rank == r.bin == r.row == r.sid == "mine" for r in clash)
     assert mixing.mix_sources(none).count() == 0
     zero = mixing.mix_sources(docs(spark, [(1, None, "a"), (2, "", None)])).collect()
     assert [r.taken for r in zero] == [0, 0]
@@ -268,13 +270,34 @@ def test_targets_stop_at_three_times(spark):
 
 
 def test_unequal_wishes_shift_inclusion(spark):
-    rows = docs(spark, [(i, "one two three", "a" if i % 2 else "b") for i in range(4000)])
+    """Documents are included as often as the odds say: m * desire with the expected words that are left."""
+    rows = docs(spark, [(i, "one two three", "a" if i % 2 else "b") for i in range(20_000)])
     out = mixing.mix_sources(rows, (1.0, 3.0), desire=F.when(F.col("doc_id") % 4 < 2, 4.0).otherwise(1.0))
-    low = {r[0]: r[1] for r in out.filter("source = 'a'").groupBy((F.col("doc_id") % 4 < 2).alias("x")).agg(F.avg("copies")).collect()}
-    assert low[True] > 1.2 * low[False]
+    share = {r[0]: r[1] for r in out.filter("source = 'a'").groupBy((F.col("doc_id") % 4 < 2).alias("x")).agg(F.avg("copies")).collect()}
+    # Half of the words: 4m / (1 + 4m) + m / (1 + m) = 1 has the solution m = 1/2.
+    assert abs(share[True] - 2 / 3) < 0.03 and abs(share[False] - 1 / 3) < 0.03
     assert abs(out.filter("source = 'a'").agg(F.sum("taken") - F.first("target")).first()[0]) <= 3
 
 
+def test_mix_of_documents_by_size(spark, sf):
+    """size, source_size, copies and the words of each source, against plain Python; longer documents are likelier."""
+    given = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = mixing.mix_sources(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(given)
+    size = {i: len(WORD.findall(r.text)) for i, r in given.items()}
+    of = {s: sum(size[i] for i, r in given.items() if r.source == s) for s in {r.source for r in given.values()}}
+    taken, target = Counter(), {}
+    for r in rows:
+        assert (r.size, r.source_size) == (size[r.doc_id], of[r.source]) and 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert abs(sum(target.values()) - sum(of.values())) < 1e-3
+    assert all(abs(taken[s] - target[s]) <= max(size[i] for i, r in given.items() if r.source == s) / 2 + 1 for s in of)
+    extra = [(r.size, r.copies - int(r.target / r.source_size)) for r in rows if r.target / r.source_size % 1 > 0.05]
+    long, short = ([x for n, x in extra if (n > 400) == k] for k in (True, False))
+    assert sum(long) / len(long) > sum(short) / len(short)
+
+
 def test_secret_edges(odd, none):
     assert secrets.secret_report(odd).count() == 10 and secrets.secret_report(none).count() == 0
     assert {r.spans for r in secrets.secret_report(odd).collect()} == {""}
