@@ -34,7 +34,8 @@ def template(text: Column) -> Column:
 def with_window_hashes(df: DataFrame, template_tokens: str, sizes: list[int]) -> DataFrame:
     """A row (at, hash) for each place and size, with the hash of so many tokens from there on."""
     df = df.withColumn("_n", F.size(template_tokens)).withColumn("_size", F.explode(F.array(*map(F.lit, sizes))))
-    df = df.filter("_n >= _size").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_size"))))
+    # Outer, as Spark else tests the size of the sequence, and so tokenises, before it explodes.
+    df = df.filter("_n >= _size").withColumn("at", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - F.col("_size"))))
     return df.withColumn("hash", F.xxhash64(F.slice(template_tokens, F.col("at") + 1, F.col("_size")))).drop("_n", "_size", template_tokens)
 
 
@@ -87,29 +88,38 @@ def leaks(docs: DataFrame, items: DataFrame, doublings: int = 3, literals: int =
     # As many rows as places come in, few go on: those with the start of a window, and its lengths.
     lengths = known.groupBy("hash").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
     hits = exchange.written(rows.join(exchange.small(lengths), "hash").select("_k1", "_k2", "at", F.explode("lengths").alias("n")).distinct())
-    per_row = hits.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
-    keyed = docs.select(*_key(id_col, text_col), text_col).join(exchange.small(per_row), ["_k1", "_k2"])
-    keyed = keyed.select("_k1", "_k2", "hits", tokens(F.col(text_col)).alias("_r"), template(F.col(text_col)).alias("_t"))
-    found = keyed.select("_k1", "_k2", "_r", "_t", F.explode("hits").alias("h")).filter("h.at + h.n <= size(_t)")
+    # Texts of the rows with hits, each once; then the hits, which are narrow, of each.
+    rows = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).join(exchange.small(hits.select("_k1", "_k2").distinct()), ["_k1", "_k2"], "left_semi")
+    parsed = exchange.written(rows.select("_k1", "_k2", tokens(F.col("text")).alias("_r"), template(F.col("text")).alias("_t")).dropDuplicates(["_k1", "_k2"]))
+    found = parsed.join(hits, ["_k1", "_k2"]).select("_k1", "_k2", "_r", "_t", F.struct("at", "n").alias("h")).filter("h.at + h.n <= size(_t)")
     found = found.select("_k1", "_k2", "h.at", "h.n", *(F.slice(c, F.col("h.at") + 1, F.col("h.n")).alias(name) for c, name in (("_r", "found"), ("_t", "as"))))
     found = found.withColumn("whole", F.xxhash64("as"))
     same = found.join(exchange.small(known, 200_000), ["whole", "n"]).filter((F.col("as") == F.col("template")) & consistent(F.col("template"), F.col("raw"), F.col("found")))
     return same.groupBy("_k1", "_k2").agg(F.count_distinct("at", "n").alias("n_windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
+def _keyed(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(row, _k1, _k2): docs as a struct, so that no name of theirs meets one of these."""
+    return docs.select(F.struct(*columns).alias("row"), *_key(id_col, text_col))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doublings: int = 3, literals: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs of the rows that leaks() finds, with n_windows and items.
 
     Null or empty text, or an item without tokens: never found. An item with fewer tokens than a
     window, or too few words beside its placeholders, has no window and is found by the whole of
-    its template. Equal rows are found together. Windows of the benchmark are broadcast only if they are counted to be few.
+    its template. Equal rows are found together; rows with equal ids and different texts are
+    different rows. Columns of docs named n_windows and items are replaced. No docs or no items:
+    none. Windows of the benchmark and rows that are found are broadcast only if they are counted
+    to be few.
     """
+    own = [c for c in docs.columns if c not in ("n_windows", "items")]
     found = exchange.small(exchange.written(leaks(docs, items, doublings, literals, id_col, text_col)))
-    keyed = docs.drop("n_windows", "items").select("*", *_key(id_col, text_col))
-    return keyed.join(found, ["_k1", "_k2"]).drop("_k1", "_k2")
+    return _keyed(docs, own, id_col, text_col).join(found, ["_k1", "_k2"]).select(*(F.col("row")[c].alias(c) for c in own), "n_windows", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doublings: int = 3, literals: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that contaminated() returns; the columns stay as they are."""
-    found = exchange.small(exchange.written(leaks(docs, items, doublings, literals, id_col, text_col)))
-    return docs.select("*", *_key(id_col, text_col)).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    found = exchange.small(exchange.written(leaks(docs, items, doublings, literals, id_col, text_col).select("_k1", "_k2")))
+    kept = _keyed(docs, docs.columns, id_col, text_col).join(found, ["_k1", "_k2"], "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsgraph.llm import exchange
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,13 +110,18 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
     return both.groupBy("_k1", "_k2").agg(F.collect_set("use.kind").alias("kinds"))
 
 
-def with_candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kinds: the rules to verify on each row, those without mandatory trigrams always."""
+def _with_kinds(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """(row, kinds): docs as a struct, so that no name of theirs meets one of these, and the rules to
+    verify on each row, those without mandatory trigrams always.
+
+    Texts stay where they are if the rows with candidates are counted to be few; else both sides
+    are shuffled by the key.
+    """
     always = [r.kind for r in rules if trigram_query(r.pattern) == _ANY]
-    keyed = docs.select("*", *_key(text_col, id_col))
-    joined = keyed.join(candidates(docs, rules, id_col, text_col), ["_k1", "_k2"], "left")
+    found = exchange.small(exchange.written(candidates(docs, rules, id_col, text_col)), 200_000)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *_key(text_col, id_col))
     kinds = F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.array(*map(F.lit, always)).cast("array<string>"))
-    return joined.withColumn("kinds", kinds).drop("_k1", "_k2")
+    return keyed.join(found, ["_k1", "_k2"], "left").select("row", kinds.alias("kinds"))
 
 
 def _pieces(text: Column, rule: Rule) -> Column:
@@ -149,20 +156,27 @@ def _cut(p: Column, rule: Rule) -> Column:
     return F.struct(F.length(match).cast("long").alias("size"), (F.length(value) >= rule.least).alias("ok"), F.length(rest).cast("long").alias("rest"))
 
 
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """(row, found): docs as a struct and the spans of all rules in each text."""
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    names = [f"pieces{i}" for i in range(len(rules))]
+    pieces = [F.when(F.array_contains("kinds", r.kind), _pieces(text, r)).otherwise(F.array(F.lit(""))).alias(n) for n, r in zip(names, rules, strict=True)]
+    out = _with_kinds(docs, rules, id_col, text_col).select("row", *pieces)
+    spans = [_found(F.col(n), r, i) for i, (n, r) in enumerate(zip(names, rules, strict=True))]
+    return out.select("row", F.sort_array(F.concat(*spans)).alias("found"))
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add found, the spans of all rules in order of start and rule, to the columns of docs.
 
     Trigram queries pick the rules to run on each row; matches of a rule are leftmost and do not
     overlap, and count if their value is long enough. Spans are in code points, end exclusive.
     Null or empty text: none. Rows that are equal in id and text share one posting and are each
-    returned. Columns of docs named kinds or found are replaced.
+    returned; rows with equal ids and different texts are different rows. A column of docs named
+    found is replaced; all others stay as they are, whatever their names. Empty table: none.
     """
-    out = with_candidates(docs.drop("kinds", "found"), rules, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [f"_pieces{i}" for i in range(len(rules))]
-    out = out.withColumns({n: F.when(F.array_contains("kinds", r.kind), _pieces(text, r)).otherwise(F.array(F.lit(""))) for n, r in zip(names, rules, strict=True)})
-    spans = [_found(F.col(n), r, i) for i, (n, r) in enumerate(zip(names, rules, strict=True))]
-    return out.withColumn("found", F.sort_array(F.concat(*spans))).drop("kinds", *names)
+    own = [c for c in docs.columns if c != "found"]
+    return _scanned(docs.select(*own), rules, id_col, text_col).select(*(F.col("row")[c].alias(c) for c in own), "found")
 
 
 def span_text(found: Column) -> Column:
@@ -180,16 +194,18 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<redacted>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of scan_secrets() replaced by `mark` (spans that overlap by one); all rows stay."""
-    out = scan_secrets(docs, rules, id_col, text_col)
+    """docs with every span of scan_secrets() replaced by `mark` (spans that overlap by one); all rows
+    and columns stay. Null text stays null."""
+    text = F.col("row")[text_col]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(since: Column, until: Column) -> Column:
-        return F.substring(F.col(text_col), (since + 1).cast("int"), (until - since).cast("int"))
+        return F.substring(text, (since + 1).cast("int"), (until - since).cast("int"))
 
     def step(acc: Column, span: Column) -> Column:
         new = F.concat(acc["out"], F.array(cut(acc["at"], span["start"]), F.lit(mark)))
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(span["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), cut(acc["at"], F.length(text_col).cast("long"))))
-    return out.withColumn(text_col, F.when(F.size("found") > 0, whole).otherwise(F.col(text_col))).select(*docs.columns)
+    whole = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), cut(acc["at"], F.length(text).cast("long"))))
+    clean = F.when(F.size("found") > 0, whole).otherwise(text)
+    return _scanned(docs, rules, id_col, text_col).select(*(clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

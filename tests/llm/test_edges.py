@@ -298,10 +298,14 @@ def test_mix_of_documents_by_size(spark, sf):
     assert sum(long) / len(long) > sum(short) / len(short)
 
 
-def test_secret_edges(odd, none):
+def test_secret_edges(spark, odd, none):
     assert secrets.secret_report(odd).count() == 10 and secrets.secret_report(none).count() == 0
     assert {r.spans for r in secrets.secret_report(odd).collect()} == {""}
-    assert sorted(map(str, secrets.redact_secrets(odd).collect())) == sorted(map(str, odd.collect()))
+    clash = odd.select("*", *(F.lit("mine").alias(c) for c in ("kinds", "found", "_k1", "_k2", "row", "pieces0")))
+    assert sorted(map(str, secrets.redact_secrets(clash).collect())) == sorted(map(str, clash.collect()))
+    assert {(r.kinds, r._k1, r.row, len(r.found)) for r in secrets.scan_secrets(clash).collect()} == {("mine", "mine", "mine", 0)}
+    ties = docs(spark, [(7, "token=abcdefg", "a"), (7, "no such thing", "a"), (7, "token=abcdefg", "a"), (None, "token=abcdefg", "a")])
+    assert sorted((r.doc_id or 0, r.n_assign) for r in secrets.secret_report(ties).collect()) == [(0, 1), (7, 0), (7, 1), (7, 1)]
 
 
 def test_secret_spans_equal_python(spark):
@@ -312,6 +316,12 @@ def test_secret_spans_equal_python(spark):
     for i, text, _ in rows:
         want = sorted((m.start(), k, rule.kind, m.end()) for k, rule in enumerate(secrets.RULES) for m in re.finditer(rule.pattern, text) if len(m[1]) >= rule.least)
         assert got[i].spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        # The patterns and lengths of the contract.
+        base = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+        spans = sorted((m.start(), k, kind, m.end()) for k, (kind, pattern, group, least) in enumerate(base) for m in re.finditer(pattern, text) if len(m[group]) >= least)
+        counts = Counter(kind for _, _, kind, _ in spans)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == (counts["assign"], counts["access"], counts["hex"])
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
     clean = {x.doc_id: x.text for x in secrets.redact_secrets(docs(spark, rows)).collect()}
     assert not any("AKIAABC" in t or "ghp_a" in t for t in clean.values()) and len(clean) == 80
 
@@ -330,6 +340,9 @@ def test_leaks_and_consistent_slots(spark, odd, none):
     bad = docs(spark, [(1, "when Eve met Joe then Eve sent a letter home", "s"), (2, "when Eve met Joe then Joe sent a letter home", "s")])
     assert {r.doc_id for r in decontaminate.contaminated(bad, other).collect()} == {1}
     assert decontaminate.contaminated(odd, items).count() == 0 and decontaminate.decontaminate(odd, items).count() == 10
+    clash = docs(spark, rows).select("*", *(F.lit("mine").alias(c) for c in ("_k1", "_k2", "row", "items", "at", "hits")))
+    assert {(r.doc_id, r._k1, r.row, r.hits) for r in decontaminate.contaminated(clash, items).collect()} == {(1, "mine", "mine", "mine"), (3, "mine", "mine", "mine")}
+    assert [r.items for r in decontaminate.decontaminate(clash, items).collect()] == ["mine"]
     assert decontaminate.decontaminate(none, items).count() == 0 and decontaminate.decontaminate(odd, items.limit(0)).count() == 10
 
 
@@ -344,6 +357,59 @@ def test_short_and_slot_dense_items(spark):
     assert sorted((r.doc_id, tuple(r.items), r.n_windows) for r in found) == [(1, (1,), 1), (4, (2,), 1), (4, (2,), 1), (6, (3,), 1), (9, (4,), 1), (10, (5,), 1), (12, (6,), 1)]
 
 
+def _consistent(template, raw, found):
+    ours, theirs = {}, {}
+    for t, r, f in zip(template, raw, found, strict=True):
+        if t not in "0NU":
+            if r != f:
+                return False
+        elif ours.setdefault((t, r), f) != f or theirs.setdefault((t, f), r) != r:
+            return False
+    return True
+
+
+def test_template_windows_equal_brute_force(spark):
+    """Every window of every item against every place of every document, slots one to one."""
+    r = random.Random(8)
+    word = lambda: r.choice(["red", "wire", "moon", "was", "of", "Ann", "Bob", "Eve", "7", "12", "3 km", "it's"])
+    items = [(i, " ".join(word() for _ in range(r.randint(9, 14)))) for i in range(12)]
+    swap = {"Ann": "Bob", "Bob": "Ann", "7": "41", "12": "5"}
+    rows = []
+    for i in range(150):
+        text = r.choice(items)[1].split()
+        a = r.randint(0, 3)
+        text = [swap.get(x, x) if i % 2 else x for x in text[a:]]
+        if r.random() < 0.4:
+            text[r.randrange(len(text))] = "Eve"
+        rows.append((i, " ".join([word() for _ in range(3)] + text + [word() for _ in range(3)])))
+    split = lambda t: re.findall(r"[^\W_]+", t)
+
+    def parsed(text):
+        raw = split(text)
+        out = ["0" if x.isdigit() else "N" if x[0].isupper() else x for x in raw]
+        return raw, [("U" if x in decontaminate.UNITS and out[i - 1] == "0" and i else x) for i, x in enumerate(out)]
+
+    windows = []
+    for i, text in items:
+        raw, t = parsed(text)
+        own = [(i, t[j : j + 8], raw[j : j + 8]) for j in range(len(t) - 7) if sum(x not in "0NU" for x in t[j : j + 8]) >= 5]
+        windows += own or [(i, t, raw)]
+    want = {}
+    for i, text in rows:
+        raw, t = parsed(text)
+        found = [(j, item, len(w)) for item, w, wr in windows for j in range(len(t) - len(w) + 1) if t[j : j + len(w)] == w and _consistent(w, wr, raw[j : j + len(w)]) and (set(w) - set("0NU") or wr == raw[j : j + len(w)])]
+        if found:
+            want[i] = (len({(j, n) for j, _, n in found}), sorted({item for _, item, _ in found}))
+    got = decontaminate.contaminated(docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string"))
+    assert {x.doc_id: (x.n_windows, list(x["items"])) for x in got.collect()} == want and 20 < len(want) < 150
+
+
+def test_documents_are_tokenised_once(spark):
+    rows = decontaminate.with_window_hashes(docs(spark, [(1, "a b", "s")]).select("doc_id", decontaminate.template(F.col("text")).alias("t")), "t", [8, 4])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_html_edges(spark):
     pages = [
         (1, None, ""), (2, "", ""), (3, "<p>unclosed <b>bold", "unclosed bold"), (4, "<<>&&amp; x", "<<>&& x"), (5, "<script>var a='<p>x</p>'</script>", ""),
