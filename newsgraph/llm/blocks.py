@@ -157,7 +157,7 @@ class Keys:
         if bucket is not None:
             new[1:] |= np.diff(bucket[self.order]) != 0
         self.at = np.flatnonzero(new)
-        self.until = np.append(self.at[1:], len(ordered))
+        self.until = np.append(self.at[1:], len(ordered))[: len(self.at)]
         self.keys = ordered[self.at]
         self.bucket = ranges(self.keys, buckets) if bucket is None else self.first(bucket)
 

@@ -1,10 +1,10 @@
 """Documents in chunks that ask buckets about their keys: the traffic of both substring operators.
 
-Documents are dealt to chunks by a hash of their id. A chunk sends every bucket one row with its
+Documents are dealt to chunks by a hash of id and text. A chunk sends every bucket one row with its
 distinct keys, packed; a bucket answers each chunk with one row. So a passage that a third of all
 documents share costs a chunk one key, however many of its documents hold it, and Spark moves
-few, large rows. Chunk and bucket numbers follow spark.sql.shuffle.partitions, so both stay as
-large as a partition whatever the size of the input. The text is shuffled once: every use of the
+few, large rows. Chunk and bucket numbers follow the bytes of text (sizes()), so a task holds as
+much whatever the size of the input. The text is shuffled once: every use of the
 chunks below has the same exchange, which Spark reuses.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: What a null id counts as: larger than every other.
 NO_ID = 2**63 - 1
+#: Bytes of text of a chunk.
+CHUNK = 32 << 20
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -27,11 +29,19 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """How many chunks (of CHUNK bytes of text at most on average) and buckets (half as many, as they
+    hold keys) to use; at least two chunks and a bucket for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = partitions(docs)
+    return max(2 * n, -(-total // CHUNK)), max(n, -(-total // (2 * CHUNK)))
+
+
 def chunks(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """chunk, id (null as given), key (id, null as NO_ID), text of every document."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     return docs.select(
-        F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(key, F.col(text_col)), F.lit(n)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("id"),
         key.alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),

@@ -26,13 +26,15 @@ IMPLIED = {
 }
 #: What a block element begins ends an open paragraph; these stop the search for it.
 SCOPE = frozenset("article section main div body td th li table blockquote aside header footer nav form".split())
-#: Words of a class, id or role that mark what is beside the article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|cookies?|consent|copyright|disqus|dropdown|footer|foot|"
-    r"gdpr|header|masthead|menu|modal|nav|navbar|navigation|navlinks|newsletter|notice|notification|pagination|pager|popup|promo\w*|recommend\w*|related|"
-    r"replies|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|teaser|toolbar|topbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Words of a class, id or role that mark what is beside the article, and words that go with them.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus "
+    "dropdown footer gdpr header masthead menu modal nav navbar navigation navlinks newsletter notice notification pagination pager popup promo promoted promotion recommended "
+    "recommendations related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
 )
+NEUTRAL = frozenset("area bar block bottom box button buttons container content form group inner item items left link links list main outer page policy right section site slot small top unit wrap wrapper".split())
+#: Of those, words that a part of the article may end with, as in post-header.
+OWN = frozenset("header search share tags".split())
 #: Containers of which one encloses the article.
 REGIONS = frozenset("article main section div body td".split())
 #: On the scale of log1p(characters outside links for each tag): what a line beside an article or
@@ -40,6 +42,16 @@ REGIONS = frozenset("article main section div body td".split())
 PRIOR, PROSE = 1.0, float(np.log1p(25))
 
 
+def beside(marks: str) -> bool:
+    """Whether a class, id or role says that an element is beside the article: it ends with such a
+    word (page-sidebar), or holds one and else only words that go with all (sidebar-left)."""
+    for mark in re.sub(r"([a-z])([A-Z])", r"\1-\2", marks).lower().split():
+        parts = [x for x in re.split(r"[-_0-9]+", mark) if x]
+        if parts and (parts[-1] in BESIDE - OWN or any(x in BESIDE for x in parts) and all(x in BESIDE or x in NEUTRAL for x in parts)):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Blocks of a page as lines: text, tags in and before it, length in links, open regions."""
 
@@ -51,6 +63,24 @@ class _Lines(HTMLParser):
         self.tags = self.linked = self.regions = 0
         self.parent = [0]
         self.kind = ["body"]
+        self.ended = False
+
+    # What begins like a declaration, a comment or an instruction and is not well formed ends with
+    # the next ">", or with the page, as in browsers; the parser of the library raises or shows it.
+
+    def _until(self, mark: str, i: int) -> int:
+        end = self.rawdata.find(mark, i)
+        return end + len(mark) if end >= 0 else len(self.rawdata) if self.ended else -1
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._until(">", i + 2)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        short = self.rawdata.startswith(("<!-->", "<!--->"), i)
+        return self._until(">", i + 4) if short else self._until("-->", i + 4)
+
+    def parse_pi(self, i: int) -> int:
+        return self._until(">", i + 2)
 
     def _state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (False, 0)
@@ -64,7 +94,9 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag == "br":
+            self.handle_data(" ")
+        elif tag not in INLINE:
             self._break()
             for i in range(len(self.open) - 1, -1, -1):
                 name = self.open[i][0]
@@ -81,7 +113,7 @@ class _Lines(HTMLParser):
             left_out = True
         elif tag not in ("html", "body", "article", "main") and given:
             marks = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-            left_out |= bool(BESIDE.search(marks)) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
+            left_out |= beside(marks) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
         if tag in REGIONS:
             self.regions += 1
             self.parent.append(region)
@@ -144,8 +176,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The blocks of the article, joined by line feeds."""
     if not html:
         return ""
+    # A tag that the page ends within is none.
+    rest = html.rfind(">") + 1
+    cut = re.search("<[A-Za-z/!?]", html[rest:])
     page = _Lines()
-    page.feed(html)
+    page.feed(html[: rest + cut.start()] if cut else html)
+    page.ended = True
     page.close()
     page._break()
     lines = page.lines

@@ -349,8 +349,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_
     """
     if not ANCHOR < window < 64 + ANCHOR:
         raise ValueError("window must be of 17 to 79 bytes")
-    n = exchange.partitions(docs)
-    chunked = exchange.chunks(docs, 2 * n, id_col, text_col)
+    n_chunks, n = exchange.sizes(docs, text_col)
+    chunked = exchange.chunks(docs, n_chunks, id_col, text_col)
 
     def ask(table: pa.Table) -> pa.Table:
         return _Chunk(table, window, n).ask()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -423,6 +424,39 @@ def test_html_edges(spark):
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a<![foo[x]]>b</p>", "ab"), ("<!DOCTYPE html [<!x", ""), ("<p>a<![endif]-->b</p>", "ab"), ("<p>a<!-- b", "a"), ("<p>a<?php b", "a"), ("<p>a<!>b<!--->c</p>", "abc"),
+        ("<p>one<br>two<br/>three</p><p>x<wbr>y</p>", "one two three\nxy"), ("<p>a</p><p>b <a href='x", "a\nb"), ("<p>1 < 2 &lt 3 &#8217;&#x41;&bogus;", "1 < 2 < 3 ’A&bogus;"),
+        ("<article><div class='post-header'><h1>Title</h1></div><p class='share-price'>It rose.</p><div class='article-comments'>no</div><div class='siteSidebar'>no</div></article>", "Title\nIt rose."),
+    ],
+)
+def test_html_of_odd_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_html_survives_any_markup():
+    r = random.Random(9)
+    parts = ["<", ">", "<a", "<p>", "</p>", "<!", "<![", "<!--", "-->", "]]>", "<?", "'", '"', "=", " class=ad", "&#", "&amp", ";", "text ", "<script>", "</script>", "<table>", "<td", "\x00", "é", "<br>", "</", "<svg/>", "<![CDATA["]
+    for _ in range(3000):
+        assert isinstance(html_text.main_text("".join(r.choice(parts) for _ in range(r.randint(1, 40)))), str)
+    for long in ("<a" * 100_000, "<p>x</p>" * 50_000, "<!" * 100_000, "<div>" * 30_000 + "x", "&#" * 100_000, "<a href='" * 20_000 + ">", "y" * 2_000_000):
+        before = time.process_time()
+        html_text.main_text(long)
+        assert time.process_time() - before < 5, long[:20]
+
+
+def test_html_threshold_decides(monkeypatch):
+    """Without the clusters, menus and teasers that no tag or class marks come into the text."""
+    menu = "<div><ul>" + "".join(f"<li><a href={i}>topic {i}</a></li>" for i in range(12)) + "</ul></div>"
+    page = f"<body>{menu}<div><h2>Head</h2>" + "".join(f"<p>{' '.join(f'w{i}x{j} of the story' for j in range(20))}.</p>" for i in range(5)) + f"</div>{menu}</body>"
+    text = html_text.main_text(page)
+    assert "topic" not in text and text.startswith("Head\n") and text.count("\n") == 5
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1e9)
+    assert "topic" in html_text.main_text(page)
+
+
 def test_html_article_in_parts():
     """Several article elements, a lead beside a body, and an article element that holds little."""
     a, b, c = (" ".join(f"{x}{i} of the story" for i in range(25)) + "." for x in "abc")
