@@ -43,10 +43,10 @@ def candidates_structured(articles: DataFrame, clusters: DataFrame) -> DataFrame
 @query(
     "C10_candidates",
     """with a as (select slug, unnest(raw_tags) as key, published_at from articles where content_type = 'news'), c as (select source_name as id, published_at as latest_at, unnest(raw_tags) as key from articles where content_type = 'kev_catalog')
-    select distinct slug, id from a join c using (key) where length(key) > 3 and latest_at between published_at - interval 30 day and published_at + interval 14 day""",
+    select distinct slug, id from a join c using (key) where latest_at between published_at - interval 30 day and published_at + interval 14 day""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.articles.select("slug", "source_name", "content_type", "published_at", F.explode("raw_tags").alias("key")).filter("length(key) > 3")
+    rows = t.articles.select("slug", "source_name", "content_type", "published_at", F.explode("raw_tags").alias("key"))
     clusters = rows.filter("content_type = 'kev_catalog'").select(F.col("source_name").alias("id"), "key", F.col("published_at").alias("latest_at"), F.lit("new").alias("state"))
     return candidates_structured(rows.filter("content_type = 'news'").select("slug", "key", "published_at"), clusters)
 
@@ -99,22 +99,30 @@ def dedup_by_key(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return roots.join(best, "root").select("id", "survivor")
 
 
-_COMPONENTS = """with recursive k as (select distinct l_orderkey as id, l_partkey as key from lineitem where l_quantity > 49 and l_discount > 0.05), e as (select distinct x.id as a, y.id as b from k x join k y using (key) where x.id <> y.id),
-    r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as root from r group by 1), s as (select l_orderkey as id, count(*) as n from lineitem group by 1),
+_COMPONENTS = """with recursive k as (select distinct cast(floor(doc_id / 5) as bigint) as id, upper(unnest(cve_ids)) as key from articles), e as (select distinct x.id as a, y.id as b from k x join k y using (key) where x.id <> y.id),
+    r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as root from r group by 1), s as (select cast(floor(doc_id / 5) as bigint) as id, count(*) as n from articles group by 1),
     b as (select id, root, first_value(id) over (partition by root order by n desc, id) as survivor from c join s using (id)) select id, survivor from b"""
 
 
+def _fives(t: Tables) -> DataFrame:
+    """Articles as members of clusters of five."""
+    return t.articles.withColumn("cluster_id", F.floor(F.col("doc_id") / 5))
+
+
+def _survivors(t: Tables) -> DataFrame:
+    """Clusters that share CVEs, in chains too."""
+    keys = _fives(t).select(F.col("cluster_id").alias("id"), F.explode(F.transform("cve_ids", F.upper)).alias("key")).distinct()
+    return dedup_by_key(keys, _fives(t).groupBy(F.col("cluster_id").alias("id")).agg(F.count("*").alias("n")))
+
+
 @query("K12_dedup", _COMPONENTS)
 def _(t: Tables) -> DataFrame:
-    keys = t.lineitem.filter("l_quantity > 49 and l_discount > 0.05").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
-    return dedup_by_key(keys, t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")))
+    return _survivors(t)
 
 
-@query("K11_absorb", _COMPONENTS.replace("select id, survivor from b", ", m as (select l_orderkey as id, l_partkey as slug from lineitem) select coalesce(survivor, m.id) as id, count(distinct slug) as article_count from m left join b on b.id = m.id group by 1"))
+@query("K11_absorb", _COMPONENTS.replace("select id, survivor from b", ", m as (select cast(floor(doc_id / 5) as bigint) as id, slug from articles) select coalesce(survivor, m.id) as id, count(distinct slug) as article_count from m left join b on b.id = m.id group by 1"))
 def _(t: Tables) -> DataFrame:
-    keys = t.lineitem.filter("l_quantity > 49 and l_discount > 0.05").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
-    moved = dedup_by_key(keys, t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")))
-    return absorb(t.members, moved)
+    return absorb(_fives(t).select("cluster_id", "slug"), _survivors(t))
 
 
 def absorb(members: DataFrame, moved: DataFrame) -> DataFrame:
@@ -202,9 +210,10 @@ def assign_by_key(articles: DataFrame, keyed: DataFrame, days: int) -> DataFrame
 
 @query("K4_assign")
 def _(t: Tables) -> DataFrame:
-    """Articles that share a rare CVE of the catalogue may share a cluster; checked by brute force in the tests."""
-    rows = t.articles.filter("content_type in ('kev_catalog', 'ics_advisory')").select("slug", "published_at", F.lit(True).alias("may_seed"), F.explode_outer("cve_ids").alias("key"))
-    return assign_by_key(rows.select("slug", "published_at", "may_seed").distinct(), rows.filter("key like 'CVE%'").select("slug", "key"), 3)
+    """Articles that take the full route may share a cluster if they share a CVE; checked by brute force in the tests."""
+    full = t.articles.filter(route(F.col("content_type"), F.col("category") == "fr") == "full")
+    keyed = full.select("slug", F.explode(F.transform("cve_ids", F.upper)).alias("key")).distinct()
+    return assign_by_key(full.select("slug", "published_at", F.lit(True).alias("may_seed")), keyed, 3)
 
 
 def build_clusters(members: DataFrame, articles: DataFrame) -> DataFrame:
@@ -246,12 +255,31 @@ def _(t: Tables) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.min("turn").alias("earliest"), F.max("turn").alias("latest"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("keywords"))
 
 
-@query("D20_signature", "select slug, array_to_string(list_sort(list(distinct case when type = 'actor' then normalized_key end) filter (type = 'actor')), ',') as actors, case when count(distinct case when type = 'actor' then normalized_key end) > 1 then 'high' when count(distinct normalized_key) > 1 then 'medium' else 'low' end as confidence from mentions group by 1")
-def _(t: Tables) -> DataFrame:
-    return event_signature(t.mentions).withColumn("actors", F.nullif(F.array_join("actors", ","), F.lit("")))
+#: Columns of an event signature and the type of their keys.
+SIGNATURE = {"vuln_aliases": "vuln_alias", "campaign_names": "campaign", "affected_products": "product", "primary_actors": "actor"}
 
 
 def event_signature(mentions: DataFrame) -> DataFrame:
-    """Ordered distinct keys by type and how far they tell the event: two actors, two keys, or less."""
-    out = mentions.groupBy("slug").agg(F.array_sort(F.collect_set(F.when(F.col("type") == "actor", F.col("normalized_key")))).alias("actors"), F.count_distinct("normalized_key").alias("n"))
-    return out.select("slug", "actors", F.when(F.size("actors") > 1, "high").when(F.col("n") > 1, "medium").otherwise("low").alias("confidence"))
+    """Per slug the distinct keys of CVEs, aliases, campaigns, products and actors in the order in
+    which they are mentioned, and the confidence: high with two CVEs or a CVE and an alias, medium
+    with a CVE, an alias or a campaign, else low. mentions: slug, type, normalized_key, place."""
+    first = mentions.groupBy("slug", "type", "normalized_key").agg(F.min("place").alias("place"))
+    keys = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("place", "normalized_key")))), lambda x: x["normalized_key"])
+    out = first.groupBy("slug").agg(keys("cve").alias("cve_ids"), *(keys(kind).alias(name) for name, kind in SIGNATURE.items()))
+    n_cves, n_aliases = F.size("cve_ids"), F.size("vuln_aliases")
+    confidence = F.when((n_cves >= 2) | ((n_cves > 0) & (n_aliases > 0)), "high").when((n_cves > 0) | (n_aliases > 0) | (F.size("campaign_names") > 0), "medium").otherwise("low")
+    return out.withColumn("confidence", confidence)
+
+
+_KEYS = {"cve_ids": "cve"} | SIGNATURE
+
+
+@query(
+    "D20_signature",
+    "with f as (select slug, type, normalized_key, min(place) as place from mentions group by 1, 2, 3), s as (select slug, "
+    + ", ".join(f"coalesce(string_agg(normalized_key, ',' order by place, normalized_key) filter (type = '{kind}'), '') as {name}, count(*) filter (type = '{kind}') as n_{kind}" for name, kind in _KEYS.items())
+    + f" from f group by 1) select slug, {', '.join(_KEYS)}, case when n_cve >= 2 or (n_cve > 0 and n_vuln_alias > 0) then 'high' when n_cve > 0 or n_vuln_alias > 0 or n_campaign > 0 then 'medium' else 'low' end as confidence from s",
+)
+def _(t: Tables) -> DataFrame:
+    out = event_signature(t.mentions)
+    return out.select("slug", *(F.array_join(c, ",").alias(c) for c in _KEYS), "confidence")

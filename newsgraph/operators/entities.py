@@ -135,18 +135,20 @@ def _(t: Tables) -> DataFrame:
 
 # --- loads of landed JSON (A13-A18) --------------------------------------------------------------
 
-LEGAL = r"(?i)[,\s]+(inc|corp|corporation|ltd|llc|gmbh|co)\.?$"
+#: Suffixes of firms and names of tools that are plain words; fixed values.
+LEGAL = r"(?i)\s+(corp\.?|inc\.?|ltd\.?|llc\.?|gmbh|co\.|limited|incorporated)\s*$"
+STOP_NAMES = ("at", "net", "ftp", "cmd")
 
 
 def load_kev(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Rows of the catalogue (JSON text in a column) with cleaned vendors and dates; rows without a
-    CVE or with a bad date go."""
+    """Rows of the catalogue (JSON text in a column) with dates and vendors without a parenthesis and
+    a legal suffix at the end; rows without a CVE or a vendor of two letters, or with a bad date, go."""
     item = "cveID string, vendorProject string, product string, dateAdded string, dueDate string, knownRansomwareCampaignUse string"
     rows = raw.select(F.explode(F.from_json(column, f"vulnerabilities array<struct<{item.replace(' string', ': string')}>>")["vulnerabilities"]).alias("x")).select("x.*")
-    vendor = F.trim(F.regexp_replace(F.regexp_replace("vendorProject", r"\s*\([^)]*\)", ""), LEGAL, ""))
+    vendor = F.trim(F.regexp_replace(F.regexp_replace(F.trim("vendorProject"), r"\s*\(.*?\)\s*$", ""), LEGAL, ""))
     day = lambda c: F.expr(f"try_to_date({c}, 'yyyy-MM-dd')")
     out = rows.select(F.upper("cveID").alias("cve_id"), vendor.alias("vendor"), "product", day("dateAdded").alias("date_added"), day("dueDate").alias("due_date"), (F.col("knownRansomwareCampaignUse") == "Known").alias("ransomware"))
-    return out.filter("cve_id is not null and date_added is not null")
+    return out.filter("cve_id is not null and date_added is not null and length(vendor) >= 2")
 
 
 @query(
@@ -156,7 +158,7 @@ def load_kev(raw: DataFrame, column: str = "value") -> DataFrame:
 def _(t: Tables) -> DataFrame:
     item = F.struct(
         F.concat(F.lit("cve-2023-"), 1000 + F.col("p_partkey")).alias("cveID"),
-        F.concat("p_brand", F.lit(", Inc.")).alias("vendorProject"),
+        F.concat("p_brand", F.element_at(F.array(*map(F.lit, (" Inc.", " Limited", " Incorporated", " (a firm)", " Corp", " GmbH (EU)", ""))), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("vendorProject"),
         F.col("p_name").alias("product"),
         F.when(F.col("p_partkey") % 5 == 0, "soon").otherwise(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).cast("string")).alias("dateAdded"),
         F.when(F.col("p_size") % 2 == 0, "Known").otherwise("Unknown").alias("knownRansomwareCampaignUse"),
@@ -165,18 +167,24 @@ def _(t: Tables) -> DataFrame:
     return load_kev(raw).select("cve_id", "vendor", "product", "date_added", "ransomware")
 
 
-def load_attack(raw: DataFrame, stop: tuple[str, ...] = ("net", "at", "tool", "cmd"), column: str = "value") -> DataFrame:
-    """(normalized_key, name, type, aliases) of a STIX bundle: without revoked, deprecated and stop
-    names; an alias that is a name is none."""
+def load_attack(raw: DataFrame, stop: tuple[str, ...] = STOP_NAMES, column: str = "value") -> DataFrame:
+    """(normalized_key, name, type, external_id, aliases) of a STIX bundle: without revoked, deprecated
+    and stop names. Groups and campaigns have their aliases in one field, in which their own name is
+    none; others in the first of two fields that has any. An alias that is a name is none."""
     kinds = {"intrusion-set": "actor", "malware": "malware", "tool": "tool", "campaign": "campaign"}
-    item = "type: string, name: string, aliases: array<string>, x_mitre_aliases: array<string>, revoked: boolean, x_mitre_deprecated: boolean"
+    item = "type: string, name: string, aliases: array<string>, x_mitre_aliases: array<string>, revoked: boolean, x_mitre_deprecated: boolean, external_references: array<struct<source_name: string, external_id: string>>"
     rows = raw.select(F.explode(F.from_json(column, f"objects array<struct<{item}>>")["objects"]).alias("x")).select("x.*")
     kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("type")]
     live = ~F.coalesce("revoked", F.lit(False)) & ~F.coalesce("x_mitre_deprecated", F.lit(False)) & ~F.lower("name").isin(*stop)
     none = F.array().cast("array<string>")
-    names = rows.withColumn("kind", kind).filter(live & F.col("kind").isNotNull()).select(
-        normalized_key(F.col("name")).alias("normalized_key"), "name", F.col("kind").alias("type"), F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("x_mitre_aliases", none))).alias("aliases")
-    )
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    own = F.filter(F.coalesce("aliases", none), lambda a: F.trim(a) != F.trim("name"))
+    aliases = F.when(F.col("type").isin("intrusion-set", "campaign"), own).otherwise(F.coalesce(some("x_mitre_aliases"), some("aliases"), none))
+    refs = F.filter("external_references", lambda r: r["source_name"] == "mitre-attack")
+    names = rows.withColumn("kind", kind).filter(live & F.col("kind").isNotNull() & (F.trim("name") != "")).select(
+        normalized_key(F.trim("name")).alias("normalized_key"), F.trim("name").alias("name"), F.col("kind").alias("type"), F.get(refs, F.lit(0))["external_id"].alias("external_id"),
+        F.filter(F.array_distinct(F.transform(aliases, lambda a: F.trim(a))), lambda a: a != "").alias("aliases"),
+    )
     alias = names.select("normalized_key", F.explode("aliases").alias("alias")).withColumn("alias_key", normalized_key(F.col("alias")))
     alias = alias.join(names.select(F.col("normalized_key").alias("alias_key")).distinct(), "alias_key", "left_anti")
     kept = alias.groupBy("normalized_key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
@@ -185,13 +193,13 @@ def load_attack(raw: DataFrame, stop: tuple[str, ...] = ("net", "at", "tool", "c
 
 @query(
     "A15_attack",
-    "select trim(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '-', 'g'), '-') as normalized_key, case when p_size % 2 = 0 then 'actor' else 'malware' end as type, 'alias ' || p_partkey as aliases from part where p_size % 7 <> 0",
+    "select trim(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '-', 'g'), '-') as normalized_key, case when p_size % 2 = 0 then 'actor' else 'malware' end as type, 'G' || p_partkey as external_id, case when p_size % 2 = 0 or p_size % 3 > 0 then 'alias ' || p_partkey else 'x' || p_partkey end as aliases from part where p_size % 7 <> 0",
 )
 def _(t: Tables) -> DataFrame:
     name = F.concat("p_name", F.lit(" "), "p_partkey")
-    item = F.struct(F.when(F.col("p_size") % 2 == 0, "intrusion-set").otherwise("malware").alias("type"), name.alias("name"), F.array(name, F.concat(F.lit("alias "), "p_partkey")).alias("aliases"), (F.col("p_size") % 7 == 0).alias("revoked"))
+    item = F.struct(F.when(F.col("p_size") % 2 == 0, "intrusion-set").otherwise("malware").alias("type"), name.alias("name"), F.array(name, F.concat(F.lit("alias "), "p_partkey")).alias("aliases"), F.when(F.col("p_size") % 3 == 0, F.array(F.concat(F.lit(" x"), "p_partkey"))).otherwise(F.array().cast("array<string>")).alias("x_mitre_aliases"), F.array(F.struct(F.lit("other").alias("source_name"), F.lit("y").alias("external_id")), F.struct(F.lit("mitre-attack").alias("source_name"), F.concat(F.lit("G"), "p_partkey").alias("external_id"))).alias("external_references"), (F.col("p_size") % 7 == 0).alias("revoked"))
     raw = t.part.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(item).alias("objects"))).alias("value"))
-    return load_attack(raw).select("normalized_key", "type", F.array_join("aliases", ",").alias("aliases"))
+    return load_attack(raw).select("normalized_key", "type", "external_id", F.array_join("aliases", ",").alias("aliases"))
 
 
 NVD = """id string, vulnStatus string, lastModified string, cisaExploitAdd string,
@@ -224,9 +232,9 @@ def _(t: Tables) -> DataFrame:
     return load_nvd(raw).withColumn("cwes", F.array_join("cwes", ","))
 
 
-@query("C7_kev_entities", "with k as (select distinct slug, upper(unnest(cve_ids)) as cve_id from articles), v as (select 'CVE-2024-' || (1000 + p_partkey % 40) as cve_id, p_brand as vendor from part where p_size < 3) select distinct slug, lower(trim(regexp_replace(vendor, '[^A-Za-z0-9]+', '-', 'g'), '-')) as normalized_key from k join v using (cve_id)")
+@query("C7_kev_entities", "with k as (select distinct slug, upper(unnest(cve_ids)) as cve_id from articles), v as (select 'CVE-2024-' || (1000 + cast(floor(p_partkey / 40) as int)) as cve_id, p_brand as vendor from part where p_size < 3) select distinct slug, lower(trim(regexp_replace(vendor, '[^A-Za-z0-9]+', '-', 'g'), '-')) as normalized_key from k join v using (cve_id)")
 def _(t: Tables) -> DataFrame:
-    kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.col("p_partkey") % 40).alias("cve_id"), F.col("p_brand").alias("vendor"))
+    kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.floor(F.col("p_partkey") / 40)).alias("cve_id"), F.col("p_brand").alias("vendor"))
     return kev_entities(t.articles, kev)
 
 

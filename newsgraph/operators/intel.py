@@ -161,7 +161,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "S5_home_feed",
     """with c as (select cluster_id as id, arg_min(slug, struct_pack(p := place, s := slug)) as slug, count(*) as n from members group by 1)
-    select id, slug from c join clusters using (id) join part on p_partkey = slug where p_size < 40 and category = '1-URGENT' and id in (select cluster_id from members join part on p_partkey = slug where p_size > 20) order by n desc, score desc, id limit 30""",
+    select id, slug from c join clusters using (id) join part on p_partkey = slug where p_size < 40 and category = '1-URGENT' and id in (select cluster_id from members join part on p_partkey = slug where p_size > 20) order by n desc, latest_at desc, id limit 30""",
 )
 def _(t: Tables) -> DataFrame:
     """One plan: clusters of a category with a member on the topic and a top article of an allowed
@@ -174,18 +174,25 @@ def _(t: Tables) -> DataFrame:
 
 
 def detect_merges(keys: DataFrame, scored: DataFrame, sizes: DataFrame, least: float = MERGE) -> DataFrame:
-    """(id, survivor): clusters that share a key and score enough, as components; the largest survives."""
+    """(id, survivor): clusters that share a key and score enough, as components; the largest survives (ties: least id)."""
     pairs = merge_pairs(keys).join(scored.filter(F.col("score") >= least), ["a", "b"], "left_semi")
     roots = connected(pairs)
-    best = roots.join(sizes, "id").groupBy("root").agg(F.max_by("id", F.struct("n", "id")).alias("survivor"))
+    best = roots.join(sizes, "id").groupBy("root").agg(F.max_by("id", F.struct("n", F.struct(-F.col("id")))).alias("survivor"))
     return roots.join(best, "root").select("id", "survivor")
 
 
-@query("K10_merges")
+_MERGES = """with recursive m as (select distinct cast(floor(doc_id / 5) as bigint) as id, upper(unnest(cve_ids)) as key from articles), e as (select distinct x.id as a, y.id as b from m x join m y using (key) where x.id <> y.id and (x.id + y.id) % 3 > 0),
+    r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as root from r group by 1), s as (select cast(floor(doc_id / 5) as bigint) as id, count(*) as n from articles group by 1)
+    select id, first_value(id) over (partition by root order by n desc, id) as survivor from c join s using (id)"""
+
+
+@query("K10_merges", _MERGES)
 def _(t: Tables) -> DataFrame:
-    keys = t.lineitem.filter("l_quantity > 48").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("key"))
-    pairs = merge_pairs(keys).withColumn("score", F.when((F.col("a") + F.col("b")) % 5 == 0, 0.6).otherwise(0.2))
-    return detect_merges(keys, pairs, t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")))
+    """Of clusters of five articles that share a CVE, those whose pair scores enough."""
+    rows = t.articles.withColumn("id", F.floor(F.col("doc_id") / 5))
+    keys = rows.select("id", F.explode(F.transform("cve_ids", F.upper)).alias("key")).distinct()
+    pairs = merge_pairs(keys).withColumn("score", F.when((F.col("a") + F.col("b")) % 3 > 0, 0.6).otherwise(0.2))
+    return detect_merges(keys, pairs, rows.groupBy("id").agg(F.count("*").alias("n")))
 
 
 def replay(snapshots: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +218,7 @@ def _(t: Tables) -> DataFrame:
 @query("N13_entities")
 def _(t: Tables) -> DataFrame:
     """Entities of articles by priority: the catalogue's vendors, then names of their tags."""
-    kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.col("p_partkey") % 40).alias("cve_id"), F.col("p_brand").alias("vendor"))
+    kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.floor(F.col("p_partkey") / 40)).alias("cve_id"), F.col("p_brand").alias("vendor"))
     first = kev_entities(t.articles, kev).withColumn("rank", F.lit(0))
     return by_priority(first.unionByName(t.mentions.select("slug", "normalized_key").distinct().withColumn("rank", F.lit(1))))
 
@@ -219,9 +226,9 @@ def _(t: Tables) -> DataFrame:
 @query("K13_rebuild")
 def _(t: Tables) -> DataFrame:
     """The full rebuild in order: mentions, candidates of the roundup-free articles, assignment, roll-up."""
-    from newsgraph.operators.clusters import assign_by_key
+    from newsgraph.operators.clusters import assign_by_key, route
 
-    rows = t.articles.filter(~is_roundup(F.col("title")) & F.col("content_type").isin("kev_catalog", "ics_advisory"))
+    rows = t.articles.filter(route(F.col("content_type"), is_roundup(F.col("title"))) == "full")
     keyed = cve_keys(rows).select("slug", F.col("cve_id").alias("key"))
     placed = assign_by_key(rows.select("slug", "published_at", F.lit(True).alias("may_seed")), keyed, 2)
     return placed.join(t.articles, "slug").groupBy("cluster").agg(F.count("*").alias("article_count"), F.count_distinct("source_name").alias("source_count"), F.max("published_at").alias("latest_at"))

@@ -274,9 +274,9 @@ def apply_glossary(rows: DataFrame, glossary: dict[str, dict[str, str]], text_co
     return rows.withColumn(text_col, out)
 
 
-@query("N18_glossary", r"select doc_id, sha256(case when lang = 'en' then regexp_replace(regexp_replace(text, '\bthe\b', 'THE', 'g'), '\bof\b', 'OF', 'g') else text end) as text from documents where lang = 'en' or doc_id % 2 = 0")
+@query("N18_glossary", r"select doc_id, sha256(case when lang = 'en' then regexp_replace(regexp_replace(text, '\bthe\b', 'THE', 'g'), '\bof\b', 'OF', 'g') else text end) as text from documents")
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.filter("lang = 'en' or doc_id % 2 = 0").select("doc_id", "lang", "text")
+    rows = t.documents.select("doc_id", "lang", "text")
     return apply_glossary(rows, {"en": {"the": "THE", "of": "OF"}}).select("doc_id", F.sha2("text", 256).alias("text"))
 
 

@@ -9,7 +9,23 @@ from newsgraph.registry import Tables, query
 
 AS_OF = "2024-01-25 00:00:00"
 #: Phrases of titles that sum up many events; fixed values.
-ROUNDUP = ("roundup", "week in review", "weekly", "patch tuesday", "newsletter", "digest", "recap", "monthly", "top 10", "bulletin")
+ROUNDUP = (
+    "patch tuesday",
+    "monthly roundup",
+    "cve landscape",
+    "roundup",
+    "weekly digest",
+    "weekly update",
+    "weekly recap",
+    "this week in security",
+    "month in review",
+    "look what you made us patch",
+    "stormcast",
+    "[virtual event]",
+    "[webinar]",
+    "[conference]",
+    "[workshop]",
+)
 
 
 def at(text: str) -> Column:
@@ -19,13 +35,42 @@ def at(text: str) -> Column:
 # --- B: projections and predicates ---------------------------------------------------------------
 
 
+#: Columns of an article in a list, and what its detail view has besides.
+LIST = {
+    "slug": "string", "raw_tags": "array<string>", "normalized_topics": "array<string>", "title": "string", "desc": "string", "summary": "string", "keywords": "array<string>", "published_at": "timestamp",
+    "severity": "string", "type": "string", "category": "string", "author": "string", "source_name": "string", "source_url": "string", "image_url": "string", "cvss_score": "double", "cve_ids": "array<string>",
+    "body_quality": "string", "body_source": "string", "is_teaser": "boolean",
+}
+DETAIL = LIST | {"content_html": "string", "content_source": "string", "raw_metadata": "map<string,string>"}
+_GIVEN = {"is_teaser": False, "type": "news"}
+
+
 def project_list(articles: DataFrame) -> DataFrame:
-    return articles.select("slug", "title", "source_name", "category", "published_at", "cvss_score", "credibility_weight", "content_type")
+    """The 20 columns of a list; what the table lacks is null (is_teaser: false, type: news)."""
+    return conform(articles, LIST, _GIVEN)
+
+
+def project_detail(articles: DataFrame) -> DataFrame:
+    return conform(articles, DETAIL, _GIVEN)
+
+
+_LIST = "slug, array_to_string(raw_tags, ',') as tags, title, published_at, 'news' as type, category, source_name, cvss_score::double as cvss_score, array_to_string(cve_ids, ',') as cves, body_quality, false as is_teaser, null::varchar as severity"
 
 
-@query("B1_list_projection", "select slug, title, source_name, category, published_at, cvss_score, credibility_weight, content_type from articles")
+def _joined(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("slug", F.array_join("raw_tags", ",").alias("tags"), "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "type", "category", "source_name", "cvss_score", F.array_join("cve_ids", ",").alias("cves"), "body_quality", "is_teaser", "severity", *more)
+
+
+@query("B1_list_projection", f"select {_LIST} from articles")
+def _(t: Tables) -> DataFrame:
+    return _joined(project_list(t.articles))
+
+
+@query("B1_detail_projection", f"select {_LIST}, sha256(body) as content from articles where doc_id % 20 = 0")
 def _(t: Tables) -> DataFrame:
-    return project_list(t.articles)
+    """Details of the articles asked for."""
+    asked = t.articles.filter("doc_id % 20 = 0").withColumn("content_html", F.col("body"))
+    return _joined(project_detail(asked).withColumn("content", F.sha2("content_html", 256)), "content")
 
 
 def filter_articles(
@@ -59,19 +104,19 @@ def _(t: Tables) -> DataFrame:
 
 
 def filter_clusters(clusters: DataFrame, category: str | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
-    """Clusters of a category and period that are not known to be roundups or advisories."""
+    """Clusters of a category, made within a period, that are not known to be roundups or advisories."""
     out = clusters if category is None else clusters.filter(F.col("category") == category)
-    out = out if since is None else out.filter(F.col("latest_at") >= since)
-    out = out if until is None else out.filter(F.col("latest_at") <= until)
+    out = out if since is None else out.filter(F.col("created_at") >= since)
+    out = out if until is None else out.filter(F.col("created_at") <= until)
     for flag in {"is_roundup", "is_advisory"} & set(clusters.columns):
         out = out.filter(~F.coalesce(F.col(flag), F.lit(False)))
     return out
 
 
-@query("B3_filter_clusters", "select id, state from clusters where category = '1-URGENT' and latest_at >= '1995-01-01' and id % 7 <> 0")
+@query("B3_filter_clusters", "select id, state from clusters where category = '1-URGENT' and created_at between '1995-01-01' and '1996-06-01' and id % 7 <> 0")
 def _(t: Tables) -> DataFrame:
     flagged = t.clusters.withColumn("is_roundup", F.when(F.col("id") % 7 == 0, True))
-    return filter_clusters(flagged, "1-URGENT", at("1995-01-01")).select("id", "state")
+    return filter_clusters(flagged, "1-URGENT", at("1995-01-01"), at("1996-06-01")).select("id", "state")
 
 
 WINDOWS = {"1h": "1 hour", "24h": "24 hours", "7d": "7 days", "30d": "30 days"}
@@ -108,6 +153,8 @@ def _(t: Tables) -> DataFrame:
 BACKLOG = {
     "score": lambda: (F.size("cve_ids") > 0) & F.col("cvss_score").isNull(),
     "body": lambda: F.col("body_quality").isNull() | F.col("body_quality").isin("failed", "empty"),
+    "vector": lambda: F.col("embedding").isNull(),
+    "nvd": lambda: F.col("nvd_last_modified").isNull(),
 }
 
 
@@ -117,27 +164,32 @@ def backlog(articles: DataFrame, kind: str) -> DataFrame:
 
 @query(
     "B6_backlog",
-    "select slug, 'score' as kind from articles where len(cve_ids) > 0 and cvss_score is null union all select slug, 'body' from articles where body_quality is null or body_quality in ('failed', 'empty')",
+    "select slug, 'score' as kind from articles where len(cve_ids) > 0 and cvss_score is null union all select slug, 'body' from articles where body_quality is null or body_quality in ('failed', 'empty') union all select slug, 'vector' from articles where doc_id not in (select vec_id from embeddings) union all select cve_id, 'nvd' from topics where right(cve_id, 1) = '9'",
 )
 def _(t: Tables) -> DataFrame:
-    return backlog(t.articles, "score").select("slug", F.lit("score").alias("kind")).unionByName(backlog(t.articles, "body").select("slug", F.lit("body").alias("kind")))
+    vectors = t.articles.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    topics = t.topics.select(F.col("cve_id").alias("slug"), F.when(F.right("cve_id", F.lit(1)) != "9", "2024").alias("nvd_last_modified"))
+    parts = [backlog(d, kind).select("slug", F.lit(kind).alias("kind")) for kind, d in (("score", t.articles), ("body", t.articles), ("vector", vectors), ("nvd", topics))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def retry_eligible(rows: DataFrame, as_of: str) -> DataFrame:
-    """Failed, empty or missing bodies: at once without a try, 1 hour after one, 24 after two, then never."""
+    """Failed, empty or missing bodies: at once without a try or with an unknown last one, 1 hour after
+    one try, 24 after two, then never."""
     wait = F.when(F.col("tries") == 1, F.expr("interval 1 hour")).when(F.col("tries") == 2, F.expr("interval 24 hours"))
-    due = (F.col("tries") == 0) | ((F.col("tries") < 3) & (F.col("tried_at") + wait <= at(as_of)))
+    tries = F.coalesce("tries", F.lit(0))
+    due = (tries == 0) | ((tries < 3) & F.coalesce(F.col("tried_at") + wait <= at(as_of), F.lit(True)))
     return rows.filter(BACKLOG["body"]() & due)
 
 
 @query(
     "B7_retry",
-    """with r as (select slug, published_at as tried_at, slug % 4 as tries, case slug % 3 when 0 then 'ok' when 1 then 'failed' end as q from posts)
-    select slug from r where coalesce(q, 'failed') = 'failed' and (tries = 0 or (tries = 1 and tried_at + interval 1 hour <= timestamp '2024-01-25') or (tries = 2 and tried_at + interval 24 hour <= timestamp '2024-01-25'))""",
+    """with r as (select slug, case when slug % 11 > 0 then published_at end as tried_at, case when slug % 13 > 0 then slug % 4 end as tries, case slug % 3 when 0 then 'ok' when 1 then 'failed' end as q from posts)
+    select slug from r where coalesce(q, 'failed') = 'failed' and (coalesce(tries, 0) = 0 or (tries < 3 and tried_at is null) or (tries = 1 and tried_at + interval 1 hour <= timestamp '2024-01-25') or (tries = 2 and tried_at + interval 24 hour <= timestamp '2024-01-25'))""",
 )
 def _(t: Tables) -> DataFrame:
     q = F.when(F.col("slug") % 3 == 0, "ok").when(F.col("slug") % 3 == 1, "failed")
-    rows = t.posts.select("slug", F.col("published_at").alias("tried_at"), (F.col("slug") % 4).alias("tries"), q.alias("body_quality"))
+    rows = t.posts.select("slug", F.when(F.col("slug") % 11 > 0, F.col("published_at")).alias("tried_at"), F.when(F.col("slug") % 13 > 0, F.col("slug") % 4).alias("tries"), q.alias("body_quality"))
     return retry_eligible(rows, AS_OF).select("slug")
 
 
@@ -188,12 +240,21 @@ def _(t: Tables) -> DataFrame:
 
 
 def is_roundup(title: Column, phrases: tuple[str, ...] = ROUNDUP) -> Column:
-    return F.lower(title).rlike("|".join(phrases))
+    """Whether the title contains one of the phrases, in either case; null for null."""
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(F.lower(title), F.lit(phrase))
+    return found
+
 
+_PHRASES = ", ".join(f"'{x}'" for x in ROUNDUP)
 
-@query("B11_roundup", "select slug, regexp_matches(lower(title), 'that|ein|des') as is_roundup from articles")
+
+@query("B11_roundup", f"select slug, len(list_filter([{_PHRASES}], lambda p: contains(lower(concat_ws(' ', title, upper([{_PHRASES}][doc_id % 40 + 1]))), p))) > 0 as is_roundup from articles")
 def _(t: Tables) -> DataFrame:
-    return t.articles.select("slug", is_roundup(F.col("title"), ("that", "ein", "des")).alias("is_roundup"))
+    """Titles of which some end in one of the phrases, in capitals."""
+    phrase = F.upper(F.try_element_at(F.array(*map(F.lit, ROUNDUP)), (F.col("doc_id") % 40 + 1).cast("int")))
+    return t.articles.select("slug", is_roundup(F.concat_ws(" ", "title", phrase)).alias("is_roundup"))
 
 
 def refine(rows: DataFrame, severities: tuple[str, ...], states: tuple[str, ...]) -> DataFrame:
@@ -205,39 +266,51 @@ def _(t: Tables) -> DataFrame:
     return refine(t.clusters.withColumnRenamed("category", "severity"), ("1-URGENT", "2-HIGH"), ("new", "confirmed")).select("id")
 
 
-def content_type(source: Column, title: Column, declared: Column) -> Column:
-    """In order: catalogue source, industrial or product advisory, threat advisory, else news."""
-    low = F.lower(F.coalesce(title, F.lit("")))
+#: Sources of product advisories and of threat advisories; fixed values.
+PRODUCT_SOURCES = ("Cisco Security Advisories", "Microsoft MSRC")
+THREAT_SOURCES = ("NCSC UK",)
+_ADDED = r"(?i)adds\s+(?:\d+|one|two|three)\s+known\s+exploited"
+
+
+def content_type(title: Column, source: Column, normalizer: Column) -> Column:
+    """By the title of a catalogue update, whatever the source; else by normaliser and source."""
+    is_in = lambda c, *values: F.coalesce(c.isin(*values), F.lit(False))
     return (
-        F.when(F.lower(source).contains("kev"), "kev_catalog")
-        .when((declared == "advisory") & low.rlike("ics|scada|plc"), "ics_advisory")
-        .when(declared == "advisory", "product_advisory")
-        .when(low.rlike("advisory|alert|warn"), "threat_advisory")
+        F.when(F.coalesce(title, F.lit("")).rlike(_ADDED), "kev_catalog")
+        .when(is_in(normalizer, "cisa_advisory"), "ics_advisory")
+        .when(is_in(source, *PRODUCT_SOURCES), "product_advisory")
+        .when(is_in(normalizer, "cisa_news") | is_in(source, *THREAT_SOURCES), "threat_advisory")
         .otherwise("news")
     )
 
 
 @query(
     "B13_content_type",
-    """select slug, case when source_name = 'src3' then 'kev_catalog' when category = 'de' and regexp_matches(lower(title), 'ics|scada|plc') then 'ics_advisory'
-    when category = 'de' then 'product_advisory' when regexp_matches(lower(title), 'advisory|alert|warn') then 'threat_advisory' else 'news' end as content_type from articles""",
+    """select slug, case when doc_id % 6 = 1 or doc_id % 6 = 2 then 'kev_catalog' when category = 'de' then 'ics_advisory' when source_name in ('src3', 'src5') then 'product_advisory'
+    when category = 'fr' or source_name = 'src4' then 'threat_advisory' else 'news' end as content_type from articles""",
 )
 def _(t: Tables) -> DataFrame:
-    source = F.when(F.col("source_name") == "src3", "KEV feed").otherwise(F.col("source_name"))
-    return t.articles.select("slug", content_type(source, F.col("title"), F.when(F.col("category") == "de", "advisory")).alias("content_type"))
+    k = F.col("doc_id") % 6
+    title = F.concat("title", F.when(k == 1, " CISA Adds Two Known Exploited Vulnerabilities").when(k == 2, " adds 12 known  exploited").when(k == 3, " adds known exploited").otherwise(""))
+    source = F.when(F.col("source_name") == "src3", PRODUCT_SOURCES[0]).when(F.col("source_name") == "src5", PRODUCT_SOURCES[1]).when(F.col("source_name") == "src4", THREAT_SOURCES[0]).otherwise(F.col("source_name"))
+    normalizer = F.when(F.col("category") == "de", "cisa_advisory").when(F.col("category") == "fr", "cisa_news")
+    return t.articles.select("slug", content_type(title, source, normalizer).alias("content_type"))
 
 
-def cluster_type(content_types: Column, n_cves: Column, has_campaign: Column) -> Column:
-    advisory = F.exists(content_types, lambda c: c.endswith("_advisory"))
-    return F.when(advisory, "advisory").when(has_campaign, "campaign").when(n_cves > 0, "cve_incident").otherwise("research")
+def cluster_type(content: Column, n_cves: Column, types: Column) -> Column:
+    """Set once, when a cluster is made: by the kind of its article, its CVEs, and its entities' types."""
+    named = F.exists(F.coalesce(types, F.array().cast("array<string>")), lambda x: x.isin("actor", "campaign"))
+    return F.when(F.coalesce(content.isin("ics_advisory", "product_advisory"), F.lit(False)), "advisory").when(n_cves > 0, "cve_incident").when(named, "campaign").otherwise("research")
 
 
 @query(
     "B14_cluster_type",
-    """select slug, case when content_type like '%\\_advisory' escape '\\' then 'advisory' when category = 'fr' then 'campaign' when len(cve_ids) > 0 then 'cve_incident' else 'research' end as cluster_type from articles""",
+    """with k as (select slug, list(distinct type) as types from mentions group by 1)
+    select slug, case when content_type in ('ics_advisory', 'product_advisory') then 'advisory' when len(cve_ids) > 0 then 'cve_incident' when list_has_any(types, ['actor', 'campaign']) then 'campaign' else 'research' end as cluster_type from articles left join k using (slug)""",
 )
 def _(t: Tables) -> DataFrame:
-    return t.articles.select("slug", cluster_type(F.array("content_type"), F.size("cve_ids"), F.col("category") == "fr").alias("cluster_type"))
+    types = t.mentions.groupBy("slug").agg(F.collect_set("type").alias("types"))
+    return t.articles.join(types, "slug", "left").select("slug", cluster_type(F.col("content_type"), F.size("cve_ids"), F.col("types")).alias("cluster_type"))
 
 
 @query("B15_lookup", "select id, score, state from clusters where id = 7")
@@ -347,19 +420,26 @@ def _(t: Tables) -> DataFrame:
     return daily_digest(t.posts, "2024-01-18")
 
 
-def trending(rows: DataFrame, as_of: str, hours: int, n: int = 20) -> DataFrame:
+def trending(rows: DataFrame, as_of: str, hours: int, n: int = 20, newest: int = 5) -> DataFrame:
+    """(facet, value, count) of the last hours: the n most frequent tags and sources, and under
+    `article` the newest rows in order (count: their place)."""
     recent = rows.filter((F.col("published_at") >= at(as_of) - F.expr(f"interval {hours} hours")) & (F.col("published_at") <= at(as_of)))
-    return facets(recent, ["category", "source_name"], n)
+    tags = facet(recent.select(F.explode(F.array_distinct("raw_tags")).alias("value")), "value", n).select(F.lit("tag").alias("facet"), "value", "count")
+    sources = facet(recent, "source_name", n).select(F.lit("source_name").alias("facet"), F.col("value").cast("string").alias("value"), "count")
+    top = recent.orderBy(F.desc("published_at"), "slug").limit(newest).select("slug", "published_at")
+    place = F.row_number().over(Window.orderBy(F.desc("published_at"), "slug")).cast("long")
+    return tags.unionByName(sources).unionByName(top.select(F.lit("article").alias("facet"), F.col("slug").cast("string").alias("value"), place.alias("count")))
 
 
 @query(
     "D6_trending",
-    """with i as (select * from posts where published_at between timestamp '2024-01-23' and timestamp '2024-01-25'),
-    f as (select 'category' as facet, category as value from i union all select 'source_name', source_name::varchar from i), g as (select facet, value, count(*) as n from f group by 1, 2)
-    select facet, value, n as "count" from g qualify row_number() over (partition by facet order by n desc, value) <= 20""",
+    """with i as (select * from articles where published_at between timestamp '2024-01-18' and timestamp '2024-01-25'),
+    g as (select 'tag' as facet, value, count(*) as n from (select unnest(list_distinct(raw_tags)) as value from i) x group by 2 union all select 'source_name', source_name, count(*) from i group by 2)
+    select facet, value, n as "count" from g qualify row_number() over (partition by facet order by n desc, value) <= 20
+    union all select 'article', slug, row_number() over (order by published_at desc, slug) from (select * from i order by published_at desc, slug limit 5) z""",
 )
 def _(t: Tables) -> DataFrame:
-    return trending(t.posts, AS_OF, 48)
+    return trending(t.articles, AS_OF, 168)
 
 
 def distinct_count(rows: DataFrame, column: str, exact: bool = True) -> DataFrame:
@@ -545,6 +625,7 @@ ORDERS = {
     "newest": lambda: [F.desc("published_at"), F.asc("slug")],
     "oldest": lambda: [F.asc("published_at"), F.asc("slug")],
     "cvss": lambda: [F.desc_nulls_last("cvss_score"), F.desc("published_at"), F.asc("slug")],
+    "relevance": lambda: [F.desc("relevance"), F.asc("slug")],
 }
 
 
@@ -553,9 +634,19 @@ def _(t: Tables) -> DataFrame:
     return t.articles.orderBy(*ORDERS["cvss"]()).limit(50).select("slug")
 
 
+@query(
+    "S1_relevance",
+    """with h as (select slug, len(list_filter(raw_tags, lambda x: x in ('the', 'of', 'la', 'der'))) as relevance from articles)
+    select slug, relevance from h where relevance > 0 order by relevance desc, slug limit 50""",
+)
+def _(t: Tables) -> DataFrame:
+    hits = t.articles.select("slug", F.size(F.filter("raw_tags", lambda x: x.isin("the", "of", "la", "der"))).cast("long").alias("relevance"))
+    return hits.filter("relevance > 0").orderBy(*ORDERS["relevance"]()).limit(50)
+
+
 FEED = {
-    "latest": ["latest_at", "score"], "score": ["score", "latest_at"], "coverage": ["article_count", "score"],
-    "severity": ["max_cvss", "score"], "trending": ["article_count", "latest_at"],
+    "latest": ["latest_at"], "score": ["score", "latest_at"], "coverage": ["article_count", "latest_at"],
+    "severity": ["max_cvss", "latest_at"], "trending": ["article_count", "updated_at"],
 }
 
 
@@ -563,10 +654,32 @@ def feed_order(clusters: DataFrame, kind: str) -> DataFrame:
     return clusters.orderBy(*(F.desc_nulls_last(c) for c in FEED[kind]), F.asc("id"))
 
 
-@query("S2_feed", "select id from (select id, n from clusters join (select cluster_id as id, count(*) as n from members group by 1) using (id) order by n desc, score desc, id limit 40)")
-def _(t: Tables) -> DataFrame:
+def _counted(t: Tables) -> DataFrame:
     counts = t.members.groupBy(F.col("cluster_id").alias("id")).agg(F.count("*").alias("article_count"))
-    return feed_order(t.clusters.join(counts, "id"), "coverage").limit(40).select("id")
+    cvss = F.when(F.col("id") % 4 > 0, F.col("id") % 97 / 10.0)
+    return t.clusters.join(counts, "id").select("id", "score", "latest_at", F.col("created_at").alias("updated_at"), "article_count", cvss.alias("max_cvss"))
+
+
+_FEED = "select '{kind}' as kind, id, place from (select id, row_number() over (order by {by}, id) as place from c) z where place <= 40"
+_FEED_SQL = {"latest": "latest_at desc", "score": "score desc, latest_at desc", "coverage": "n desc, latest_at desc", "severity": "max_cvss desc nulls last, latest_at desc", "trending": "n desc, created_at desc"}
+
+
+@query(
+    "S2_feed",
+    "with c as (select id, score, latest_at, created_at, n, case when id % 4 > 0 then id % 97 / 10.0 end as max_cvss from clusters join (select cluster_id as id, count(*) as n from members group by 1) using (id)) "
+    + " union all ".join(_FEED.format(kind=k, by=v) for k, v in _FEED_SQL.items()),
+)
+def _(t: Tables) -> DataFrame:
+    """The first 40 of each order, with their place."""
+    parts = []
+    for kind in FEED:
+        top = feed_order(_counted(t), kind).limit(40)
+        place = F.row_number().over(Window.orderBy(*(F.desc_nulls_last(c) for c in FEED[kind]), F.asc("id")))
+        parts.append(top.select(F.lit(kind).alias("kind"), "id", place.cast("long").alias("place")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("S3_offset", "select id from clusters order by score desc, id limit 25 offset 100")

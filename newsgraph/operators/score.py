@@ -155,7 +155,8 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFr
     idf: normalized_key, idf (1.0 if unknown). 0.10 for a shared CVE, 0.15 for a shared
     vulnerability alias, 0.22 and 0.18 times the IDF-weighted Jaccard of actors and campaigns and
     of the others (no vendors, no CWEs), 0.35 times embed. Without entities in common the score
-    is 0, unless the right has none: then embed counts only if it is 1.
+    is 0, unless the right has none at all, vendors and CWEs included: then embed counts only if
+    it is 1.
     """
     kind = F.when(F.col("type") == "cve", "cve").when(F.col("type") == "vuln_alias", "alias").when(F.col("type").isin("actor", "campaign"), "actor").otherwise("other")
     weigh = lambda d: d.filter(~F.col("type").isin("vendor", "cwe")).withColumn("kind", kind).drop("type").distinct().join(idf, "normalized_key", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
@@ -170,23 +171,34 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFr
         return F.when(union > 0, F.col(c) / union).otherwise(0.0)
 
     entity = F.when(F.col("cve") > 0, 0.10).otherwise(0.0) + F.when(F.col("alias") > 0, 0.15).otherwise(0.0) + 0.22 * jaccard("actor") + 0.18 * jaccard("other")
-    founded = F.col("b_cve") + F.col("b_alias") + F.col("b_actor") + F.col("b_other") > 0
+    out = out.join(right.select("id").distinct().withColumn("founded", F.lit(True)), "id", "left")
+    founded = F.coalesce("founded", F.lit(False))
     score = F.when(founded & (entity == 0), 0.0).when(founded, entity + 0.35 * F.col("embed")).otherwise(F.when(F.col("embed") >= 1, 0.35).otherwise(0.0))
     return out.select("slug", "id", score.alias("score"))
 
 
-_PAIRS = """with m as (select distinct slug, normalized_key, type from mentions), p as (select distinct a.slug, b.slug as id, 0.5 as embed from m a join m b using (normalized_key) where a.slug < b.slug and length(normalized_key) > 4),
+_PAIRS = """with m as (select distinct slug, normalized_key, case when type = 'cve' then 'cve' when type = 'vuln_alias' then 'alias' when type in ('actor', 'campaign') then 'actor' else 'other' end as kind from mentions where type <> 'vendor'),
+    c as (select distinct slug, normalized_key from mentions where type = 'cve'), p as (select distinct a.slug, b.slug as id from c a join c b using (normalized_key) where a.slug < b.slug
+      union select 'a' || doc_id, 'a' || (doc_id + 1) from documents where doc_id + 1 in (select doc_id from documents)),
     n as (select normalized_key, greatest(0.01, ln((select count(distinct slug) from mentions) / count(distinct slug))) as idf from mentions group by 1),
-    s as (select p.slug, p.id, sum(case when a.type = 'actor' then idf else 0 end) as x, sum(case when a.type <> 'actor' then idf else 0 end) as y from p join m a on a.slug = p.slug join m b on b.slug = p.id and b.normalized_key = a.normalized_key and a.type = b.type join n on n.normalized_key = a.normalized_key group by 1, 2),
-    t as (select slug, sum(case when type = 'actor' then idf else 0 end) as x, sum(case when type <> 'actor' then idf else 0 end) as y from m join n using (normalized_key) group by 1)
-    select s.slug, s.id, round(0.22 * case when a.x + b.x - s.x > 0 then s.x / (a.x + b.x - s.x) else 0 end + 0.18 * case when a.y + b.y - s.y > 0 then s.y / (a.y + b.y - s.y) else 0 end + 0.175, 5) as score from s join t a on a.slug = s.slug join t b on b.slug = s.id"""
+    w as (select slug, normalized_key, kind, idf from m join n using (normalized_key)), t as (select slug, sum(case kind when 'actor' then idf else 0 end) as x, sum(case kind when 'other' then idf else 0 end) as y from w group by 1),
+    s as (select p.slug, p.id, max(a.kind = 'cve') as c, max(a.kind = 'alias') as v, sum(case a.kind when 'actor' then a.idf else 0 end) as x, sum(case a.kind when 'other' then a.idf else 0 end) as y from p join w a on a.slug = p.slug join w b on b.slug = p.id and b.normalized_key = a.normalized_key and a.kind = b.kind group by 1, 2),
+    e as (select p.slug, p.id, (length(p.slug) + length(p.id) + ascii(right(p.id, 1))) % 3 / 2.0 as embed, p.id in (select slug from mentions) as founded,
+      case when s.c then 0.10 else 0 end + case when s.v then 0.15 else 0 end
+      + 0.22 * case when coalesce(a.x, 0) + coalesce(b.x, 0) - coalesce(s.x, 0) > 0 then coalesce(s.x, 0) / (coalesce(a.x, 0) + coalesce(b.x, 0) - coalesce(s.x, 0)) else 0 end
+      + 0.18 * case when coalesce(a.y, 0) + coalesce(b.y, 0) - coalesce(s.y, 0) > 0 then coalesce(s.y, 0) / (coalesce(a.y, 0) + coalesce(b.y, 0) - coalesce(s.y, 0)) else 0 end as entity
+      from p left join s using (slug, id) left join t a on a.slug = p.slug left join t b on b.slug = p.id)
+    select slug, id, round(case when founded and entity = 0 then 0 when founded then entity + 0.35 * embed when embed >= 1 then 0.35 else 0 end, 5) as score from e"""
 
 
 def _mention_pairs(t: Tables) -> DataFrame:
-    """Candidates that share a rarer key."""
-    m = t.mentions.select("slug", "normalized_key").distinct().filter("length(normalized_key) > 4")
+    """Articles that share a CVE, and neighbours that may have nothing in common."""
+    m = t.mentions.filter("type = 'cve'").select("slug", "normalized_key").distinct()
     other = m.select(F.col("slug").alias("id"), "normalized_key")
-    return m.join(other, "normalized_key").filter("slug < id").select("slug", "id").distinct().withColumn("embed", F.lit(0.5))
+    docs = t.documents.select("doc_id")
+    near = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.concat(F.lit("a"), "doc_id").alias("slug"), F.concat(F.lit("a"), F.col("doc_id") + 1).alias("id"))
+    pairs = m.join(other, "normalized_key").filter("slug < id").select("slug", "id").unionByName(near).distinct()
+    return pairs.withColumn("embed", (F.length("slug") + F.length("id") + F.ascii(F.right("id", F.lit(1)))) % 3 / 2.0)
 
 
 @query("K2_pair_score", _PAIRS)
