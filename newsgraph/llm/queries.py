@@ -24,7 +24,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ class _Chunk:
             begins.append(self.spot[hit] - a)
         return blocks.cover(np.concatenate(begins), self.window, len(self.words.hash))
 
-    def result(self, gone: np.ndarray) -> pa.Table:
+    def result(self, gone: np.ndarray, texts: bool) -> pa.Table:
         first, n_gone = self.words.first, np.concatenate([[0], np.cumsum(gone)])
         n_removed = n_gone[first[1:]] - n_gone[first[:-1]]
         kept = []
@@ -104,7 +104,7 @@ class _Chunk:
             if n_removed[i]:
                 words = [w for w, x in zip(words, gone[first[i] : first[i + 1]].tolist(), strict=True) if not x]
             kept.append(b" ".join(words))
-        columns = [self.table["id"], self.words.per_doc, n_removed, [x.decode() for x in kept], [hashlib.sha256(x).hexdigest() for x in kept]]
+        columns = [self.table["id"], self.words.per_doc, n_removed, pa.array([x.decode() if texts else None for x in kept], pa.string()), [hashlib.sha256(x).hexdigest() for x in kept]]
         return pa.table(columns, ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
@@ -203,7 +203,7 @@ def _by_kind(table: pa.Table) -> tuple[dict[int, bytes], dict[int, tuple[bytes,
     return out
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Remove every word covered by a `window`-word sequence that a smaller id also has (2 to 126 words).
 
     Each document indexes its non-overlapping blocks of window // 2 words, so that any window
@@ -211,7 +211,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_
     the index by a hash. The words around each hit go to the bucket of the block, once for each
     distinct surrounding in a chunk, where equal blocks are extended word by word on both sides to
     the maximal exact repeats (see extended); words are compared as they are. Returns doc_id, n_words, n_removed, kept_text (kept
-    words joined by a space) and kept_sha256, one row for each row of docs.
+    words joined by a space; null without `texts`) and kept_sha256, one row for each row of docs.
 
     Null or empty text: no words. Null id: larger than every id; rows with equal ids are one
     document here and never remove words of each other. Other columns are ignored.
@@ -233,7 +233,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, n)
-        return chunk.result(chunk.removed(*_by_kind(answers)))
+        return chunk.result(chunk.removed(*_by_kind(answers)), texts)
 
     hits = exchange.by_bucket(chunked.groupBy("chunk").applyInArrow(ask, _ASK), shared_blocks, answer)
     repeats = exchange.by_bucket(exchange.with_answers(chunked, hits, ask_pieces, _PIECES), match, answer)

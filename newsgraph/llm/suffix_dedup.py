@@ -242,7 +242,7 @@ class _Chunk:
             rows.append((b, cuts.tobytes(), docs[s].tobytes(), self.data[at].tobytes()))
         return self._table(_PIECES, rows)
 
-    def finish(self, answers: dict[int, tuple], matches: dict[int, tuple]) -> pa.Table:
+    def finish(self, answers: dict[int, tuple], matches: dict[int, tuple], texts: bool) -> pa.Table:
         self.pieces(answers)
         found = self.found
         earlier, masks = np.zeros(len(found.keys), bool), np.zeros(len(found.keys), np.uint64)
@@ -257,19 +257,21 @@ class _Chunk:
             hit = (every | ((mask >> np.uint64(i)) & np.uint64(1)).astype(bool)) & (i + self.window <= self.left + self.right)
             begins.append(first[hit] + i)
         gone = blocks.cover(np.concatenate(begins), self.window, len(self.data))
-        return self.result(gone)
+        return self.result(gone, texts)
 
-    def result(self, gone: np.ndarray) -> pa.Table:
+    def result(self, gone: np.ndarray, texts: bool) -> pa.Table:
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         begin = self.offsets[:-1][np.diff(self.offsets) > 0]
         edge[begin] = gone[begin]
         removed, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, edge))
         n_removed, n_spans = (x[self.offsets[1:]] - x[self.offsets[:-1]] for x in (removed, runs))
-        kept = []
+        kept, digests = [], []
         for i, (a, b) in enumerate(zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)):
-            kept.append((self.data[a:b][~gone[a:b]] if n_removed[i] else self.data[a:b]).tobytes())
-        columns = [self.table["id"], np.diff(self.offsets), n_removed, n_spans, pa.array(kept, pa.large_binary()).cast(pa.binary()) if sum(map(len, kept)) < 2**31 else pa.chunked_array([pa.array([x], pa.binary()) for x in kept]), [hashlib.sha256(x).hexdigest() for x in kept]]
+            left = (self.data[a:b][~gone[a:b]] if n_removed[i] else self.data[a:b]).tobytes()
+            digests.append(hashlib.sha256(left).hexdigest())
+            kept.append(left if texts else None)
+        columns = [self.table["id"], np.diff(self.offsets), n_removed, n_spans, pa.chunked_array([pa.array([x], pa.binary()) for x in kept], pa.binary()) if texts and len(self.data) >= 2**31 else pa.array(kept, pa.binary()), digests]
         return pa.table(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
@@ -335,14 +337,14 @@ def _by_kind(table: pa.Table) -> tuple[dict[int, tuple], dict[int, tuple]]:
     return out
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that a smaller id also has (20 to 79 bytes).
 
     Strings are those of the input, within one document; anchors are compared by 64-bit hashes
     and the windows around them byte by byte, in the run-length index of their bucket. A bucket
     holds each distinct surrounding once, however many documents have it. Returns doc_id,
-    n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and
-    kept_sha256, one row for each row of docs.
+    n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes; null without
+    `texts`) and kept_sha256, one row for each row of docs.
 
     Null or empty text: no bytes. Null id: larger than every id; rows with equal ids are one
     document here and never remove bytes of each other. Other columns are ignored.
@@ -362,7 +364,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, id_col: str = "doc_
         return match_pieces(table, window)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _Chunk(table, window, n).finish(*_by_kind(answers))
+        return _Chunk(table, window, n).finish(*_by_kind(answers), texts)
 
     shared = exchange.by_bucket(chunked.groupBy("chunk").applyInArrow(ask, _ASK), shared_anchors, _ANSWER)
     matches = exchange.by_bucket(exchange.with_answers(chunked, shared, ask_pieces, _PIECES), match, _ANSWER)
