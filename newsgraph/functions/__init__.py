@@ -1,11 +1 @@
-"""Column functions: what a user builds own queries from."""
-
-from newsgraph.operators.normalize import age_label, clean_excerpt, extract_ids, fetch_outcome, normalized_key, pick_image, profile_body, slug, strip_markup, unescape, url_hash
-from newsgraph.operators.read import cluster_type, content_type, is_roundup
-from newsgraph.operators.score import calibrated, cosine, lifecycle, merge_centroid
-from newsgraph.operators.tables import cve_union, severity
-
-__all__ = [
-    "age_label", "calibrated", "clean_excerpt", "cluster_type", "content_type", "cosine", "cve_union", "extract_ids", "fetch_outcome", "is_roundup", "lifecycle",
-    "merge_centroid", "normalized_key", "pick_image", "profile_body", "severity", "slug", "strip_markup", "unescape", "url_hash",
-]
+"""Column functions."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from datetime import timedelta
@@ -13,23 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
 
 BACK, AHEAD = "30 days", "14 days"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table below spark.checkpoint.dir (a temporary folder where that is unset, as in tests)."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
-        top = spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def candidates_structured(articles: DataFrame, clusters: DataFrame) -> DataFrame:
     """(slug, id) that share a key while the cluster is active from 30 days before to 14 after.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.operators.normalize import normalized_key
+from newsgraph.plans.exchange import small
 from newsgraph.registry import Tables, query
 
 WORD = r"(?U)\w+"
@@ -24,7 +25,8 @@ def match_gazetteer(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     tokens = docs.select("slug", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
     grams = tokens.crossJoin(F.broadcast(sizes)).select("slug", "w", F.explode("sizes").alias("n")).filter(F.size("w") >= F.col("n"))
     placed = grams.select("slug", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("found"))
-    hits = placed.withColumn("gram", F.lower("found")).distinct().join(names, ["n", "gram"])
+    # The few names go to the grams, so the grams of all texts are never shuffled.
+    hits = placed.withColumn("gram", F.lower("found")).join(small(names), ["n", "gram"])
     exact = F.col("is_alias") | (F.length("name") > 3) | (F.col("found") == F.col("name"))
     return hits.filter(exact).select("slug", "normalized_key", "name").distinct()
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.operators.clusters import connected, merge_pairs, written
-from newsgraph.operators.entities import by_priority, kev_entities
-from newsgraph.operators.normalize import normalize_entries, normalized_key, read_feed_entries
-from newsgraph.operators.read import feed_order, filter_clusters, is_roundup, with_top_article
+from newsgraph.operators.clusters import connected, merge_pairs
+from newsgraph.operators.entities import by_priority, kev_entities, match_gazetteer
+from newsgraph.operators.normalize import PATTERNS, extract_ids, normalize_entries, normalized_key
+from newsgraph.operators.read import at, feed_order, filter_clusters, is_roundup, with_top_article
 from newsgraph.operators.score import MERGE
-from newsgraph.operators.tables import insert_new, upsert_write_once
+from newsgraph.operators.tables import insert_new, merge_sources, upsert_write_once
+from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
+from newsgraph.sources.feeds import read_feed_entries
 
 
 def cve_keys(articles: DataFrame) -> DataFrame:
@@ -111,23 +113,42 @@ def _(t: Tables) -> DataFrame:
     return enrich_topics(topics, nvd)
 
 
-STIX = {"actor": "threat-actor", "malware": "malware", "campaign": "campaign", "cve": "vulnerability"}
+#: Kinds of entities that are exported, and their names in STIX.
+STIX = {"cve": "vulnerability", "actor": "threat-actor", "malware": "malware", "tool": "tool"}
 
 
-def export_stix(entities: DataFrame, most: int = 500) -> DataFrame:
-    """(id, object): STIX 2.1 objects of four kinds of entities, those last seen first."""
+def export_stix(entities: DataFrame, as_of: str, since: Column | None = None, until: Column | None = None, most: int = 500) -> DataFrame:
+    """(id, object): STIX 2.1 objects of the entities last seen, at most so many of all kinds, of which
+    four are exported: CVEs with their reference, actors of unknown type, malware families, tools.
+    Of a period: last seen after its begin and first seen before its end. Null names go."""
     kind = F.create_map(*(F.lit(x) for pair in STIX.items() for x in pair))[F.col("type")]
-    rows = entities.withColumn("kind", kind).filter("kind is not null").orderBy(F.desc("last_seen"), "normalized_key").limit(most)
+    rows = entities if since is None else entities.filter(F.col("last_seen") >= since)
+    rows = rows if until is None else rows.filter(F.col("first_seen") <= until)
+    rows = rows.orderBy(F.desc("last_seen"), "normalized_key").limit(most).withColumn("kind", kind).filter("kind is not null and name is not null")
     digits = F.sha2(F.concat_ws("|", "kind", "normalized_key"), 256)
     ident = F.concat("kind", F.lit("--"), F.concat_ws("-", *(F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
-    family = F.when(F.col("type") == "malware", F.lit(False))
-    return rows.select(ident.alias("id"), F.to_json(F.struct(F.col("kind").alias("type"), F.lit("2.1").alias("spec_version"), ident.alias("id"), "name", family.alias("is_family"))).alias("object"))
+    given = F.lit(as_of)
+    extra = [
+        F.when(F.col("type") == "cve", F.array(F.struct(F.lit("cve").alias("source_name"), F.col("name").alias("external_id")))).alias("external_references"),
+        F.when(F.col("type") == "actor", F.array(F.lit("unknown"))).alias("threat_actor_types"),
+        F.when(F.col("type") == "malware", F.lit(True)).alias("is_family"),
+    ]
+    whole = F.struct(F.col("kind").alias("type"), F.lit("2.1").alias("spec_version"), ident.alias("id"), given.alias("created"), given.alias("modified"), "name", *extra)
+    return rows.select(ident.alias("id"), F.to_json(whole).alias("object"))
 
 
-@query("A23_stix")
+@query(
+    "A23_stix",
+    """with s as (select normalized_key, min(type) as type, min(name) as name, min(published_at) as first_seen, max(published_at) as last_seen from mentions group by 1),
+    t as (select * from s where last_seen >= timestamp '2024-01-10' and first_seen <= timestamp '2024-01-20' order by last_seen desc, normalized_key limit 500),
+    k as (select *, case type when 'cve' then 'vulnerability' when 'actor' then 'threat-actor' else type end as kind from t where type in ('cve', 'actor', 'malware', 'tool')),
+    i as (select *, sha256(kind || '|' || normalized_key) as d from k), j as (select *, kind || '--' || d[1:8] || '-' || d[9:12] || '-' || d[13:16] || '-' || d[17:20] || '-' || d[21:32] as id from i)
+    select id, '{"type":"' || kind || '","spec_version":"2.1","id":"' || id || '","created":"2024-01-25T00:00:00Z","modified":"2024-01-25T00:00:00Z","name":' || to_json(name) ||
+      case type when 'cve' then ',"external_references":[{"source_name":"cve","external_id":' || to_json(name) || '}]' when 'actor' then ',"threat_actor_types":["unknown"]' when 'malware' then ',"is_family":true' else '' end || '}' as object from j""",
+)
 def _(t: Tables) -> DataFrame:
-    seen = t.mentions.groupBy("normalized_key").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.max("published_at").alias("last_seen"))
-    return export_stix(seen)
+    seen = t.mentions.groupBy("normalized_key").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen"))
+    return export_stix(seen, "2024-01-25T00:00:00Z", at("2024-01-10"), at("2024-01-20"))
 
 
 @query("A25_backup", "select id, state, category from clusters")
@@ -215,12 +236,45 @@ def _(t: Tables) -> DataFrame:
     return replay(snapshots, target)[1]
 
 
-@query("N13_entities")
+def extract_entities(articles: DataFrame, gazetteer: DataFrame, kev: DataFrame) -> DataFrame:
+    """(slug, normalized_key, rank, sources) from title, body and CVEs of articles.
+
+    Ids of CVEs, weaknesses and techniques come first, then the catalogue's vendors of the CVEs,
+    then names of the gazetteer (an alias under the key that it stands for); of keys where one
+    begins the other the earlier set counts. sources: all sets that have the key.
+    """
+    text = F.concat_ws(" ", "title", "body", F.array_join("cve_ids", " "))
+    docs = articles.select("slug", text.alias("text"))
+    ids = F.flatten(F.array(*(extract_ids(F.col("text"), PATTERNS[kind]) for kind in ("cve", "cwe", "technique"))))
+    rows = [
+        docs.select("slug", F.explode(F.array_distinct(F.transform(ids, lambda x: F.lower(x)))).alias("normalized_key")),
+        kev_entities(articles, kev).select("slug", "normalized_key"),
+        match_gazetteer(docs, gazetteer).select("slug", "normalized_key").distinct(),
+    ]
+    ranked = [d.withColumn("rank", F.lit(i)) for i, d in enumerate(rows)]
+    sourced = [d.withColumn("sources", F.array(F.lit(name))) for d, name in zip(rows, ("ids", "catalogue", "names"), strict=True)]
+    sources = merge_sources(merge_sources(sourced[0], sourced[1]), sourced[2])
+    return by_priority(ranked[0].unionByName(ranked[1]).unionByName(ranked[2])).join(sources, ["slug", "normalized_key"])
+
+
+@query(
+    "N13_entities",
+    r"""with a as (select slug, cve_ids, case when doc_id % 4 = 0 then body || ' CWE-79 (T1059.001), cwe-22 CVE-2024-77777' else body end as body, title from articles),
+    x as (select slug, cve_ids, concat_ws(' ', title, body, array_to_string(cve_ids, ' ')) as text from a),
+    i as (select slug, lower(unnest(regexp_extract_all(text, 'CVE-\d{4}-\d{4,}') || regexp_extract_all(text, '(?i)\bCWE-\d+\b') || regexp_extract_all(text, '\bT1[0-6]\d{2}(?:\.\d{3})?\b'))) as k from x),
+    v as (select distinct slug, lower(trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g'), '-')) as k from (select slug, upper(unnest(cve_ids)) as c from a) join part on c = 'CVE-2024-' || (1000 + cast(floor(p_partkey / 40) as int)) where p_size < 3),
+    g as (select distinct array_to_string(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')[1:2], ' ') as name from benchmark),
+    n as (select distinct slug, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as k from x, g where contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), ' ') || ' ', ' ' || lower(name) || ' ')),
+    u as (select slug, k, 0 as rank, 'ids' as s from i union all select slug, k, 1, 'catalogue' from v union all select slug, k, 2, 'names' from n),
+    d as (select slug, k, min(rank) as rank, string_agg(distinct s, ',' order by s) as sources from u group by 1, 2)
+    select slug, k as normalized_key, rank, sources from d where not exists (select 1 from d e where e.slug = d.slug and e.rank < d.rank and starts_with(e.k, d.k || '-'))""",
+)
 def _(t: Tables) -> DataFrame:
-    """Entities of articles by priority: the catalogue's vendors, then names of their tags."""
+    rows = t.articles.withColumn("body", F.when(F.col("doc_id") % 4 == 0, F.concat("body", F.lit(" CWE-79 (T1059.001), cwe-22 CVE-2024-77777"))).otherwise(F.col("body")))
     kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.floor(F.col("p_partkey") / 40)).alias("cve_id"), F.col("p_brand").alias("vendor"))
-    first = kev_entities(t.articles, kev).withColumn("rank", F.lit(0))
-    return by_priority(first.unionByName(t.mentions.select("slug", "normalized_key").distinct().withColumn("rank", F.lit(1))))
+    name = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), 1, 2), " ")
+    gazetteer = t.benchmark.select(name.alias("name")).distinct().select("name", normalized_key(F.col("name")).alias("normalized_key"), F.lit(True).alias("is_alias"))
+    return extract_entities(rows, gazetteer, kev).withColumn("sources", F.array_join("sources", ","))
 
 
 @query("K13_rebuild")

@@ -5,32 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsgraph.functions.references import unescape
 from newsgraph.operators.read import AS_OF, at
 from newsgraph.registry import Tables, query
+from newsgraph.sources.feeds import read_feed_entries
 
-_ITEM = "title string, link string, guid string, description string, pubDate string, category array<string>"
-
-
-def read_feed_entries(snapshots: DataFrame) -> DataFrame:
-    """One row for each <item> that parses, of (source_name, raw_content); a broken item or a cut
-    feed costs only itself."""
-    items = snapshots.select("source_name", F.explode(F.regexp_extract_all("raw_content", F.lit(r"(?s)(<item[ >].*?</item>)"), F.lit(1))).alias("raw"))
-    parsed = items.select("source_name", F.from_xml("raw", _ITEM, {"mode": "PERMISSIVE"}).alias("x"))
-    return parsed.select("source_name", "x.*").filter("title is not null or link is not null")
-
-
-@query("A1_feed_entries", "select 'src' || (page_id % 20) as source_name, 'Page ' || page_id as title, replace(url, '&', '+') as link from pages where page_id % 9 <> 4")
+@query("A1_feed_entries", "select 'src' || (page_id % 20) as source_name, 'Page ' || page_id as title, replace(url, '&', '+') as link, case when page_id % 2 = 0 then 'c' || page_id % 5 else '' end as tags from pages where page_id % 9 <> 4")
 def _(t: Tables) -> DataFrame:
-    close = F.when(F.col("page_id") % 9 == 4, "").otherwise("</item>")  # a cut feed
-    raw = F.concat(F.lit("<rss><channel><item><title>Page "), "page_id", F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("+")), F.lit("</link>"), close)
+    """Even pages as entries of Atom, odd ones as items of RSS, some of them cut."""
+    url, cut = F.replace("url", F.lit("&"), F.lit("+")), F.col("page_id") % 9 == 4
+    item = F.concat(F.lit("<rss><channel><item><title>Page "), "page_id", F.lit("</title><link>"), url, F.lit("</link>"), F.when(cut, "").otherwise("</item>"))
+    entry = F.concat(F.lit("<feed><entry><title type='text'>Page "), "page_id", F.lit("</title><link rel='self' href='x'/><link href='"), url, F.lit("'/><category term='c"), F.col("page_id") % 5, F.lit("'/>"), F.when(cut, "").otherwise("</entry>"))
+    raw = F.when(F.col("page_id") % 2 == 0, entry).otherwise(item)
     snapshots = t.pages.select(F.concat(F.lit("src"), F.col("page_id") % 20).alias("source_name"), raw.alias("raw_content"))
-    return read_feed_entries(snapshots).select("source_name", "title", "link")
-
-
-def unescape(c: Column) -> Column:
-    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(safe), F.lit(raw))
-    return c
+    return read_feed_entries(snapshots).select("source_name", "title", "link", F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"))
 
 
 def normalize_entries(entries: DataFrame) -> DataFrame:
@@ -43,12 +31,12 @@ def normalize_entries(entries: DataFrame) -> DataFrame:
 
 @query(
     "N1_normalize_entries",
-    """select left(trim(replace(text, '&amp;', '&')), 500) as title, case when doc_id % 2 = 0 then doc_id::varchar else 'http://x/' || doc_id end as guid
+    """select left(trim(replace('’A' || chr(160) || 'é< ' || text, '&amp;', '&')), 500) as title, case when doc_id % 2 = 0 then doc_id::varchar else 'http://x/' || doc_id end as guid
     from documents where trim(text) <> '' and doc_id % 10 <> 3""",
 )
 def _(t: Tables) -> DataFrame:
     link = F.when(F.col("doc_id") % 10 != 3, F.concat(F.lit("http://x/"), "doc_id"))
-    entries = t.documents.select(F.col("text").alias("title"), link.alias("link"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("").alias("id"))
+    entries = t.documents.select(F.concat(F.lit("&#8217;&#x41;&nbsp;&eacute;&lt; "), "text").alias("title"), link.alias("link"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("").alias("id"))
     return normalize_entries(entries).select("title", "guid")
 
 
@@ -146,7 +134,9 @@ def _(t: Tables) -> DataFrame:
     return rows.select("page_id", pick_image(rows).alias("image"))
 
 
-PATTERNS = {"cve": r"(?i)CVE-\d{4}-\d{4,7}", "cwe": r"CWE-\d{1,4}", "technique": r"T\d{4}(?:\.\d{3})?", "email": r"[a-z0-9._]+@[a-z0-9.-]+\.[a-z]{2,}"}
+#: Ids in texts; fixed values. Of a technique only the range of the enterprise matrix.
+PATTERNS = {"cve": r"CVE-\d{4}-\d{4,}", "cwe": r"(?i)\bCWE-\d+\b", "technique": r"\bT1[0-6]\d{2}(?:\.\d{3})?\b"}
+_VECTOR, _ADVISORY = r"(CVSS:3\.\d+/[A-Z0-9/:]+)", r"(?i)/((?:icsa|icsma|aa|ics)\d*-[\d\w-]+)(?:\?|$|/)"
 
 
 def extract_ids(text: Column, pattern: str) -> Column:
@@ -154,13 +144,31 @@ def extract_ids(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
+def cvss_vector(html: Column) -> Column:
+    """The first vector of version 3, or null."""
+    return F.nullif(F.regexp_extract(html, _VECTOR, 1), F.lit(""))
+
+
+def advisory_id(url: Column) -> Column:
+    """The id of an advisory in the path of its URL, in capitals, or null."""
+    return F.nullif(F.upper(F.regexp_extract(url, _ADVISORY, 1)), F.lit(""))
+
+
 @query(
     "N8_extract",
-    "with m as (select doc_id, unnest(regexp_extract_all(text, '[a-z0-9._]+@[a-z0-9.-]+\\.[a-z]{2,}')) as x, generate_subscripts(regexp_extract_all(text, '[a-z0-9._]+@[a-z0-9.-]+\\.[a-z]{2,}'), 1) as i from documents), f as (select doc_id, x, min(i) as i from m group by 1, 2) select doc_id, string_agg(x, ',' order by i) as found from f group by 1",
+    r"""select doc_id, case when doc_id % 3 = 0 then 'CVE-2024-' || (1000 + doc_id) || ',CVE-2023-12345' else '' end as cves, case when doc_id % 4 = 0 then 'CWE-79,cwe-22' else '' end as cwes,
+    case when doc_id % 5 = 0 then 'T1059.001,T1105' else '' end as techniques, case when doc_id % 6 = 0 then 'CVSS:3.1/AV:N/AC:L' end as vector, case when doc_id % 7 = 0 then 'ICSA-26-057-' || (doc_id % 90 + 10) when doc_id % 7 = 1 then 'AA25-099A' end as advisory from documents""",
 )
 def _(t: Tables) -> DataFrame:
-    found = extract_ids(F.col("text"), PATTERNS["email"])
-    return t.documents.select("doc_id", F.array_join(found, ",").alias("found")).filter("found <> ''")
+    """Ids set into the texts, next to what looks like them."""
+    k, given = lambda n: F.col("doc_id") % n == 0, lambda when, *x: F.when(when, F.concat(*x)).otherwise("")
+    text = F.concat(
+        "text", given(k(3), F.lit(" CVE-2024-"), 1000 + F.col("doc_id"), F.lit(" CVE-2023-12345, CVE-2023-12345 CVE-20-1 ")), given(k(4), F.lit(" CWE-79;cwe-22 xCWE-1 CWE-79 ")),
+        given(k(5), F.lit(" T1059.001 T1105 T1900 T10599 xT1105 ")), given(k(6), F.lit(" (CVSS:3.1/AV:N/AC:L) CVSS:3.0/AV:P CVSS:2.0/AV:N ")),
+    )
+    url = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("http://x/icsa-26-057-"), F.col("doc_id") % 90 + 10, F.lit("?a"))).when(F.col("doc_id") % 7 == 1, F.lit("http://x/aa25-099a/")).otherwise(F.lit("http://x/aaa-1"))
+    found = [F.array_join(extract_ids(F.col("text"), PATTERNS[p]), ",").alias(n) for p, n in (("cve", "cves"), ("cwe", "cwes"), ("technique", "techniques"))]
+    return t.documents.select("doc_id", text.alias("text"), url.alias("url")).select("doc_id", *found, cvss_vector(F.col("text")).alias("vector"), advisory_id(F.col("url")).alias("advisory"))
 
 
 def classify_tags(articles: DataFrame, junk: DataFrame, gazetteer: DataFrame, topics: DataFrame) -> DataFrame:

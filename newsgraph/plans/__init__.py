@@ -1,8 +1 @@
-"""Whole plans that join several operators."""
-
-from newsgraph.operators.clusters import assign, dedup_by_key, update_clusters
-from newsgraph.operators.intel import detect_merges, replay
-from newsgraph.operators.read import daily_digest, trending, weekly_digest
-from newsgraph.operators.search import ranked_search
-
-__all__ = ["assign", "daily_digest", "dedup_by_key", "detect_merges", "ranked_search", "replay", "trending", "update_clusters", "weekly_digest"]
+"""What whole plans share: tables in the shared folder and checked broadcasts."""

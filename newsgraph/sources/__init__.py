@@ -1,10 +1 @@
-"""Readers of landed feeds and catalogues, and exports."""
-
-from newsgraph.operators.entities import load_attack, load_kev, load_nvd
-from newsgraph.operators.intel import export_stix, load_ransomware
-from newsgraph.operators.normalize import read_feed_entries
-from newsgraph.operators.tables import archive_snapshots, export_csv, export_json, export_rss, scan_snapshots
-
-__all__ = [
-    "archive_snapshots", "export_csv", "export_json", "export_rss", "export_stix", "load_attack", "load_kev", "load_nvd", "load_ransomware", "read_feed_entries", "scan_snapshots",
-]
+"""Readers of what has landed."""

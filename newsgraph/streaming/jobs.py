@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.operators.clusters import written
+from newsgraph.plans.exchange import shared_folder, small, written
 from newsgraph.registry import Tables, query
 
 LATE = "2 days"
@@ -45,10 +45,11 @@ def run_to_end(stream: DataFrame, mode: str, key: list[str] | None = None) -> Da
     return out.drop("_batch")
 
 
-@query("Z1_stream_ingest", "select distinct source_name from posts")
+@query("Z1_stream_ingest", "select slug, source_name from posts")
 def _(t: Tables) -> DataFrame:
-    stream = posts(t).withWatermark("published_at", LATE).dropDuplicatesWithinWatermark(["slug"])
-    return run_to_end(stream, "append").select("source_name").distinct()
+    """Every post lands twice and comes out once."""
+    stream = posts(t).unionByName(posts(t)).withWatermark("published_at", LATE).dropDuplicatesWithinWatermark(["slug"])
+    return run_to_end(stream, "append").select("slug", "source_name")
 
 
 _DAYS = "select date_trunc('day', published_at) as day, category, count(*) as n from posts group by 1, 2"
@@ -79,22 +80,28 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     clusters = t.posts.groupBy("category").agg((F.min("published_at") + F.expr("interval 20 days")).alias("latest_at"))
     near = F.col("latest_at").between(F.col("published_at") - F.expr("interval 3 days"), F.col("published_at") + F.expr("interval 2 days"))
-    return run_to_end(posts(t).join(F.broadcast(clusters), "category").filter(near).select("slug", "category"), "append")
+    return run_to_end(posts(t).join(small(clusters), "category").filter(near).select("slug", "category"), "append")
 
 
-def upsert_stream(stream: DataFrame, target: DataFrame) -> DataFrame:
-    """The target after all micro-batches: each inserts what is new. Batches have the number that
-    the checkpoint knows them by and are written under it, so one that runs again adds nothing."""
-    versions = [target]
+def upsert_stream(stream: DataFrame, target: DataFrame, folder: str | None = None) -> DataFrame:
+    """The target after all micro-batches: each inserts what neither it nor an earlier one has.
+
+    A batch is written below `folder` under the number that the checkpoint there knows it by, so
+    one that runs again replaces itself, and a job that starts again with the folder goes on where
+    the last one ended. The target is never written anew.
+    """
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
+    inserted = lambda paths: spark.read.schema(target.schema).parquet(*paths)
+    target.limit(0).write.mode("overwrite").parquet(f"{folder}/rows/none")
 
     def insert(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["slug"]).join(versions[-1], "slug", "left_anti")
-        versions.append(written(versions[-1].unionByName(fresh.select(*target.columns))))
+        before = inserted([f"{folder}/rows/none", *(f"{folder}/rows/{i}" for i in range(number))])
+        fresh = batch.dropDuplicates(["slug"]).join(target.select("slug").unionByName(before.select("slug")), "slug", "left_anti")
+        fresh.select(*target.columns).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
 
-    checkpoint = written(stream.sparkSession.range(1)).inputFiles()[0].rsplit("/", 1)[0] + "-stream"
-    job = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job = stream.writeStream.foreachBatch(insert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    return versions[-1]
+    return target.unionByName(inserted([f"{folder}/rows/*"]))
 
 
 @query("Z2_upsert_stream", "select event_id as slug, case when event_id % 2 = 0 then 'old' else event_type end as category from events")
