@@ -7,7 +7,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsgraph.operators import clusters, entities, normalize, read, score, tables
+from newsgraph.functions.references import unescape
+from newsgraph.operators import clusters, entities, normalize, read, score, search, tables
+from newsgraph.sources import feeds
+from newsgraph.streaming import jobs
 
 
 def test_insert_new_is_idempotent(spark):
@@ -27,7 +30,7 @@ def test_write_once_keeps_and_overwrites(spark):
 
 def test_broken_feed_items_cost_only_themselves(spark):
     raw = "<rss><item><title>A</title><link>u</link></item><item><title>B<link></item><item><title>C &amp; D</title><category>x</category></item><item><title>cut"
-    got = normalize.read_feed_entries(spark.createDataFrame([("s", raw), ("t", None), ("u", "no feed")], "source_name string, raw_content string")).collect()
+    got = feeds.read_feed_entries(spark.createDataFrame([("s", raw), ("t", None), ("u", "no feed")], "source_name string, raw_content string")).collect()
     assert {r.title for r in got} >= {"A", "C & D"}
 
 
@@ -123,3 +126,97 @@ def test_retry_and_roundup(spark):
     assert sorted(r.slug for r in read.retry_eligible(frame, read.AS_OF).collect()) == [1, 3]
     got = spark.createDataFrame([("The Weekly Recap",), ("A flaw",)], "t string").select(read.is_roundup(F.col("t"))).collect()
     assert [r[0] for r in got] == [True, False]
+
+
+def test_retry_without_a_last_try(spark):
+    frame = spark.createDataFrame([(1, 1, None), (2, 2, None), (3, 3, None), (4, None, None)], "slug int, tries int, tried_at timestamp").withColumn("body_quality", F.lit("failed"))
+    assert sorted(r.slug for r in read.retry_eligible(frame, read.AS_OF).collect()) == [1, 2, 4]
+
+
+def test_titles_of_roundups(spark):
+    titles = {
+        "Patch Tuesday, May": True, "WEEKLY UPDATE 400": True, "⚡ Weekly Recap: more": True, "This Week in Security": True, "[Webinar] How to": True, "SANS Stormcast": True, "CVE landscape of 2025": True,
+        "Weekly report of a breach": False, "A newsletter was hacked": False, "Top 10 of flaws": False, "A bulletin on a flaw": False, "webinar software has a flaw": False,
+    }
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", read.is_roundup(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == titles
+
+
+def test_kinds_of_articles_and_clusters(spark):
+    rows = [
+        ("CISA Adds Three Known Exploited Vulnerabilities", "x", "cisa_advisory", "kev_catalog"), ("politics and graphics", "x", "cisa_advisory", "ics_advisory"), ("a", "Microsoft MSRC", None, "product_advisory"),
+        ("a", "NCSC UK", None, "threat_advisory"), ("a", "x", "cisa_news", "threat_advisory"), ("An advisory on scada", "kev feed", None, "news"), (None, None, None, "news"),
+    ]
+    frame = spark.createDataFrame(rows, "title string, source string, normalizer string, want string")
+    assert all(r.got == r.want for r in frame.select("want", read.content_type(F.col("title"), F.col("source"), F.col("normalizer")).alias("got")).collect())
+    rows = [("ics_advisory", 2, ["actor"], "advisory"), ("threat_advisory", 1, ["campaign"], "cve_incident"), ("news", 0, ["malware", "actor"], "campaign"), ("news", 0, ["campaign"], "campaign"), (None, 0, None, "research")]
+    frame = spark.createDataFrame(rows, "c string, n int, types array<string>, want string")
+    assert all(r.got == r.want for r in frame.select("want", read.cluster_type(F.col("c"), F.col("n"), F.col("types")).alias("got")).collect())
+
+
+def test_signatures(spark):
+    rows = [("1", "cve", "c2", 5), ("1", "cve", "c1", 1), ("1", "cve", "c2", 0), ("2", "cve", "c1", 0), ("2", "vuln_alias", "v", 1), ("3", "campaign", "p", 0), ("4", "actor", "a", 0), ("4", "actor", "b", 1)]
+    got = {r.slug: r for r in clusters.event_signature(spark.createDataFrame(rows, "slug string, type string, normalized_key string, place int")).collect()}
+    assert got["1"].cve_ids == ["c2", "c1"] and [got[k].confidence for k in "1234"] == ["high", "high", "medium", "low"] and got["4"].primary_actors == ["a", "b"]
+
+
+def test_pairs_without_common_entities(spark):
+    """A cluster founded on a vendor alone is scored 0; one without entities counts only at embed 1."""
+    left = spark.createDataFrame([("s", "v", "vendor"), ("s", "c", "cve")], "slug string, normalized_key string, type string")
+    right = spark.createDataFrame([(1, "v", "vendor"), (2, "c", "cve")], "id int, normalized_key string, type string")
+    pairs = spark.createDataFrame([("s", 1, 1.0), ("s", 2, 1.0), ("s", 3, 1.0), ("s", 4, 0.9)], "slug string, id int, embed double")
+    got = {r.id: round(r.score, 6) for r in score.pair_scores(pairs, left, right, spark.createDataFrame([], "normalized_key string, idf double")).collect()}
+    assert got == {1: 0.0, 2: 0.45, 3: 0.35, 4: 0.0}
+
+
+def test_catalogue_names(spark):
+    raw = '{"objects": [{"type": "tool", "name": "ftp"}, {"type": "tool", "name": "Tool"}, {"type": "intrusion-set", "name": "APT29", "aliases": ["APT29", " Cozy Bear ", "Tool"], "external_references": [{"source_name": "mitre-attack", "external_id": "G0016"}]}, {"type": "malware", "name": "Old", "revoked": true}, {"type": "malware", "name": "New", "aliases": ["a"], "x_mitre_aliases": ["b"]}]}'
+    got = {r.name: (r.type, r.external_id, r.aliases) for r in entities.load_attack(spark.createDataFrame([(raw,)], "value string")).collect()}
+    assert got == {"Tool": ("tool", None, None), "APT29": ("actor", "G0016", ["Cozy Bear"]), "New": ("malware", None, ["b"])}
+    item = lambda v: f'{{"cveID": "CVE-2024-1", "vendorProject": "{v}", "dateAdded": "2024-01-01"}}'
+    names = {"Acme Corporation": "Acme Corporation", "Acme, Inc": "Acme,", "Acme Limited": "Acme", "Acme Inc. (EU)": "Acme", " D-Link ": "D-Link", "Foo Co.": "Foo", "Foo Co": "Foo Co"}
+    raw = f'{{"vulnerabilities": [{", ".join(map(item, [*names, "X"]))}]}}'
+    assert sorted(r.vendor for r in entities.load_kev(spark.createDataFrame([(raw,)], "value string")).collect()) == sorted(names.values())
+
+
+def test_feeds_of_three_forms(spark):
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title type='html'>A &amp;amp; B</title><link rel='self' href='s'/><link href='u'/><id>i</id><updated>2024</updated><category term='x'/></entry><entry><title>broken</entry></feed>"
+    rdf = "<rdf:RDF><item rdf:about='u2'><title>R</title><link>u2</link><dc:date>2023</dc:date></item></rdf:RDF>"
+    got = {r.title: r for r in feeds.read_feed_entries(spark.createDataFrame([("a", atom), ("r", rdf)], "source_name string, raw_content string")).collect()}
+    assert (got["A &amp; B"].link, got["A &amp; B"].guid, got["A &amp; B"].published, got["A &amp; B"].tags) == ("u", "i", "2024", ["x"]) and (got["R"].link, got["R"].published) == ("u2", "2023")
+
+
+def test_references(spark):
+    texts = ["a &amp;lt; b", "&#8217;&#x1F600;&Eacute;", "R&D &bogus; & &#0; &#xD800;", "&amp", None, "&apos;&nbsp;x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(unescape(F.col("t"))).collect()]
+    assert got == ["a &lt; b", "’😀É", "R&D &bogus; & � �", "&amp", None, "'\xa0x"]
+
+
+def test_fuzzy_terms_equal_all_pairs(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abé") for _ in range(rnd.choice((1, 2, 3, 4, 6, 7, 25, 30)))) for _ in range(250)]
+    words += [w[:-2] + rnd.choice("xy") for w in words[:80]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
+        return row[-1]
+
+    allowed = lambda w: 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+    want = {(q, w) for q in set(words[::5]) for w in set(words) if abs(len(q) - len(w)) <= 2 and distance(q, w) <= allowed(q)}
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "term string")
+    assert {(r.query, r.term) for r in search.fuzzy_terms(frame(words), frame(words[::5])).collect()} == want
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    schema = "slug long, category string"
+    target = spark.createDataFrame([(1, "old")], schema)
+    land = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: sorted(map(tuple, jobs.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), target, f"file://{tmp_path}/job").collect()))
+    land([(1, "new"), (2, "a"), (2, "a")])
+    assert run() == [(1, "old"), (2, "a")]
+    land([(2, "b"), (3, "c")])
+    assert run() == [(1, "old"), (2, "a"), (3, "c")] == run()
