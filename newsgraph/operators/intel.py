@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.operators.clusters import connected, merge_pairs
+from newsgraph.operators.clusters import assign_by_key, connected, merge_pairs, route
 from newsgraph.operators.entities import by_priority, kev_entities, match_gazetteer
 from newsgraph.operators.normalize import PATTERNS, extract_ids, normalize_entries, normalized_key
 from newsgraph.operators.read import at, feed_order, filter_clusters, is_roundup, with_top_article
-from newsgraph.operators.score import MERGE
+from newsgraph.operators.score import MERGE, mean_vector
 from newsgraph.operators.tables import insert_new, merge_sources, upsert_write_once
 from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
@@ -277,12 +277,47 @@ def _(t: Tables) -> DataFrame:
     return extract_entities(rows, gazetteer, kev).withColumn("sources", F.array_join("sources", ","))
 
 
+STEPS = ("entities", "vectors", "epss", "clusters")
+
+
+def rebuild(articles: DataFrame, gazetteer: DataFrame, kev: DataFrame, embeddings: DataFrame, epss: DataFrame, skip: tuple[str, ...] = (), days: int = 2) -> dict[str, DataFrame]:
+    """The steps of a full rebuild in order, by name, but for those to skip; what a skipped step would
+    have given is null in the clusters.
+
+    entities: extract_entities(); vectors: (slug, embedding); epss: (cve_id, epss); clusters: the
+    articles that take the full route placed by their CVEs in order of publication, with counts,
+    entities, mean vector and largest EPSS of the members. An unknown step is an error.
+    """
+    if unknown := set(skip) - set(STEPS):
+        raise ValueError(f"no such steps: {sorted(unknown)}")
+    out: dict[str, DataFrame] = {}
+    if "entities" not in skip:
+        out["entities"] = written(extract_entities(articles, gazetteer, kev))
+    if "vectors" not in skip:
+        out["vectors"] = embeddings.select(F.concat(F.lit("a"), "vec_id").alias("slug"), "embedding")
+    if "epss" not in skip:
+        out["epss"] = epss.groupBy("cve_id").agg(F.max("epss").alias("epss"))
+    if "clusters" not in skip:
+        full = articles.filter(route(F.col("content_type"), is_roundup(F.col("title"))) == "full")
+        keyed = cve_keys(full).select("slug", F.col("cve_id").alias("key")).distinct()
+        placed = written(assign_by_key(full.select("slug", "published_at", F.lit(True).alias("may_seed")), keyed, days).filter("cluster is not null"))
+        found = placed.join(articles, "slug").groupBy("cluster").agg(F.count("*").alias("article_count"), F.count_distinct("source_name").alias("source_count"), F.max("published_at").alias("latest_at"))
+        none = placed.limit(0).select("cluster")
+        named = placed.join(out["entities"], "slug").groupBy("cluster").agg(F.count_distinct("normalized_key").alias("entity_count")) if "entities" in out else none.withColumn("entity_count", F.lit(0).cast("long"))
+        vectors = mean_vector(placed.join(out["vectors"], "slug"), "cluster").select("cluster", "centroid") if "vectors" in out else none.withColumn("centroid", F.array().cast("array<double>"))
+        scored = placed.join(keyed, "slug").join(out["epss"], F.col("key") == F.col("cve_id")).groupBy("cluster").agg(F.max("epss").alias("max_epss")) if "epss" in out else none.withColumn("max_epss", F.lit(0.0))
+        out["clusters"] = found.join(named, "cluster", "left").join(vectors, "cluster", "left").join(scored, "cluster", "left")
+    return out
+
+
+def rebuilt(t: Tables, skip: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.floor(F.col("p_partkey") / 40)).alias("cve_id"), F.col("p_brand").alias("vendor"))
+    name = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), 1, 2), " ")
+    gazetteer = t.benchmark.select(name.alias("name")).distinct().select("name", normalized_key(F.col("name")).alias("normalized_key"), F.lit(True).alias("is_alias"))
+    return rebuild(t.articles, gazetteer, kev, t.embeddings, t.topics.select("cve_id", F.col("epss").cast("double").alias("epss")), skip)
+
+
 @query("K13_rebuild")
 def _(t: Tables) -> DataFrame:
-    """The full rebuild in order: mentions, candidates of the roundup-free articles, assignment, roll-up."""
-    from newsgraph.operators.clusters import assign_by_key, route
-
-    rows = t.articles.filter(route(F.col("content_type"), is_roundup(F.col("title"))) == "full")
-    keyed = cve_keys(rows).select("slug", F.col("cve_id").alias("key"))
-    placed = assign_by_key(rows.select("slug", "published_at", F.lit(True).alias("may_seed")), keyed, 2)
-    return placed.join(t.articles, "slug").groupBy("cluster").agg(F.count("*").alias("article_count"), F.count_distinct("source_name").alias("source_count"), F.max("published_at").alias("latest_at"))
+    """Clusters of a full rebuild; their assignment is checked one by one in the tests."""
+    return rebuilt(t)["clusters"].withColumn("centroid", F.size("centroid"))

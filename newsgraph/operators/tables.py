@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgraph.plans.exchange import shared_folder
 from newsgraph.registry import Tables, query
 
 PRIORITY = ("attack", "ransomware", "kev", "manual")
@@ -139,25 +140,61 @@ def export_json(articles: DataFrame, most: int = 1000) -> DataFrame:
     return articles.orderBy(F.desc("published_at"), "slug").limit(most)
 
 
+def _escaped(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def _element(name: str, c: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), F.coalesce(_escaped(c), F.lit("")), F.lit(f"</{name}>"))
+
+
+def _rfc_2822(c: Column) -> Column:
+    return F.date_format(c, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
 def export_rss(articles: DataFrame) -> DataFrame:
-    """One escaped <item> for each article, a <category> for each tag."""
-    def text(c: Column) -> Column:
-        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            c = F.replace(c, F.lit(raw), F.lit(safe))
-        return c
+    """One escaped <item> for each article (slug, title, source_url, desc, published_at, author,
+    raw_tags), a <category> for each tag; what is null is empty."""
+    guid = F.concat(F.lit('<guid isPermaLink="false">'), _escaped(F.col("slug")), F.lit("</guid>"))
+    tags = F.array_join(F.transform(F.coalesce("raw_tags", F.array().cast("array<string>")), lambda x: _element("category", x)), "")
+    parts = [_element("title", F.col("title")), _element("link", F.col("source_url")), guid, _element("description", F.col("desc")), _element("pubDate", _rfc_2822(F.col("published_at"))), _element("author", F.col("author")), tags]
+    return articles.select("slug", F.concat(F.lit("<item>"), *parts, F.lit("</item>")).alias("item"))
+
+
+def rss_channel(articles: DataFrame, title: str, link: str, as_of: Column, most: int = 20) -> DataFrame:
+    """One row, the RSS 2.0 document of the newest articles (ties by slug)."""
+    newest = articles.orderBy(F.desc("published_at"), "slug").limit(most)
+    items = export_rss(newest).join(newest.select("slug", "published_at"), "slug").agg(F.collect_list(F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("at"), "slug", "item")).alias("items"))
+    body = F.array_join(F.transform(F.array_sort("items"), lambda x: x["item"]), "")
+    head = [F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>'), _element("title", F.lit(title)), _element("link", F.lit(link)), _element("language", F.lit("en")), _element("lastBuildDate", _rfc_2822(as_of))]
+    return items.select(F.concat(*head, body, F.lit("</channel></rss>")).alias("document"))
+
+
+_SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_RSS_ITEM = (
+    "'<item><title>' || " + _SAFE.format("title") + " || '</title><link>http://x/' || slug || '?a=1&amp;b</link><guid isPermaLink=\"false\">' || slug || '</guid><description>' || " + _SAFE.format("left(body, 40)")
+    + " || '</description><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><author></author>' || coalesce(array_to_string(list_transform(raw_tags, lambda x: '<category>' || " + _SAFE.format("x") + " || '</category>'), ''), '') || '</item>'"
+)
 
-    tags = F.array_join(F.transform("raw_tags", lambda x: F.concat(F.lit("<category>"), text(x), F.lit("</category>"))), "")
-    date = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    return articles.select("slug", F.concat(F.lit("<item><title>"), text(F.col("title")), F.lit("</title><pubDate>"), date, F.lit("</pubDate>"), tags, F.lit("</item>")).alias("item"))
+
+def _exported(t: Tables) -> DataFrame:
+    return t.articles.select("slug", "title", F.concat(F.lit("http://x/"), "slug", F.lit("?a=1&b")).alias("source_url"), F.left("body", F.lit(40)).alias("desc"), "published_at", F.lit(None).cast("string").alias("author"), "raw_tags")
+
+
+@query("A24_rss", f"select slug, {_RSS_ITEM} as item from articles")
+def _(t: Tables) -> DataFrame:
+    return export_rss(_exported(t))
 
 
 @query(
-    "A24_rss",
-    """select slug, '<item><title>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate>' ||
-    coalesce(array_to_string(list_transform(raw_tags, lambda x: '<category>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</category>'), ''), '') || '</item>' as item from articles""",
+    "A24_channel",
+    f"""with n as (select * from articles order by published_at desc, slug limit 20)
+    select '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>News &amp; more</title><link>http://x</link><language>en</language><lastBuildDate>Thu, 25 Jan 2024 00:00:00 GMT</lastBuildDate>' || string_agg({_RSS_ITEM}, '' order by published_at desc, slug) || '</channel></rss>' as document from n""",
 )
 def _(t: Tables) -> DataFrame:
-    return export_rss(t.articles)
+    return rss_channel(_exported(t), "News & more", "http://x", F.lit("2024-01-25").cast("timestamp"))
 
 
 def with_month(articles: DataFrame) -> DataFrame:
@@ -165,9 +202,20 @@ def with_month(articles: DataFrame) -> DataFrame:
     return articles.withColumn("pub_month", F.coalesce(F.date_format("published_at", "yyyy-MM"), F.lit("default")))
 
 
-@query("A27_months", "select strftime(published_at, '%Y-%m') as pub_month, count(*) as n from posts group by 1")
+def write_months(articles: DataFrame, folder: str) -> None:
+    """One folder for each month; months that the rows have are replaced, others stay."""
+    with_month(articles).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pub_month").parquet(folder)
+
+
+@query("A27_months", "select slug, strftime(published_at, '%Y-%m') as pub_month from posts where published_at >= timestamp '2024-01-10' union all select -1 - slug, 'default' from posts where slug % 9 = 0")
 def _(t: Tables) -> DataFrame:
-    return with_month(t.posts).groupBy("pub_month").agg(F.count("*").alias("n"))
+    """A table written twice, the second time only some months of it, and two months read back."""
+    dated = t.posts.select("slug", "published_at")
+    undated = dated.filter("slug % 9 = 0").select((-1 - F.col("slug")).alias("slug"), F.lit(None).cast("timestamp").alias("published_at"))
+    folder = shared_folder(t.spark)
+    write_months(dated.unionByName(undated).unionByName(dated.withColumn("published_at", F.col("published_at") - F.expr("interval 300 days"))), folder)
+    write_months(dated.filter("published_at >= timestamp'2024-01-10'"), folder)
+    return t.spark.read.parquet(folder).filter(F.col("pub_month").isin("2024-01", "default")).select("slug", "pub_month")
 
 
 def purge_source(articles: DataFrame, members: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
@@ -408,10 +456,29 @@ def _(t: Tables) -> DataFrame:
     return entity_rollup(old.unionByName(new)).withColumn("slugs", F.sha2(F.array_join("slugs", ","), 256))
 
 
-@query("D21_replay_stats", "select source as source_name, count(*) as entries, count(distinct sha256(text)) as upserted, count(*) filter (length(text) < 500) as teasers from documents group by 1")
+def replay_stats(entries: DataFrame) -> DataFrame:
+    """Seven counts for each source of parsed entries (source_name, parsed, is_teaser, body_quality,
+    cve_ids, wrote): an entry that did not parse is an error, one that parsed and was there is skipped."""
+    parsed, wrote = F.coalesce("parsed", F.lit(False)), F.coalesce("wrote", F.lit(False))
+    return entries.groupBy("source_name").agg(
+        F.count("*").alias("entries"), F.count_if(parsed & wrote).alias("upserted"), F.count_if(parsed & ~wrote).alias("skipped"), F.count_if(~parsed).alias("errors"), F.count_if(parsed & F.col("is_teaser")).alias("teasers"),
+        F.count_if(parsed & F.col("body_quality").isin("teaser", "partial")).alias("thin_bodies"), F.count_if(parsed & (F.size("cve_ids") > 0)).alias("articles_with_cves"),
+    )
+
+
+@query(
+    "D21_replay_stats",
+    """with f as (select sha256(body) as h, min(doc_id) as doc_id from articles where doc_id % 11 > 0 group by 1), e as (select *, doc_id % 11 > 0 as parsed, doc_id in (select doc_id from f) as wrote, case doc_id % 4 when 0 then 'teaser' when 1 then 'partial' else 'ok' end as q from articles)
+    select source_name, count(*) as entries, count(*) filter (parsed and wrote) as upserted, count(*) filter (parsed and not wrote) as skipped, count(*) filter (not parsed) as errors, count(*) filter (parsed and length(body) < 500) as teasers,
+    count(*) filter (parsed and q <> 'ok') as thin_bodies, count(*) filter (parsed and len(cve_ids) > 0) as articles_with_cves from e group by 1""",
+)
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.groupBy(F.col("source").alias("source_name"))
-    return rows.agg(F.count("*").alias("entries"), F.count_distinct(F.sha2("text", 256)).alias("upserted"), F.count_if(F.length("text") < 500).alias("teasers"))
+    """Of equal bodies that parse the first one is written."""
+    rows = t.articles.withColumn("parsed", F.col("doc_id") % 11 > 0).withColumn("h", F.sha2("body", 256))
+    first = rows.filter("parsed").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("wrote"))
+    k = F.col("doc_id") % 4
+    entries = rows.join(first, "doc_id", "left").withColumn("is_teaser", F.length("body") < 500)
+    return replay_stats(entries.withColumn("body_quality", F.when(k == 0, "teaser").when(k == 1, "partial").otherwise("ok")))
 
 
 @query("D22_type_counts", "select type as value, count(*) as \"count\" from mentions group by 1 order by 2 desc limit 10")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.functions.references import unescape
-from newsgraph.operators import clusters, entities, normalize, read, score, search, tables
+from newsgraph.operators import clusters, entities, intel, normalize, read, score, search, tables
+from newsgraph.registry import Tables
 from newsgraph.sources import feeds
 from newsgraph.streaming import jobs
 
@@ -220,3 +222,13 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     assert run() == [(1, "old"), (2, "a")]
     land([(2, "b"), (3, "c")])
     assert run() == [(1, "old"), (2, "a"), (3, "c")] == run()
+
+
+def test_rebuild_skips_steps(spark, sf):
+    t = Tables(spark, sf)
+    assert list(intel.rebuilt(t, ("entities", "clusters"))) == ["vectors", "epss"]
+    whole, part = intel.rebuilt(t)["clusters"].collect(), intel.rebuilt(t, ("entities", "vectors", "epss"))["clusters"].collect()
+    assert {(r.cluster, r.article_count) for r in whole} == {(r.cluster, r.article_count) for r in part} and whole
+    assert any(r.entity_count for r in whole) and any(r.centroid for r in whole) and all(r.entity_count is r.centroid is r.max_epss is None for r in part)
+    with pytest.raises(ValueError, match="no such steps"):
+        intel.rebuilt(t, ("all",))
