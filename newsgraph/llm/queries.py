@@ -79,7 +79,53 @@ QUERIES = {
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _found_by(rules: tuple[secrets.Rule, ...]) -> str:
+    """(doc_id, place, kind, s, e) of the matches of every rule that are long enough: the text is cut
+    before each match by marks of the private area, and lengths are summed."""
+    cut, value, end = (f"chr({0xE000 + i})" for i in range(3))
+    one = """select doc_id, {place} as place, '{kind}' as kind, s, s + m as e from (select *, sum(m + rest) over (partition by doc_id order by j) - m - rest as s from (
+        select doc_id, j, case when j = 1 then 0 else length(split_part(p, {value}, 1)) end as m, case when j = 1 then '' else split_part(split_part(p, {value}, 2), {end}, 1) end as v,
+          case when j = 1 then length(p) else length(p) - length(split_part(p, {value}, 1)) - length(split_part(split_part(p, {value}, 2), {end}, 1)) - 2 end as rest
+        from (select doc_id, unnest(x) as p, generate_subscripts(x, 1) as j from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '({pattern})', {cut} || '\\1' || {value} || '\\2' || {end}, 'g'), {cut}) as x from documents)))) where j > 1 and length(v) >= {least}"""
+    return " union all ".join(one.format(place=i, kind=r.kind, pattern=r.pattern.replace("'", "''"), least=r.least, cut=cut, value=value, end=end) for i, r in enumerate(rules))
+
+
 ORACLE: dict[str, str] = {
+    "op3_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+        w as (select doc_id, unnest(list_transform(range(len(x) // 2 - 49), lambda i: md5(substring(x, 2 * i + 1, 100)))) as h, unnest(range(len(x) // 2 - 49)) as i from d where len(x) >= 100),
+        m as (select h, min(doc_id) as least from w group by h),
+        g as (select distinct doc_id, unnest(range(i, i + 50)) as k from w join m using (h) where least < doc_id),
+        n as (select doc_id, count(*) as n, count(*) filter (k - 1 <> before or before is null) as spans from (select *, lag(k) over (partition by doc_id order by k) as before from g) group by doc_id),
+        b as (select d.doc_id, unnest(range(len(x) // 2)) as k, unnest(list_transform(range(len(x) // 2), lambda i: substring(x, 2 * i + 1, 2))) as b from d join n using (doc_id)),
+        kept as (select doc_id, string_agg(b, '' order by k) as y from b anti join g using (doc_id, k) group by doc_id)
+        select doc_id, len(x) // 2 as n_bytes, coalesce(n.n, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(case when n.n is null then x else coalesce(y, '') end)) as kept_sha256
+        from d left join n using (doc_id) left join kept using (doc_id)""",
+    "op4_near_duplicates": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) end) as g from d),
+        n as (select doc_id, count(*) as n from s group by 1), h as (select doc_id, md5(g) as g from s),
+        c as (select x.doc_id as a, y.doc_id as b, count(*) as c from h x join h y using (g) where x.doc_id < y.doc_id group by 1, 2),
+        l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l), r as (select doc_id, doc_id as root from d union select e.b, r.root from r join e on e.a = r.doc_id),
+        k as (select doc_id, min(root) as component_id from r group by 1)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from d join k using (doc_id) left join n using (doc_id)""",
+    "op7_secret_scan": f"""
+        with f as ({_found_by(secrets.RULES)}),
+        g as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h,
+          string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (place < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans from f group by doc_id)
+        select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join g using (doc_id)""",
+    "op9_substring_dedup": f"""
+        with d as (select doc_id, {WORDS} as w from documents),
+        x as (select doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' ')))) as h, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+        m as (select h, min(doc_id) as least from x group by h),
+        g as (select distinct doc_id, unnest(range(i, i + 50)) as k from x join m using (h) where least < doc_id), n as (select doc_id, count(*) as n from g group by doc_id),
+        t as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d),
+        kept as (select doc_id, string_agg(word, ' ' order by k) as y from t anti join g using (doc_id, k) group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(y, '')) as kept_sha256 from d left join n using (doc_id) left join kept using (doc_id)""",
     "op6_warc": """
         with p as (select page_id, encode(coalesce(html, '')) b from pages),
         q as (select page_id, octet_length(b) n, sha1(b) d from p),
