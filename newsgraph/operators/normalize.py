@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsgraph.functions.references import unescape
 from newsgraph.operators.read import AS_OF, at
+from newsgraph.plans.exchange import small
 from newsgraph.registry import Tables, query
 from newsgraph.sources.feeds import read_feed_entries
 
@@ -171,6 +172,29 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.alias("text"), url.alias("url")).select("doc_id", *found, cvss_vector(F.col("text")).alias("vector"), advisory_id(F.col("url")).alias("advisory"))
 
 
+def extract_flagged(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entries with cve_ids and cvss_vector of title and description, each only where the flag of the
+    source is on. sources: source_name, extract_cves, extract_cvss, few rows; a source that is not
+    among them, or a null flag, counts as off."""
+    text = F.concat_ws(" ", "title", "description")
+    flags = small(sources.select("source_name", F.col("extract_cves").alias("_cves"), F.col("extract_cvss").alias("_cvss")))
+    out = entries.join(flags, "source_name", "left")
+    cves = F.when(F.col("_cves"), extract_ids(text, PATTERNS["cve"])).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"cve_ids": cves, "cvss_vector": F.when(F.col("_cvss"), cvss_vector(text))}).drop("_cves", "_cvss")
+
+
+@query(
+    "N1_source_flags",
+    """select doc_id, case when doc_id % 3 = 0 and source in ('src1', 'src2') then 'CVE-2024-1000,CVE-2024-2000' else '' end as cves, case when doc_id % 3 = 0 and source in ('src2', 'src3') then 'CVSS:3.1/AV:N' end as cvss_vector from documents""",
+)
+def _(t: Tables) -> DataFrame:
+    ids = F.when(F.col("doc_id") % 3 == 0, "CVE-2024-1000, CVE-2024-2000 and CVE-2024-1000 (CVSS:3.1/AV:N)")
+    entries = t.documents.select("doc_id", F.col("source").alias("source_name"), F.col("lang").alias("title"), ids.alias("description"))
+    has = lambda *names: F.col("source_name").isin(*names)
+    sources = entries.select("source_name").distinct().filter("source_name <> 'src4'").select("source_name", has("src1", "src2").alias("extract_cves"), F.when(has("src2", "src3"), True).alias("extract_cvss"))
+    return extract_flagged(entries, sources).select("doc_id", F.array_join("cve_ids", ",").alias("cves"), "cvss_vector")
+
+
 def classify_tags(articles: DataFrame, junk: DataFrame, gazetteer: DataFrame, topics: DataFrame) -> DataFrame:
     """(slug, keywords, topics): junk tags go, known names become keywords, other tags their topic."""
     tags = articles.select("slug", F.explode("raw_tags").alias("tag")).distinct().join(junk, "tag", "left_anti")
