@@ -96,11 +96,12 @@ def _found_by(rules: tuple[secrets.Rule, ...]) -> str:
 ORACLE: dict[str, str] = {
     "op3_suffix_dedup": """
         with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-        w as (select doc_id, unnest(list_transform(range(len(x) // 2 - 49), lambda i: md5(substring(x, 2 * i + 1, 100)))) as h, unnest(range(len(x) // 2 - 49)) as i from d where len(x) >= 100),
+        p as (select doc_id, j, substring(x, 2000 * j + 1, 2098) as y from (select doc_id, x, unnest(range((len(x) // 2 + 999) // 1000)) as j from d)),
+        w as (select doc_id, unnest(list_transform(range(least(1000, len(y) // 2 - 49)), lambda i: md5(substring(y, 2 * i + 1, 100)))) as h, unnest(range(least(1000, len(y) // 2 - 49))) + 1000 * j as i from p where len(y) >= 100),
         m as (select h, min(doc_id) as least from w group by h),
         g as (select distinct doc_id, unnest(range(i, i + 50)) as k from w join m using (h) where least < doc_id),
         n as (select doc_id, count(*) as n, count(*) filter (k - 1 <> before or before is null) as spans from (select *, lag(k) over (partition by doc_id order by k) as before from g) group by doc_id),
-        b as (select d.doc_id, unnest(range(len(x) // 2)) as k, unnest(list_transform(range(len(x) // 2), lambda i: substring(x, 2 * i + 1, 2))) as b from d join n using (doc_id)),
+        b as (select p.doc_id, unnest(range(least(1000, len(y) // 2))) + 1000 * j as k, unnest(list_transform(range(least(1000, len(y) // 2)), lambda i: substring(y, 2 * i + 1, 2))) as b from p join n using (doc_id)),
         kept as (select doc_id, string_agg(b, '' order by k) as y from b anti join g using (doc_id, k) group by doc_id)
         select doc_id, len(x) // 2 as n_bytes, coalesce(n.n, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(case when n.n is null then x else coalesce(y, '') end)) as kept_sha256
         from d left join n using (doc_id) left join kept using (doc_id)""",
