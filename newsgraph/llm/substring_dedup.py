@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,12 +141,16 @@ def shared_blocks(table: pa.Table) -> pa.Table:
     return _answers(table, ((docs >= 2) & indexed)[key], None, cuts)
 
 
-def _ranks(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Ranks of the rows by parts[0], by parts[0:2] and so on: rows are equal as far as ranks are."""
-    out = [np.unique(parts[0], return_inverse=True)[1]]
-    for part in parts[1:]:
-        out.append(np.unique(out[-1] * (1 + part.max(initial=0)) + part, return_inverse=True)[1])
-    return out
+def _ranks(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Ranks of the rows by the first part, by the first two and so on: rows are equal as far as ranks are."""
+    rank = None
+    for part in parts:
+        rank = np.unique(part if rank is None else rank * np.int64(1 + part.max(initial=0)) + part, return_inverse=True)[1]
+        yield rank.astype(np.int32)
+
+
+def _last(ranks: Iterator[np.ndarray]) -> np.ndarray:
+    return deque(ranks, maxlen=1)[0]
 
 
 def extended(words: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, docs: np.ndarray, block: int, reach: int) -> np.ndarray:
@@ -160,16 +167,16 @@ def extended(words: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.n
     def at(k: int) -> np.ndarray:
         """1 + the word k places after the block's first one, 0 beyond the piece."""
         inside = (k >= -left) & (k < block + right)
-        return np.where(inside, words[np.where(inside, first + left + k, 0)] + 1, 0)
+        return np.where(inside, words[np.where(inside, first + left + k, 0)] + np.int32(1), np.int32(0))
 
-    same = _ranks([at(k) for k in range(block)])[-1]
-    rights = _ranks([same, *(at(block + k) for k in range(reach))])
-    lefts = _ranks([same, *(at(-1 - k) for k in range(reach))])
+    same = _last(_ranks(at(k) for k in range(block)))
+    rights = list(_ranks(chain([same], (at(block + k) for k in range(reach)))))
+    lefts = list(_ranks(chain([same], (at(-1 - k) for k in range(reach)))))
     masks = np.zeros(len(first), np.uint64)
     for a in range(reach + 1):
         whole = np.flatnonzero((left >= a) & (right >= reach - a))
         if len(whole):
-            _, group = np.unique(lefts[a][whole] * (1 + rights[reach - a].max()) + rights[reach - a][whole], return_inverse=True)
+            _, group = np.unique(lefts[a][whole] * np.int64(1 + rights[reach - a].max()) + rights[reach - a][whole], return_inverse=True)
             least = np.full(group.max() + 1, exchange.NO_ID)
             np.minimum.at(least, group, docs[whole])
             masks[whole[least[group] < docs[whole]]] |= np.uint64(1) << np.uint64(a)
@@ -185,12 +192,13 @@ def match_pieces(table: pa.Table, block: int, reach: int) -> pa.Table:
     # Ids of whole words: each with the space after it.
     ends = np.flatnonzero(data == 32) + 1
     offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(data)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
+    del data, ends, offsets
     size = left + block + right
     first = np.cumsum(size) - size
     masks = extended(words, first, left, right, docs, block, reach)
     # Equal pieces of several chunks: all windows of one are in the least document that has it.
-    _, whole = np.unique(_ranks([left, right, *(np.where(k < size, words[np.where(k < size, first + k, 0)], 0) for k in range(block + 2 * reach))])[-1], return_inverse=True)
+    whole = _last(_ranks(chain([left, right], (np.where(k < size, words[np.where(k < size, first + k, 0)], 0) for k in range(block + 2 * reach)))))
     least = np.full(whole.max(initial=-1) + 1, exchange.NO_ID)
     np.minimum.at(least, whole, docs)
     return _answers(table, least[whole] < docs, masks, until // 2)
