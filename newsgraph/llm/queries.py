@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import decontaminate, exchange, html_text, minhash, mixing, quality, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from newsgraph.llm import decontaminate, divergence, exchange, html_text, lexical, minhash, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages.drop("html"), model)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mix_sources": op2_mix_sources,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_simhash_duplicates": op12_simhash_duplicates,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -135,4 +150,24 @@ ORACLE: dict[str, str] = {
                case when head is not null and head <> page_id then 'revisit' else 'response' end as record_type,
                case when head <> page_id then head end as refers_to
         from q left join h using (d, n)""",
+    "op11_source_divergence": f"""
+        with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w, row_number() over () as doc from documents),
+        t as (select lang, source, doc, unnest(w) as term from d), k as (select lang, term, count(*)::hugeint as total from t group by 1, 2 having count(distinct doc) >= 10),
+        g as (select distinct lang, source from d), l as (select lang, count(*)::hugeint as v, sum(total)::hugeint as nl from k group by 1),
+        c as (select lang, source, term, count(*)::hugeint as n from t join k using (lang, term) group by 1, 2, 3), s as (select lang, source, sum(n)::hugeint as ns from c group by 1, 2),
+        x as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0) + 2)) // (coalesce(ns, 0) + 2 * v) as p, 1 + (1000000000 * (total + 2)) // (nl + 2 * v) as q
+          from g join k using (lang) join l using (lang) left join s using (lang, source) left join c using (lang, source, term)),
+        f as (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value from x join x y using (lang, term) where x.source <> y.source group by 1, 2, 3),
+        a as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0)::bigint as value from g join g h on h.lang = g.lang and h.source <> g.source left join f on f.lang = g.lang and f.source = g.source and f.item = h.source
+          union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from x where n > 0 and p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from a)
+        select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10""",
+    "op13_ranked_search": r"""
+        with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+        q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        a as (select item_id, term, count(*) as k from q group by 1, 2), l as (select doc_id, count(*) as n from t group by 1), s as (select count(*) as nn, sum(n)::bigint as ll from l),
+        c as (select doc_id, term, count(*) as tf from t where term in (select term from q) group by 1, 2), f as (select term, count(*) as df from c group by 1),
+        v as (select doc_id, term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))) as value from c join f using (term) join l using (doc_id), s),
+        h as (select item_id, doc_id, sum(k * value)::bigint as score from a join v using (term) group by 1, 2)
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from h where score > 0 qualify rank <= 10""",
 }
