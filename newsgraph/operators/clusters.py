@@ -11,20 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgraph.operators.windows import interval_join
 from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
 
-BACK, AHEAD = "30 days", "14 days"
+BACK, AHEAD = 30, 14
 
 
 def candidates_structured(articles: DataFrame, clusters: DataFrame) -> DataFrame:
     """(slug, id) that share a key while the cluster is active from 30 days before to 14 after.
 
-    articles: slug, key, published_at; clusters: id, key, latest_at, state.
+    articles: slug, key, published_at; clusters: id, key, latest_at, state. They meet by key and time
+    bucket, common keys in parts (see interval_join), so pairs outside the window are hardly made.
     """
-    live = clusters.filter("state <> 'resolved'")
-    window = F.col("latest_at").between(F.col("published_at") - F.expr(f"interval {BACK}"), F.col("published_at") + F.expr(f"interval {AHEAD}"))
-    return articles.join(live, "key").filter(window).select("slug", "id").distinct()
+    live = clusters.filter("state <> 'resolved'").select("id", "key", "latest_at")
+    return interval_join(articles.select("slug", "key", "published_at"), live, ["key"], "published_at", "latest_at", BACK, AHEAD).select("slug", "id").distinct()
 
 
 @query(
@@ -195,14 +196,6 @@ def assign_by_key(articles: DataFrame, keyed: DataFrame, days: int) -> DataFrame
     return rows.select("root", "slug", "published_at", "may_seed", "keys").mapInArrow(lambda it: _placed(decide(_rows(it))), "slug string, cluster string")
 
 
-@query("K4_assign")
-def _(t: Tables) -> DataFrame:
-    """Articles that take the full route may share a cluster if they share a CVE; checked by brute force in the tests."""
-    full = t.articles.filter(route(F.col("content_type"), F.col("category") == "fr") == "full")
-    keyed = full.select("slug", F.explode(F.transform("cve_ids", F.upper)).alias("key")).distinct()
-    return assign_by_key(full.select("slug", "published_at", F.lit(True).alias("may_seed")), keyed, 3)
-
-
 def build_clusters(members: DataFrame, articles: DataFrame) -> DataFrame:
     """All derived fields of clusters from their members: counts, sources, span, categories."""
     rows = members.join(articles, "slug")

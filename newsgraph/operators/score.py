@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.operators.read import at
+from newsgraph.operators.windows import interval_join
 from newsgraph.registry import Tables, query
 
 ASSIGN, MERGE = 0.31, 0.55
@@ -178,7 +179,7 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFr
 
 
 _PAIRS = """with m as (select distinct slug, normalized_key, case when type = 'cve' then 'cve' when type = 'vuln_alias' then 'alias' when type in ('actor', 'campaign') then 'actor' else 'other' end as kind from mentions where type <> 'vendor'),
-    c as (select distinct slug, normalized_key from mentions where type = 'cve'), p as (select distinct a.slug, b.slug as id from c a join c b using (normalized_key) where a.slug < b.slug
+    c as (select distinct slug, normalized_key, published_at from mentions where type = 'cve'), p as (select distinct a.slug, b.slug as id from c a join c b using (normalized_key) where a.slug < b.slug and b.published_at between a.published_at - interval 30 day and a.published_at + interval 14 day
       union select 'a' || doc_id, 'a' || (doc_id + 1) from documents where doc_id + 1 in (select doc_id from documents)),
     n as (select normalized_key, greatest(0.01, ln((select count(distinct slug) from mentions) / count(distinct slug))) as idf from mentions group by 1),
     w as (select slug, normalized_key, kind, idf from m join n using (normalized_key)), t as (select slug, sum(case kind when 'actor' then idf else 0 end) as x, sum(case kind when 'other' then idf else 0 end) as y from w group by 1),
@@ -192,12 +193,12 @@ _PAIRS = """with m as (select distinct slug, normalized_key, case when type = 'c
 
 
 def _mention_pairs(t: Tables) -> DataFrame:
-    """Articles that share a CVE, and neighbours that may have nothing in common."""
-    m = t.mentions.filter("type = 'cve'").select("slug", "normalized_key").distinct()
-    other = m.select(F.col("slug").alias("id"), "normalized_key")
+    """Articles that share a CVE within the window of candidates, and neighbours that may have nothing in common."""
+    m = t.mentions.filter("type = 'cve'").select("slug", "normalized_key", F.col("published_at").alias("at")).distinct()
+    other = m.select(F.col("slug").alias("id"), "normalized_key", F.col("at").alias("latest"))
     docs = t.documents.select("doc_id")
     near = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.concat(F.lit("a"), "doc_id").alias("slug"), F.concat(F.lit("a"), F.col("doc_id") + 1).alias("id"))
-    pairs = m.join(other, "normalized_key").filter("slug < id").select("slug", "id").unionByName(near).distinct()
+    pairs = interval_join(m, other, ["normalized_key"], "at", "latest").filter("slug < id").select("slug", "id").unionByName(near).distinct()
     return pairs.withColumn("embed", (F.length("slug") + F.length("id") + F.ascii(F.right("id", F.lit(1)))) % 3 / 2.0)
 
 

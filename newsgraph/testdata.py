@@ -60,6 +60,16 @@ ROLES = {name: _role(name) for name in _SQL}
 ROLES["posts"] = lambda t: t.events.select(
     F.col("event_id").alias("slug"), F.col("ts").cast("timestamp").alias("published_at"), F.col("event_type").alias("category"), F.col("user_id").alias("source_name"), F.col("value").alias("score"), "props"
 )
+
+
+def _vectors(t):
+    """Vectors of articles: seven in a row have a vector in common, to which many add half of one of their own."""
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    docs = t.documents.select("doc_id").join(e.withColumnRenamed("vec_id", "of"), F.floor(F.col("doc_id") / 7) == F.col("of")).join(e.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("own")), "doc_id", "left")
+    return docs.select(F.concat(F.lit("a"), "doc_id").alias("slug"), F.when(F.col("own").isNull(), F.col("v")).otherwise(F.zip_with("v", "own", lambda x, y: x + y / 2)).alias("vector"))
+
+
+ROLES["vectors"] = _vectors
 _DUCK_SQL = {k: v.format(**_DUCK).replace("array(", "list_value(") for k, v in _SQL.items()} | {
     "posts": "select event_id as slug, ts::timestamp as published_at, event_type as category, user_id as source_name, value as score, props from events"
 }
