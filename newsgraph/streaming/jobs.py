@@ -1,11 +1,10 @@
-"""Structured Streaming twins of the ingest and the digests.
+"""Structured Streaming twins of the ingest and the digests.
 
 The queries run a stream over landed files to its end and return what its sink holds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,22 +107,3 @@ def upsert_stream(stream: DataFrame, target: DataFrame, folder: str | None = Non
 def _(t: Tables) -> DataFrame:
     target = t.posts.filter("slug % 2 = 0").select("slug", F.lit("old").alias("category"))
     return upsert_stream(posts(t).select("slug", "category"), target)
-
-
-def _transitions(key, batches, state):
-    """new -> developing (2) -> confirmed (3): a row for each step, once."""
-    (count,) = state.get if state.exists else (0,)
-    out = []
-    for batch in batches:
-        for _ in range(len(batch)):
-            count += 1
-            if count <= 3:
-                out.append((key[0], ("new", "developing", "confirmed")[count - 1]))
-    state.update((count,))
-    yield pd.DataFrame(out, columns=["source_name", "state"])
-
-
-@query("Z5_lifecycle", "with n as (select user_id as source_name, count(*) as n from events group by 1) select source_name, ['new', 'developing', 'confirmed'][i::int] as state from n, range(1, 4) r(i) where i <= n")
-def _(t: Tables) -> DataFrame:
-    steps = posts(t).groupBy("source_name").applyInPandasWithState(_transitions, "source_name long, state string", "count long", "append", "NoTimeout")
-    return run_to_end(steps, "append")
