@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsgraph.operators import assignment, clusters, entities, intel, normalize, read, score, search, tables, vectors  # noqa: F401
+from newsgraph.operators import assignment, clusters, entities, events, intel, normalize, read, score, search, tables, vectors  # noqa: F401
 from newsgraph.registry import ORACLE, QUERIES
 from newsgraph.streaming import jobs, lifecycle  # noqa: F401
 

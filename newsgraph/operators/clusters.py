@@ -1,4 +1,4 @@
-"""Grouping articles about one event: candidates, assignment, merges, roll-ups."""
+"""Grouping articles about one event: candidates, routes, components, signatures."""
 
 from __future__ import annotations
 
@@ -108,17 +108,6 @@ def _(t: Tables) -> DataFrame:
     return _survivors(t)
 
 
-@query("K11_absorb", _COMPONENTS.replace("select id, survivor from b", ", m as (select cast(floor(doc_id / 5) as bigint) as id, slug from articles) select coalesce(survivor, m.id) as id, count(distinct slug) as article_count from m left join b on b.id = m.id group by 1"))
-def _(t: Tables) -> DataFrame:
-    return absorb(_fives(t).select("cluster_id", "slug"), _survivors(t))
-
-
-def absorb(members: DataFrame, moved: DataFrame) -> DataFrame:
-    """Members repointed to the survivors, each article once: (id, article_count)."""
-    repointed = members.join(moved, F.col("cluster_id") == F.col("id"), "left").select(F.coalesce("survivor", "cluster_id").alias("id"), "slug")
-    return repointed.groupBy("id").agg(F.count_distinct("slug").alias("article_count"))
-
-
 def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows in order of publication within the components of links (a, b), whatever their diameter:
     labels only fall, so the rounds end by themselves."""
@@ -196,45 +185,6 @@ def assign_by_key(articles: DataFrame, keyed: DataFrame, days: int) -> DataFrame
     return rows.select("root", "slug", "published_at", "may_seed", "keys").mapInArrow(lambda it: _placed(decide(_rows(it))), "slug string, cluster string")
 
 
-def build_clusters(members: DataFrame, articles: DataFrame) -> DataFrame:
-    """All derived fields of clusters from their members: counts, sources, span, categories."""
-    rows = members.join(articles, "slug")
-    return rows.groupBy("cluster_id").agg(
-        F.count_distinct("slug").alias("article_count"), F.count_distinct("source_name").alias("source_count"), F.min("added_at").alias("earliest"), F.max("added_at").alias("latest_at"),
-        F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.max("cvss").alias("max_cvss"),
-    )
-
-
-_BUILD = "select l_orderkey as cluster_id, count(distinct l_partkey) as article_count, count(distinct l_suppkey) as source_count, min(l_shipdate) as earliest, max(l_shipdate) as latest_at, string_agg(distinct p_brand, ',' order by p_brand) as categories, max(p_size) / 5.0 as max_cvss from lineitem join part on p_partkey = l_partkey group by 1"
-
-
-def _facts(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("slug"), F.col("p_brand").alias("category"), (F.col("p_size") / 5.0).alias("cvss"))
-
-
-@query("K5_build", _BUILD)
-def _(t: Tables) -> DataFrame:
-    return build_clusters(t.members, _facts(t))
-
-
-def update_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, touched: DataFrame) -> DataFrame:
-    """The table with the touched clusters built anew from all their members."""
-    fresh = build_clusters(members.join(touched, "cluster_id", "left_semi"), articles)
-    return clusters.join(touched, "cluster_id", "left_anti").unionByName(fresh)
-
-
-@query("K6_update", _BUILD)
-def _(t: Tables) -> DataFrame:
-    old = build_clusters(t.members.filter("place > 1"), _facts(t))
-    return update_clusters(old, t.members, _facts(t), t.members.select("cluster_id").distinct())
-
-
-@query("K14_detail", "select conv_id as cluster_id, count(*) as n, min(turn) as earliest, max(turn) as latest, string_agg(distinct role, ',' order by role) as keywords from conversations group by 1")
-def _(t: Tables) -> DataFrame:
-    c = t.conversations.groupBy(F.col("conv_id").alias("cluster_id"))
-    return c.agg(F.count("*").alias("n"), F.min("turn").alias("earliest"), F.max("turn").alias("latest"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("keywords"))
-
-
 #: Columns of an event signature and the type of their keys.
 SIGNATURE = {"vuln_aliases": "vuln_alias", "campaign_names": "campaign", "affected_products": "product", "primary_actors": "actor"}
 

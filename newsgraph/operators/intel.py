@@ -1,15 +1,15 @@
-"""CVE topics, their sources and exports of what is known."""
+"""CVE topics, their sources and exports of what is known."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.operators.clusters import assign_by_key, connected, merge_pairs, route
+from newsgraph.operators.clusters import assign_by_key, route
 from newsgraph.operators.entities import by_priority, kev_entities, match_gazetteer
 from newsgraph.operators.normalize import PATTERNS, extract_ids, normalize_entries, normalized_key
 from newsgraph.operators.read import at, feed_order, filter_clusters, is_roundup, with_top_article
-from newsgraph.operators.score import MERGE, mean_vector
+from newsgraph.operators.score import mean_vector
 from newsgraph.operators.tables import insert_new, merge_sources, upsert_write_once
 from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
@@ -194,28 +194,6 @@ def _(t: Tables) -> DataFrame:
     return feed_order(top, "coverage").limit(30).select("id", "slug")
 
 
-def detect_merges(keys: DataFrame, scored: DataFrame, sizes: DataFrame, least: float = MERGE) -> DataFrame:
-    """(id, survivor): clusters that share a key and score enough, as components; the largest survives (ties: least id)."""
-    pairs = merge_pairs(keys).join(scored.filter(F.col("score") >= least), ["a", "b"], "left_semi")
-    roots = connected(pairs)
-    best = roots.join(sizes, "id").groupBy("root").agg(F.max_by("id", F.struct("n", F.struct(-F.col("id")))).alias("survivor"))
-    return roots.join(best, "root").select("id", "survivor")
-
-
-_MERGES = """with recursive m as (select distinct cast(floor(doc_id / 5) as bigint) as id, upper(unnest(cve_ids)) as key from articles), e as (select distinct x.id as a, y.id as b from m x join m y using (key) where x.id <> y.id and (x.id + y.id) % 3 > 0),
-    r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as root from r group by 1), s as (select cast(floor(doc_id / 5) as bigint) as id, count(*) as n from articles group by 1)
-    select id, first_value(id) over (partition by root order by n desc, id) as survivor from c join s using (id)"""
-
-
-@query("K10_merges", _MERGES)
-def _(t: Tables) -> DataFrame:
-    """Of clusters of five articles that share a CVE, those whose pair scores enough."""
-    rows = t.articles.withColumn("id", F.floor(F.col("doc_id") / 5))
-    keys = rows.select("id", F.explode(F.transform("cve_ids", F.upper)).alias("key")).distinct()
-    pairs = merge_pairs(keys).withColumn("score", F.when((F.col("a") + F.col("b")) % 3 > 0, 0.6).otherwise(0.2))
-    return detect_merges(keys, pairs, rows.groupBy("id").agg(F.count("*").alias("n")))
-
-
 def replay(snapshots: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Articles with those of archived feeds that are new, and entries and new rows by source."""
     entries = read_feed_entries(snapshots).withColumnRenamed("guid", "id")

@@ -149,6 +149,13 @@ def _(t: Tables) -> DataFrame:
     return nearest(rows.filter("id % 20 = 0"), rows, 3).select("query", "id", "rank")
 
 
+def pair_score(cve: Column, alias: Column, actor: Column, other: Column, embed: Column, founded: Column) -> Column:
+    """What a pair scores: shared CVE and alias (booleans), the Jaccards of actors and of others, the
+    calibrated cosine, and whether the right side has entities at all."""
+    entity = F.when(cve, 0.10).otherwise(0.0) + F.when(alias, 0.15).otherwise(0.0) + 0.22 * actor + 0.18 * other
+    return F.when(founded & (entity == 0), 0.0).when(founded, entity + 0.35 * embed).otherwise(F.when(embed >= 1, 0.35).otherwise(0.0))
+
+
 def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFrame) -> DataFrame:
     """(slug, id, score) of candidate pairs (slug, id, embed).
 
@@ -171,10 +178,9 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFr
         union = F.col(f"a_{c}") + F.col(f"b_{c}") - F.col(c)
         return F.when(union > 0, F.col(c) / union).otherwise(0.0)
 
-    entity = F.when(F.col("cve") > 0, 0.10).otherwise(0.0) + F.when(F.col("alias") > 0, 0.15).otherwise(0.0) + 0.22 * jaccard("actor") + 0.18 * jaccard("other")
     out = out.join(right.select("id").distinct().withColumn("founded", F.lit(True)), "id", "left")
     founded = F.coalesce("founded", F.lit(False))
-    score = F.when(founded & (entity == 0), 0.0).when(founded, entity + 0.35 * F.col("embed")).otherwise(F.when(F.col("embed") >= 1, 0.35).otherwise(0.0))
+    score = pair_score(F.col("cve") > 0, F.col("alias") > 0, jaccard("actor"), jaccard("other"), F.col("embed"), founded)
     return out.select("slug", "id", score.alias("score"))
 
 

@@ -71,6 +71,7 @@ def _vectors(t):
 
 ROLES["vectors"] = _vectors
 _DUCK_SQL = {k: v.format(**_DUCK).replace("array(", "list_value(") for k, v in _SQL.items()} | {
+    "vectors": "select 'a' || d.doc_id as slug, list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double + coalesce(b.embedding[i]::double / 2, 0)) as vector from documents d join embeddings a on a.vec_id = d.doc_id // 7 left join embeddings b on b.vec_id = d.doc_id",
     "posts": "select event_id as slug, ts::timestamp as published_at, event_type as category, user_id as source_name, value as score, props from events"
 }
 
