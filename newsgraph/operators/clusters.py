@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgraph.operators.windows import interval_join
+from newsgraph.operators.windows import interval_pairs
 from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
 
@@ -22,10 +22,10 @@ def candidates_structured(articles: DataFrame, clusters: DataFrame) -> DataFrame
     """(slug, id) that share a key while the cluster is active from 30 days before to 14 after.
 
     articles: slug, key, published_at; clusters: id, key, latest_at, state. They meet by key and time
-    bucket, common keys in parts (see interval_join), so pairs outside the window are hardly made.
+    bucket, common keys in parts (see interval_pairs), so pairs outside the window are hardly made.
     """
     live = clusters.filter("state <> 'resolved'").select("id", "key", "latest_at")
-    return interval_join(articles.select("slug", "key", "published_at"), live, ["key"], "published_at", "latest_at", BACK, AHEAD).select("slug", "id").distinct()
+    return interval_pairs(articles.select("slug", "key", "published_at"), live, ["key"], "published_at", "latest_at", "id", BACK, AHEAD).select("slug", "id").distinct()
 
 
 @query(
