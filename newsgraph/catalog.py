@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from newsgraph.operators import assignment, clusters, entities, events, intel, normalize, read, score, search, tables, vectors  # noqa: F401
+from newsgraph.operators import assignment, clusters, documents, entities, events, intel, normalize, normalizers, read, score, search, tables, upserts, vectors  # noqa: F401
 from newsgraph.registry import ORACLE, QUERIES
-from newsgraph.streaming import jobs, lifecycle  # noqa: F401
+from newsgraph.streaming import ingest, jobs, lifecycle  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -14,7 +14,10 @@ from newsgraph.registry import Tables, query
 
 #: Lists of an event signature and the type of the entities in each.
 LISTS = {"cve_ids": "cve"} | SIGNATURE
-_NONE = F.array().cast("array<string>")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def signature_of(lists: dict[str, Column], otherwise: Column) -> Column:
@@ -62,16 +65,16 @@ def build_clusters(members: DataFrame, articles: DataFrame, mentions: DataFrame,
     out = facts
     for part in (cves, keys, signature, founding, centroids):
         out = out.join(part, "cluster_id", "left")
-    empty = signature_of({name: _NONE for name in LISTS}, F.lit("low"))
+    empty = signature_of({name: _none() for name in LISTS}, F.lit("low"))
     seed = lambda c: F.col(f"seed.{c}")
     types = F.transform("founding", lambda x: x["type"])
     n = F.col("article_count")
     return out.select(
         "cluster_id", seed("title").alias("label"), F.when(n == 1, "new").otherwise(lifecycle(n, F.lit("new"))).alias("state"),
-        cluster_type(seed("content_type"), F.size(F.coalesce(seed("cve_ids"), _NONE)), types).alias("cluster_type"), (seed("content_type") == "ics_advisory").alias("is_advisory"),
+        cluster_type(seed("content_type"), F.size(F.coalesce(seed("cve_ids"), _none())), types).alias("cluster_type"), (seed("content_type") == "ics_advisory").alias("is_advisory"),
         F.array(seed("category")).alias("categories"), "article_count", "source_count", "earliest_at", "latest_at", "max_cvss", "max_credibility_weight",
-        F.transform("timeline", lambda x: x["slug"]).alias("article_ids"), "timeline", F.coalesce("cve_ids", _NONE).alias("cve_ids"), F.transform(F.coalesce(seed("cve_ids"), _NONE), F.upper).alias("seed_cve_ids"),
-        F.coalesce("entity_keys", _NONE).alias("entity_keys"), F.coalesce("founding", F.array().cast("array<struct<type:string,normalized_key:string>>")).alias("founding"),
+        F.transform("timeline", lambda x: x["slug"]).alias("article_ids"), "timeline", F.coalesce("cve_ids", _none()).alias("cve_ids"), F.transform(F.coalesce(seed("cve_ids"), _none()), F.upper).alias("seed_cve_ids"),
+        F.coalesce("entity_keys", _none()).alias("entity_keys"), F.coalesce("founding", F.array().cast("array<struct<type:string,normalized_key:string>>")).alias("founding"),
         F.coalesce("event_signature", empty).alias("event_signature"), "centroid", F.lit(None).cast("bigint").alias("merged_into"),
     )
 
@@ -172,7 +175,9 @@ def cluster_detail(clusters: DataFrame, articles: DataFrame) -> DataFrame:
 
 # --- queries over the given tables: five articles in a row are a cluster ---------------------------
 
-_MEMBERS = F.floor(F.col("doc_id") / 5).alias("cluster_id")
+
+def _of_five() -> Column:
+    return F.floor(F.col("doc_id") / 5).alias("cluster_id")
 
 
 def _articles(t: Tables) -> DataFrame:
@@ -180,7 +185,7 @@ def _articles(t: Tables) -> DataFrame:
 
 
 def _built(t: Tables) -> DataFrame:
-    return build_clusters(t.articles.select(_MEMBERS, "slug"), _articles(t), t.mentions, t.vectors)
+    return build_clusters(t.articles.select(_of_five(), "slug"), _articles(t), t.mentions, t.vectors)
 
 
 def _probe(c: str) -> Column:
@@ -234,17 +239,17 @@ def _(t: Tables) -> DataFrame:
 @query("K6_update", _BUILD_SQL)
 def _(t: Tables) -> DataFrame:
     """Clusters of some of their members, of which those that got more are built anew."""
-    some = t.articles.filter("doc_id % 3 > 0 or doc_id % 10 < 5").select(_MEMBERS, "slug")
+    some = t.articles.filter("doc_id % 3 > 0 or doc_id % 10 < 5").select(_of_five(), "slug")
     old = build_clusters(some, _articles(t), t.mentions, t.vectors)
-    late = t.articles.filter("doc_id % 3 = 0 and doc_id % 10 >= 5").select(_MEMBERS)
-    return _flat(update_clusters(old, t.articles.select(_MEMBERS, "slug"), _articles(t), t.mentions, t.vectors, late))
+    late = t.articles.filter("doc_id % 3 = 0 and doc_id % 10 >= 5").select(_of_five())
+    return _flat(update_clusters(old, t.articles.select(_of_five(), "slug"), _articles(t), t.mentions, t.vectors, late))
 
 
 def _aliased(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Mentions, with an alias for the larger CVE of each article that has some, and clusters of five of these with their state and last update."""
     alias = t.articles.filter("doc_id % 3 = 0").select("slug", F.lit("x").alias("name"), F.concat(F.lit("alias-"), F.floor(F.col("doc_id") / 40)).alias("normalized_key"), F.lit("vuln_alias").alias("type"), "source_name", "published_at", F.lit(200).alias("place"))
     mentions = t.mentions.unionByName(alias)
-    built = build_clusters(t.articles.select(_MEMBERS, "slug"), _articles(t), mentions, t.vectors)
+    built = build_clusters(t.articles.select(_of_five(), "slug"), _articles(t), mentions, t.vectors)
     rows = built.withColumn("state", F.when(F.col("cluster_id") % 7 == 5, "resolved").otherwise(F.col("state"))).withColumn("updated_at", F.col("latest_at"))
     return mentions, written(rows)
 

@@ -20,20 +20,6 @@ def cve_keys(articles: DataFrame) -> DataFrame:
     return articles.select("slug", "published_at", F.explode(F.transform("cve_ids", F.upper)).alias("cve_id")).distinct()
 
 
-def merge_cve_topics(target: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Topics with the slugs of both, their number, and the later update. target: cve_id, slugs, updated_at."""
-    old = target.select("cve_id", F.explode_outer("slugs").alias("slug"), "updated_at")
-    rows = old.unionByName(mentions.select("cve_id", "slug", F.col("published_at").alias("updated_at")))
-    return rows.groupBy("cve_id").agg(F.array_sort(F.collect_set("slug")).alias("slugs"), F.max("updated_at").alias("updated_at"))
-
-
-@query("A9_cve_topics", "with k as (select distinct slug, published_at, upper(unnest(cve_ids)) as cve_id from articles) select cve_id, count(distinct slug) as n, max(published_at) as updated_at from k group by 1")
-def _(t: Tables) -> DataFrame:
-    keys = cve_keys(t.articles)
-    half = merge_cve_topics(keys.limit(0).select("cve_id", F.array("slug").alias("slugs"), F.col("published_at").alias("updated_at")), keys.filter("slug like '%1'"))
-    return merge_cve_topics(half, keys).select("cve_id", F.size("slugs").cast("long").alias("n"), "updated_at")
-
-
 def stub_cve_topics(topics: DataFrame, articles: DataFrame, more_than: int = 5) -> DataFrame:
     """New cve_ids of articles that list more than so many, which have no topic yet."""
     many = articles.filter(F.size("cve_ids") > more_than).select(F.explode(F.transform("cve_ids", F.upper)).alias("cve_id")).distinct()

@@ -300,7 +300,16 @@ def _(t: Tables) -> DataFrame:
     return importance(_score_input(t).join(touched, "id", "left_semi"), "1998-08-01").select("id", "score", "confidence")
 
 
-@query("W6_factors")
+_FACTORS = """with m as (select l_orderkey as id, count(*) as n, count(distinct l_suppkey) as s from lineitem group by 1),
+    c as (select o_orderkey as id, s, case when o_orderkey % 4 > 0 then (o_orderkey % 100) / 10.0 end as cvss, o_orderkey % 7 as cves, o_orderkey % 3 as ents, o_orderstatus as state, epoch(timestamp '1998-08-01' - o_orderdate) / 3600.0 as h, 0.8 + (o_orderkey % 4) * 0.25 as w, o_orderkey % 11 = 0 as kev, (o_orderkey % 13) / 10.0 as epss from orders join m on id = o_orderkey),
+    f as (select id, 'cvss' as name, round(least(coalesce(cvss, 0), 10) / 10 * 30, 1) as points from c union all select id, 'coverage', round(least(s, 10) / 10 * 25, 1) from c
+      union all select id, 'recency', case when h < 6 then 20 when h < 12 then 16 when h < 24 then 12 when h < 48 then 8 when h < 168 then 4 else 0 end from c union all select id, 'entities', round(case when cves > 0 then least(cves, 5) / 5 * 15 else least(ents, 5) end, 1) from c
+      union all select id, 'state', case state when 'F' then 10 when 'O' then 6 else 2 end from c union all select id, 'credibility', case when w >= 1.5 then 15 when w >= 1.2 then 10 when w >= 1.0 then 5 else 0 end from c
+      union all select id, 'kev', case when kev then 20 else 0 end from c union all select id, 'epss', round(case when epss > 0 then least(epss, 1) * 15 else 0 end, 1) from c)
+    select id, row_number() over (partition by id order by points desc, name)::int - 1 as place, name, points::double as points from f where points > 0 qualify row_number() over (partition by id order by points desc, name) <= 5"""
+
+
+@query("W6_factors", _FACTORS)
 def _(t: Tables) -> DataFrame:
     out = importance(_score_input(t), "1998-08-01")
     return out.select("id", F.posexplode("top_factors").alias("place", "f")).select("id", "place", "f.name", "f.points")

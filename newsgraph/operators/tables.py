@@ -74,13 +74,6 @@ def upsert_overwrite(batch: DataFrame, target: DataFrame, key: str) -> DataFrame
     return target.join(batch, key, "left_anti").unionByName(batch.select(*target.columns))
 
 
-@query("A6_upsert", "select p_partkey as id, case when p_size > 30 then p_retailprice * 2 else p_retailprice end as price from part")
-def _(t: Tables) -> DataFrame:
-    target = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    batch = t.part.filter("p_size > 30").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 2).alias("price"))
-    return upsert_overwrite(batch, target, "id")
-
-
 def upsert_write_once(target: DataFrame, batch: DataFrame, key: str, immutable: list[str], mutable: list[str]) -> DataFrame:
     """Immutable fields keep what they have; mutable ones take what the batch gives."""
     t, b = target.alias("t"), batch.alias("b")
@@ -332,9 +325,19 @@ def set_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 _DIFF = "select doc_id, case when a.quality is null then 'b_only' when b.toxic is null then 'a_only' else 'both' end as side from (select * from labels where quality = 1) a full join (select * from labels where toxic = 0) b using (doc_id)"
 
 
-@query("C18_ner_diff", _DIFF)
+def ner_diff(a: DataFrame, b: DataFrame, keys: list[str], seen: int = 500) -> DataFrame:
+    """Rows of either set of entities with side (both, a_only, b_only) and zone: new-input for what only b
+    has, at an offset of `seen` or more, which a never saw; else shared, so too without an offset.
+    Of a key that b has several times the first place counts. a: keys; b: keys, char_offset."""
+    places = b.groupBy(*keys).agg(F.min("char_offset").alias("_at"))
+    zone = F.when((F.col("side") == "b_only") & (F.col("_at") >= seen), "new-input").otherwise("shared")
+    return set_diff(a, b, keys).join(places, keys, "left").withColumn("zone", zone).drop("_at")
+
+
+@query("C18_ner_diff", _DIFF.replace("as side from", "as side, case when a.quality is null and doc_id % 7 > 0 and doc_id * 13 % 1000 >= 500 then 'new-input' else 'shared' end as zone from"))
 def _(t: Tables) -> DataFrame:
-    return set_diff(t.labels.filter("quality = 1"), t.labels.filter("toxic = 0"), ["doc_id"])
+    place = F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") * 13 % 1000).alias("char_offset")
+    return ner_diff(t.labels.filter("quality = 1"), t.labels.filter("toxic = 0").select("doc_id", place), ["doc_id"])
 
 
 @query("U6_difference", "select doc_id from labels where quality = 1 and toxic <> 0")
@@ -449,13 +452,6 @@ def _(t: Tables) -> DataFrame:
     return entity_rollup(t.mentions).withColumn("slugs", F.sha2(F.array_join("slugs", ","), 256))
 
 
-@query("A8_merge_entities", _ROLLUP)
-def _(t: Tables) -> DataFrame:
-    """The entity table is derived from all mentions, old and new, whatever the batches were."""
-    old, new = t.mentions.filter("type = 'actor'"), t.mentions.filter("type <> 'actor'")
-    return entity_rollup(old.unionByName(new)).withColumn("slugs", F.sha2(F.array_join("slugs", ","), 256))
-
-
 def replay_stats(entries: DataFrame) -> DataFrame:
     """Seven counts for each source of parsed entries (source_name, parsed, is_teaser, body_quality,
     cve_ids, wrote): an entry that did not parse is an error, one that parsed and was there is skipped."""
@@ -490,17 +486,20 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "D24_source_labels",
-    """with n as (select source_name, raw_tags from articles qualify row_number() over (partition by source_name order by published_at desc, slug) <= 5), e as (select source_name, unnest(raw_tags) as tag from n)
-    select source_name, string_agg(distinct tag, ',' order by tag) as labels from e group by 1""",
+    """with n as (select source_name, raw_tags from articles where published_at >= timestamp '2024-02-15' - interval 30 day qualify row_number() over (partition by source_name order by published_at desc, slug) <= 5), e as (select source_name, trim(unnest(raw_tags)) as tag from n)
+    select source_name, string_agg(distinct tag, ',' order by tag) as labels from e where tag <> '' group by 1""",
 )
 def _(t: Tables) -> DataFrame:
-    return source_labels(t.articles).withColumn("labels", F.array_join("labels", ","))
+    return source_labels(t.articles, F.lit("2024-02-15").cast("timestamp")).withColumn("labels", F.array_join("labels", ","))
 
 
-def source_labels(snapshots: DataFrame, newest: int = 5) -> DataFrame:
+def source_labels(snapshots: DataFrame, as_of: Column, days: int = 30, newest: int = 5) -> DataFrame:
+    """(source_name, labels): distinct labels that are not empty of each source's newest snapshots of the last days."""
     w = Window.partitionBy("source_name").orderBy(F.desc("published_at"), "slug")
-    rows = snapshots.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= newest)
-    return rows.select("source_name", F.explode("raw_tags").alias("tag")).groupBy("source_name").agg(F.array_sort(F.collect_set("tag")).alias("labels"))
+    recent = snapshots.filter(F.col("published_at") >= as_of - F.make_dt_interval(days=F.lit(days)))
+    rows = recent.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= newest)
+    labels = rows.select("source_name", F.explode("raw_tags").alias("tag")).withColumn("tag", F.trim("tag")).filter("tag <> ''")
+    return labels.groupBy("source_name").agg(F.array_sort(F.collect_set("tag")).alias("labels"))
 
 
 @query("D25_fill_decisions", "select p_partkey as label, coalesce(p_size > 10, true) as ingest, case when p_size % 2 = 0 then p_size / 10.0 else 0 end as modifier from (select p_partkey, case when p_size % 2 = 0 then p_size end as p_size from part)")
