@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgraph.operators.assignment import assign_clusters, routed
 from newsgraph.operators.clusters import SIGNATURE, connected, event_signature
+from newsgraph.operators.intel import extract_entities
+from newsgraph.operators.normalize import normalized_key
 from newsgraph.operators.read import at, cluster_type, idf
 from newsgraph.operators.score import MERGE, calibrated, cosine, importance, lifecycle, mean_vector, pair_scores
+from newsgraph.operators.tables import mark_kev
 from newsgraph.operators.windows import interval_join
 from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
@@ -317,3 +321,81 @@ def _(t: Tables) -> DataFrame:
     out = cluster_detail(_built(t), there)
     text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit("")).alias(c)
     return out.select("cluster_id", F.sha2("label", 256).alias("label"), "state", "article_count", text("articles", lambda x: F.concat(x["slug"], F.lit(":"), x["source_name"])), text("keywords", lambda x: x), text("timeline", lambda x: x["slug"]), "earliest_at", "latest_at")
+
+
+# --- full rebuild ------------------------------------------------------------------------------------
+
+STEPS = ("entities", "vectors", "epss", "clusters", "marks", "scores")
+
+
+def typed_entities(articles: DataFrame, gazetteer: DataFrame, kev: DataFrame) -> DataFrame:
+    """(slug, type, normalized_key, place) of extract_entities(): ids by their form, vendors of the catalogue, and
+    names by the type that the gazetteer (name, normalized_key, is_alias, type) gives them."""
+    found = extract_entities(articles, gazetteer, kev)
+    types = gazetteer.groupBy("normalized_key").agg(F.min("type").alias("_type"))
+    key = F.col("normalized_key")
+    kind = F.when(F.col("rank") == 1, "vendor").when(F.col("rank") == 2, F.coalesce("_type", F.lit("tool"))).when(key.startswith("cve-"), "cve").when(key.startswith("cwe-"), "cwe").otherwise("ttp")
+    return found.join(types, "normalized_key", "left").select("slug", kind.alias("type"), "normalized_key", F.col("rank").alias("place"))
+
+
+def rebuild_all(articles: DataFrame, gazetteer: DataFrame, kev: DataFrame, chunks: DataFrame, epss: DataFrame, as_of: str, skip: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The tables of a full rebuild by name, each step from what the steps before it gave, but for those to skip.
+
+    entities (N13), vectors (D23: chunks pooled by article), epss (A12: the largest of a CVE), clusters (K4
+    and K5: articles that may be in clusters placed one after the other, rows of all their members),
+    marks (C16, C17: cisa_kev, is_advisory), scores (K9: score, confidence, top_factors at `as_of`). The
+    CVEs of an article always count as its entities. Without a step its columns are null; without
+    clusters there are no marks and scores. An unknown step is an error. articles also has
+    content_type, title, body and what build_clusters() reads; chunks: slug, embedding.
+    """
+    if unknown := set(skip) - set(STEPS):
+        raise ValueError(f"no such steps: {sorted(unknown)}")
+    out: dict[str, DataFrame] = {}
+    own = articles.select("slug", F.lit("cve").alias("type"), F.explode(F.array_distinct(F.transform("cve_ids", F.lower))).alias("normalized_key"), F.lit(0).alias("place"))
+    entities = own
+    if "entities" not in skip:
+        out["entities"] = written(typed_entities(articles, gazetteer, kev))
+        entities = written(own.unionByName(out["entities"]).groupBy("slug", "type", "normalized_key").agg(F.min("place").alias("place")))
+    vectors = chunks.limit(0).select("slug", F.col("embedding").cast("array<double>").alias("vector"))
+    if "vectors" not in skip:
+        vectors = out["vectors"] = written(mean_vector(chunks, "slug").filter("centroid is not null").select("slug", F.col("centroid").alias("vector")))
+    if "epss" not in skip:
+        out["epss"] = written(epss.groupBy(F.upper("cve_id").alias("cve_id")).agg(F.max("epss").alias("epss")))
+    if "clusters" in skip:
+        return out
+    placed = written(assign_clusters(routed(articles), entities, vectors, idf(entities)).filter("cluster is not null"))
+    members = placed.select(F.col("cluster").alias("cluster_id"), "slug")
+    rows = written(build_clusters(members, articles, entities, vectors).withColumn("merged_into", F.lit(None).cast("string")))
+    if "marks" not in skip:
+        marks = mark_kev(rows.select(F.col("cluster_id").alias("slug"), "cve_ids"), articles.filter("content_type = 'kev_catalog'")).withColumnRenamed("slug", "cluster_id")
+        ics = members.join(articles.filter("content_type = 'ics_advisory'").select("slug"), "slug", "left_semi").select("cluster_id", F.lit(True).alias("_ics")).distinct()
+        rows = rows.join(marks, "cluster_id").join(ics, "cluster_id", "left").withColumn("is_advisory", F.col("is_advisory") | F.coalesce("_ics", F.lit(False))).drop("_ics")
+    else:
+        rows = rows.withColumns({"cisa_kev": F.lit(None).cast("boolean"), "is_advisory": F.lit(None).cast("boolean")})
+    if "epss" in out:
+        likely = rows.select("cluster_id", F.explode("cve_ids").alias("cve_id")).join(out["epss"], "cve_id").groupBy("cluster_id").agg(F.max("epss").alias("max_epss"))
+        rows = rows.join(likely, "cluster_id", "left")
+    else:
+        rows = rows.withColumn("max_epss", F.lit(None).cast("double"))
+    if "scores" not in skip:
+        ready = rows.withColumns({"cve_count": F.size("cve_ids"), "entity_count": F.size("entity_keys"), "credibility": F.col("max_credibility_weight")})
+        rows = importance(ready, as_of).drop("cve_count", "entity_count", "credibility")
+    out["clusters"] = rows
+    return out
+
+
+def rebuilt_all(t: Tables, skip: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The rebuild of the given tables: names of the gazetteer are the first words of benchmark items."""
+    kev = t.part.filter("p_size < 3").select(F.concat(F.lit("CVE-2024-"), 1000 + F.floor(F.col("p_partkey") / 40)).alias("cve_id"), F.col("p_brand").alias("vendor"))
+    name = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), 1, 2), " ")
+    kinds = F.when(F.length("name") % 3 == 0, "actor").when(F.length("name") % 3 == 1, "product").otherwise("malware")
+    gazetteer = t.benchmark.select(name.alias("name")).distinct().select("name", normalized_key(F.col("name")).alias("normalized_key"), F.lit(False).alias("is_alias"), kinds.alias("type"))
+    chunks = t.vectors.select("slug", F.explode(F.array(F.col("vector"), F.transform("vector", lambda x: x * 3), F.lit(None))).alias("embedding"))
+    return rebuild_all(_articles(t), gazetteer, kev, chunks, t.topics.select("cve_id", F.col("epss").cast("double").alias("epss")), "2024-01-30", skip)
+
+
+@query("K13_rebuild_all")
+def _(t: Tables) -> DataFrame:
+    """Clusters of a full rebuild; the tests take its steps one by one."""
+    out = rebuilt_all(t)["clusters"]
+    return out.select("cluster_id", "state", "article_count", "source_count", "latest_at", "max_cvss", "max_epss", "cisa_kev", "is_advisory", "score", "confidence", F.array_join("article_ids", ",").alias("article_ids"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.operators.clusters import assign_by_key, route
 from newsgraph.operators.entities import by_priority, kev_entities, match_gazetteer
-from newsgraph.operators.normalize import PATTERNS, extract_ids, normalize_entries, normalized_key
+from newsgraph.operators.normalize import PATTERNS, extract_ids, normalized_key, url_hash
+from newsgraph.operators.normalizers import normalize_by_source
 from newsgraph.operators.read import at, feed_order, filter_clusters, is_roundup, with_top_article
 from newsgraph.operators.score import mean_vector
-from newsgraph.operators.tables import insert_new, merge_sources, upsert_write_once
-from newsgraph.plans.exchange import written
+from newsgraph.operators.tables import first_by, insert_new, merge_sources, replay_stats, upsert_overwrite, upsert_write_once
+from newsgraph.plans.exchange import shared_folder, small, written
 from newsgraph.registry import Tables, query
 from newsgraph.sources.feeds import read_feed_entries
 
@@ -146,10 +147,23 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).json(path)
 
 
+def migrate(source: DataFrame, key: str, folder: str, batches: int = 8) -> tuple[DataFrame, list[int]]:
+    """A table moved to another one that is keyed by slug, in batches by a hash of the key, and the batches
+    that this run has moved. A batch is a folder that is complete once its writer has ended; what a run
+    before has completed is left alone, so one that broke off goes on where it ended."""
+    spark = source.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = lambda i: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i}/_SUCCESS"))
+    rows = source.withColumnRenamed(key, "slug")
+    moved = [i for i in range(batches) if not done(i)]
+    for i in moved:
+        rows.filter(F.pmod(F.xxhash64("slug"), F.lit(batches)) == i).write.mode("overwrite").parquet(f"{folder}/{i}")
+    return spark.read.schema(rows.schema).parquet(*(f"{folder}/{i}" for i in range(batches))), moved
+
+
 @query("A26_migrate", "select p_partkey as slug, p_name, p_size from part")
 def _(t: Tables) -> DataFrame:
-    """A table moved to another one that is keyed by slug."""
-    return written(t.part.select(F.col("p_partkey").alias("slug"), "p_name", "p_size").repartition("slug"))
+    return migrate(t.part.select("p_partkey", "p_name", "p_size"), "p_partkey", shared_folder(t.spark))[0]
 
 
 @query("A29_copy_fields", "select cve_id, coalesce(case when cvss > 9.7 then 1.0 end, cvss) as cvss from topics")
@@ -180,24 +194,78 @@ def _(t: Tables) -> DataFrame:
     return feed_order(top, "coverage").limit(30).select("id", "slug")
 
 
-def replay(snapshots: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Articles with those of archived feeds that are new, and entries and new rows by source."""
-    entries = read_feed_entries(snapshots).withColumnRenamed("guid", "id")
-    ready = normalize_entries(entries).select("slug", F.sha2("source_url", 256).alias("source_url_hash"), "source_name", F.col("title").alias("published_at"))
-    after = written(insert_new(ready, target))
-    fresh = after.join(target.select("slug"), "slug", "left_anti").groupBy("source_name").agg(F.count("*").alias("upserted"))
-    stats = ready.groupBy("source_name").agg(F.count("*").alias("entries")).join(fresh, "source_name", "left")
-    return after, stats.select("source_name", "entries", F.coalesce("upserted", F.lit(0)).alias("upserted"))
+#: Characters of text below which a body is a teaser, or partial.
+TEASER, PARTIAL = 100, 1500
+
+
+def replay(snapshots: DataFrame, sources: DataFrame, target: DataFrame, mode: str = "insert") -> tuple[DataFrame, DataFrame]:
+    """The target with the articles of archived feeds, written, and the seven counts of replay_stats() by source.
+
+    Entries go through the normaliser of their source. insert: what has a slug and an address that are
+    new is added, the rest is skipped; overwrite: what has a slug that is there replaces it, and
+    nothing is skipped. Of entries with one slug the first by address is written. An entry without a
+    title or a link is an error; feeds of sources that are not known are not replayed. target: slug,
+    source_url_hash, source_name, title, body.
+    """
+    if mode not in ("insert", "overwrite"):
+        raise ValueError(f"no such mode: {mode}")
+    known = snapshots.join(small(sources.select("source_name")), "source_name", "left_semi")
+    entries = read_feed_entries(known).withColumnRenamed("guid", "id").withColumn("author", F.lit(None).cast("string"))
+    text = F.coalesce("content_html", F.lit(""))
+    ready = normalize_by_source(entries, sources).withColumns({"source_url_hash": url_hash(F.col("source_url")), "body": text, "cve_ids": F.coalesce("cve_ids", F.array().cast("array<string>"))})
+    ready = written(ready.select("slug", "source_url_hash", "source_name", "title", "body", "cve_ids"))
+    rows = ready.select(*target.columns)
+    if mode == "insert":
+        after = written(insert_new(rows, target, "source_url_hash"))
+        fresh = after.join(target.select("slug"), "slug", "left_anti").select("slug", "source_url_hash", F.lit(True).alias("new"))
+        # Of rows that are alike one is written.
+        first = F.row_number().over(Window.partitionBy("slug", "source_url_hash").orderBy("title")) == 1
+        marked = ready.withColumn("first", first).join(fresh, ["slug", "source_url_hash"], "left").withColumn("wrote", F.coalesce("new", F.lit(False)) & F.col("first"))
+    else:
+        after = written(upsert_overwrite(first_by(rows, "slug", F.col("source_url_hash"), F.col("title")), target, "slug"))
+        marked = ready.withColumn("wrote", F.lit(True))
+    quality = F.when(F.length("body") < TEASER, "teaser").when(F.length("body") < PARTIAL, "partial").otherwise("ok")
+    parsed = marked.select("source_name", F.lit(True).alias("parsed"), quality.alias("body_quality"), (quality == "teaser").alias("is_teaser"), "cve_ids", "wrote")
+    counts = replay_stats(parsed).drop("errors", "entries")
+    all_of = entries.groupBy("source_name").agg(F.count("*").alias("entries")).join(parsed.groupBy("source_name").agg(F.count("*").alias("good")), "source_name", "left")
+    stats = all_of.withColumn("errors", F.col("entries") - F.coalesce("good", F.lit(0))).drop("good").join(counts, "source_name", "left").na.fill(0)
+    return after, stats.select("source_name", "entries", "upserted", "skipped", "errors", "teasers", "thin_bodies", "articles_with_cves")
+
+
+_REPLAY = """select 'src' || (page_id % 20) as source_name, count(*) as entries, {up} as upserted, count(*) filter (page_id % 7 <> 6) - {up} as skipped, count(*) filter (page_id % 7 = 6) as errors, count(*) filter (page_id % 7 <> 6 and page_id % 4 = 0) as teasers,
+    count(*) filter (page_id % 7 <> 6 and page_id % 4 < 2) as thin_bodies, count(*) filter (page_id % 7 <> 6 and page_id % 20 in (1, 2)) as articles_with_cves from pages where page_id % 20 <> 5 group by 1"""
+
+
+def _replayed(t: Tables, mode: str) -> tuple[DataFrame, DataFrame]:
+    """A third of the entries is there already; some have no title; one source is unknown."""
+    k = F.col("page_id")
+    title = F.when(k % 7 == 6, "").otherwise(F.concat(F.lit("Page "), k))
+    body = F.concat(F.lit("CVE-2024-1234 "), F.repeat(F.lit("x"), F.when(k % 4 == 0, 20).when(k % 4 == 1, 200).otherwise(2000)))
+    raw = F.concat(F.lit("<rss><item><title>"), title, F.lit("</title><link>http://x/"), k, F.lit("</link><description>"), body, F.lit("</description></item></rss>"))
+    snapshots = t.pages.select("page_id", F.concat(F.lit("src"), k % 20).alias("source_name"), raw.alias("raw_content"))
+    names = snapshots.select("source_name").distinct().filter("source_name <> 'src5'")
+    kind = F.when(F.col("source_name").isin("src1", "src2"), "cisa_advisory").otherwise("generic")
+    sources = names.select("source_name", kind.alias("normalizer"), F.lit("low").alias("severity"), F.lit("news").alias("type"), F.lit("x").alias("category"), F.lit(1.0).alias("credibility_weight"))
+    empty = t.pages.limit(0).select(*(F.lit("").alias(c) for c in ("slug", "source_url_hash", "source_name", "title", "body")))
+    target, _ = replay(snapshots.filter("page_id % 3 = 0"), sources, empty)
+    return replay(snapshots, sources, target.withColumn("body", F.lit("old")), mode)
+
+
+@query("A4_replay", _REPLAY.format(up="count(*) filter (page_id % 3 > 0 and page_id % 7 <> 6)"))
+def _(t: Tables) -> DataFrame:
+    return _replayed(t, "insert")[1]
+
+
+@query("A4_overwrite", _REPLAY.format(up="count(*) filter (page_id % 7 <> 6)"))
+def _(t: Tables) -> DataFrame:
+    return _replayed(t, "overwrite")[1]
 
 
-@query("A4_replay", "select 'src' || (page_id % 20) as source_name, count(*) as entries, count(*) filter (page_id % 3 > 0) as upserted from pages group by 1")
+@query("A4_replayed", "select m as mode, count(*) as n, count(*) filter (m = 'insert' and page_id % 3 = 0) as old from pages, (values ('insert'), ('overwrite')) v(m) where page_id % 20 <> 5 and page_id % 7 <> 6 group by 1")
 def _(t: Tables) -> DataFrame:
-    """A third of the entries is there already."""
-    raw = F.concat(F.lit("<rss><item><title>Page "), "page_id", F.lit("</title><link>http://x/"), "page_id", F.lit("</link></item></rss>"))
-    snapshots = t.pages.select("page_id", F.concat(F.lit("src"), F.col("page_id") % 20).alias("source_name"), raw.alias("raw_content"))
-    empty = t.pages.limit(0).select(F.lit("").alias("slug"), F.lit("").alias("source_url_hash"), F.lit("").alias("source_name"), F.lit("").alias("published_at"))
-    target, _ = replay(snapshots.filter("page_id % 3 = 0"), empty)
-    return replay(snapshots, target)[1]
+    """How many articles there are after each way, and how many still have the old body."""
+    one, two = (_replayed(t, m)[0].withColumn("mode", F.lit(m)) for m in ("insert", "overwrite"))
+    return one.unionByName(two).groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("body") == "old").alias("old"))
 
 
 def extract_entities(articles: DataFrame, gazetteer: DataFrame, kev: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from newsgraph.operators import documents, events, normalizers, tables, upserts
+from newsgraph.operators import documents, events, intel, normalizers, tables, upserts
 from newsgraph.streaming import ingest
 
 DAY0 = datetime(2024, 1, 1)
@@ -121,3 +121,12 @@ def test_a_batch_that_fails_between_tables_is_repaired(spark, tmp_path):
     assert count() == [2, 6, 2] and ingest.commits(spark, folder) == [0, 1]
     assert {(r.slug, r.cvss_score, r.severity) for r in ingest.committed(spark, folder, "articles").collect()} == {("a", 9.5, "critical"), ("b", 9.5, "critical")}
     assert {r.normalized_key for r in ingest.committed(spark, folder, "mentions").collect()} == {"cve-2024-1000", "cwe-79", "acme"}
+
+
+def test_a_migration_goes_on_where_it_ended(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "id long, v string")
+    whole, first = intel.migrate(rows, "id", f"file://{tmp_path}/m", 4)
+    assert first == [0, 1, 2, 3] and sorted(map(tuple, whole.collect())) == [(i, f"v{i}") for i in range(100)]
+    Path(f"{tmp_path}/m/2/_SUCCESS").unlink()  # the third batch did not end
+    again, second = intel.migrate(rows, "id", f"file://{tmp_path}/m", 4)
+    assert second == [2] and again.count() == 100 and intel.migrate(rows, "id", f"file://{tmp_path}/m", 4)[1] == []
