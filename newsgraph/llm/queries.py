@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.llm import decontaminate, divergence, exchange, html_text, lexical, minhash, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, url_filter, warc
+from newsgraph.llm.sql_hash import xxh64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +163,15 @@ ORACLE: dict[str, str] = {
           union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from x where n > 0 and p > q),
         r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from a)
         select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10""",
+    "op12_simhash_duplicates": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end) as g from d),
+        u as (select distinct g from s), {xxh64("u")},
+        k as (select doc_id, h, count(*) as n from s join hashed using (g) group by 1, 2), c as (select doc_id, bit, 2 * sum(case when (h >> bit) & 1 = 1 then n else 0 end) > sum(n) as one from k, (select unnest(range(64))::ubigint as bit) z group by 1, 2),
+        f as (select doc_id, coalesce(sum(case when one then (1::hugeint << bit::int) else 0 end), 0)::ubigint as code from d left join c using (doc_id) group by 1), n as (select code, min(doc_id) as least from f group by 1),
+        e as (select x.code as a, y.code as b from n x join n y on x.code <> y.code and bit_count(xor(x.code, y.code)) <= 2), r as (select code, code as root from n union select e.b, r.root from r join e on e.a = r.code),
+        m as (select r.code, min(n.least) as component_id from r join n on n.code = r.root group by 1)
+        select doc_id, lower(lpad(hex(code), 16, '0')) as fingerprint, component_id from f join m using (code)""",
     "op13_ranked_search": r"""
         with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
         q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -163,6 +164,17 @@ def test_links_of_crowded_buckets(spark, monkeypatch, open_bits):
     assert len({(find(c), want[c]) for c in codes}) == len({find(c) for c in codes}) == len(set(want.values()))
 
 
+def test_hashes_in_sql():
+    from newsgraph.llm.sql_hash import xxh64
+
+    con = duckdb.connect()
+    r = random.Random(2)
+    texts = ["", *("".join(r.choice("ab é日") for _ in range(n)) for n in range(1, 90))]
+    con.execute("create table u (g varchar)")
+    con.executemany("insert into u values (?)", [(t,) for t in texts])
+    assert dict(con.execute(f"with {xxh64('u')} select g, h from hashed").fetchall()) == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+
+
 def test_masks_leave_few_bits_open_and_one_agrees():
     levels = simhash.masks(2)
     assert all(64 - m.bit_count() <= simhash.OPEN for m in levels[-1])

@@ -11,7 +11,7 @@ from newsgraph.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     result = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in result.description]
