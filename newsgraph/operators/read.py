@@ -378,7 +378,7 @@ def digest(rows: DataFrame, since: Column, until: Column, newest: int = 5) -> Da
     counts = inside.groupBy("category").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     top = top_per_group(inside, "category", newest, F.desc("published_at"), F.asc("slug"))
-    return top.join(F.broadcast(counts), "category").crossJoin(F.broadcast(total)).select("category", "total", "n", "rank", "slug", "published_at")
+    return top.join(counts, "category").crossJoin(F.broadcast(total)).select("category", "total", "n", "rank", "slug", "published_at")
 
 
 _DIGEST = """with i as (select * from posts where published_at >= timestamp '{0}' and published_at < timestamp '{1}')
