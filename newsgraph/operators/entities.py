@@ -124,7 +124,17 @@ def assemble_spans(tokens: DataFrame, texts: DataFrame, limits: dict[str, float]
     return named.withColumn("normalized_key", normalized_key(F.col("name"))).groupBy("slug", "type", "normalized_key").agg(F.count("*").alias("mentions"), F.max("score").alias("score"), F.min("name").alias("name"))
 
 
-@query("N11_spans")
+@query(
+    "N11_spans",
+    r"""with w as (select slug, title, string_split(title, ' ') as ws from articles), k as (select slug, title, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from w),
+    s as (select *, coalesce(sum(length(w) + 1) over (partition by slug order by i rows between unbounded preceding and 1 preceding), 0)::bigint as st, regexp_matches(w, '^\p{Lu}') as first from k),
+    t as (select *, st + length(w) as en, 0.4::double + (length(w) % 6)::double / 10 as score, case when first then 'actor' when regexp_matches(w, '^[aeiou]') then 'malware' end as type from s),
+    n as (select *, case when first or type is distinct from lag(type) over (partition by slug order by i) then 1 else 0 end as new from t), r as (select *, sum(new) over (partition by slug order by i) as run from n),
+    p as (select slug, title, run, type, avg(score) as score, min(st) as st, max(en) as en from r where type is not null group by all having avg(score) >= 0.5), b as (select *, lag(en) over (partition by slug, type order by st) as before from p),
+    g as (select *, sum(case when before is null or st - before > 1 or regexp_matches(substring(title, before + 1, st - before), '[.!?]') then 1 else 0 end) over (partition by slug, type order by st) as grp from b),
+    j as (select slug, title, type, grp, min(st) as st, max(en) as en, avg(score) as score from g group by all), m as (select *, substring(title, st + 1, en - st) as name from j)
+    select slug, type, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as normalized_key, count(*) as mentions, max(score) as score, min(name) as name from m group by 1, 2, 3""",
+)
 def _(t: Tables) -> DataFrame:
     """Token table derived from the articles: capitalised words in a row are one name."""
     words = t.articles.select("slug", F.posexplode(F.split("title", " ")).alias("word_id", "w"), "title")
