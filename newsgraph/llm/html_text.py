@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,48 +22,95 @@ SKIPPED = frozenset(
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that an end tag is left out of often: a new one of the group ends an open one.
-IMPLIED = {
-    "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
-    "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
-}
 #: What a block element begins ends an open paragraph; these stop the search for it.
-SCOPE = frozenset("article section main div body td th li table blockquote aside header footer nav form".split())
-#: Words of a class, id or role that mark what is beside the article, and words that go with them.
-BESIDE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus "
-    "dropdown footer gdpr header masthead menu modal nav navbar navigation navlinks newsletter notice notification pagination pager popup promo promoted promotion recommended "
-    "recommendations related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
+SCOPE = frozenset("article section main div body td th li table blockquote aside header footer nav form ul ol dl select".split())
+#: Elements that an end tag is left out of often: what a new one ends, and what stops the search for that.
+ENDS = {
+    "li": (("li",), SCOPE - {"li"}), "dt": (("dt", "dd"), SCOPE), "dd": (("dt", "dd"), SCOPE), "option": (("option",), SCOPE),
+    "tr": (("tr",), frozenset(["table"])), "td": (("td", "th"), frozenset(["table", "tr"])), "th": (("td", "th"), frozenset(["table", "tr"])),
+}
+#: Blocks that are lines of what they stand in, and parts of an article that need not be prose.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr thead tbody tfoot caption figcaption legend summary address option hr br html".split())
+PARTS = frozenset("ul ol dl table td th blockquote pre figure details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class, id or role that hardly ever mark article text, and those that may.
+APART = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs contentinfo cookie cookies consent copyright dropdown footer gdpr menu modal nav navbar navigation navlinks newsletter "
+    "notice notification pagination pager popup promo promoted promotion share sharing sidebar signup skip social sponsor sponsored subscribe subscription".split()
 )
+BESIDE = APART | frozenset("banner complementary header masthead recommended recommendations related search tags teaser toolbar topbar widget".split())
+#: Words that go with all of them, those that a part of the article may end with (post-header), and
+#: those that tell a state of the page (has-sidebar).
 NEUTRAL = frozenset("area bar block bottom box button buttons container content form group inner item items left link links list main outer page policy right section site slot small top unit wrap wrapper".split())
-#: Of those, words that a part of the article may end with, as in post-header.
 OWN = frozenset("header search share tags".split())
-#: Containers of which one encloses the article.
-REGIONS = frozenset("article main section div body td".split())
+STATE = frozenset("has with no open closed without".split())
+#: Reader comments: words that are enough, words that go with "comment", and who says what.
+COMMENTS = frozenset("comments commentlist disqus respond".split())
+OF_COMMENT = frozenset("area author block body box container content count form item list meta reply section text thread threads wrapper".split())
+READERS, TALK = frozenset("reader readers user users visitor visitors guest".split()), frozenset("comment remark remarks reply replies discussion responses feedback thread".split())
 #: On the scale of log1p(characters outside links for each tag): what a line beside an article or
-#: main element lacks, and what is prose anyhow, so that a page of prose only is not split.
-PRIOR, PROSE = 1.0, float(np.log1p(25))
+#: main element lacks, what the two kinds of words take from a line, and what is prose anyhow, so that
+#: a page of prose only is not split.
+PRIOR, DOUBT, STRONG, PROSE = 1.0, 1.0, 3.0, float(np.log1p(25))
 
 
-def beside(marks: str) -> bool:
-    """Whether a class, id or role says that an element is beside the article: it ends with such a
-    word (page-sidebar), or holds one and else only words that go with all (sidebar-left)."""
-    for mark in re.sub(r"([a-z])([A-Z])", r"\1-\2", marks).lower().split():
-        parts = [x for x in re.split(r"[-_0-9]+", mark) if x]
-        if parts and (parts[-1] in BESIDE - OWN or any(x in BESIDE for x in parts) and all(x in BESIDE or x in NEUTRAL for x in parts)):
+def _words(marks: str) -> list[set[str]]:
+    parts = ([x for x in re.split(r"[-_0-9]+", m) if x] for m in re.sub(r"([a-z])([A-Z])", r"\1-\2", marks).lower().split())
+    return [set(p) | {"." + p[-1]} for p in parts if p and not STATE & set(p)]
+
+
+def of_readers(marks: str, tag: str) -> bool:
+    """Whether a class, id or role names reader comments; of paragraphs, "comment" alone does not."""
+    for p in _words(marks):
+        alone = len(p) == 2 and tag not in ("p", "blockquote", "pre") and tag not in INLINE
+        if p & COMMENTS or "comment" in p and (alone or p & OF_COMMENT) or p & READERS and p & TALK:
             return True
     return False
 
 
+def doubt(marks: str) -> float:
+    """What a class, id or role takes from the ratio of the lines in its element: it ends with such a
+    word (page-sidebar), or holds one and else only words that go with all (sidebar-left)."""
+    most = 0.0
+    for p in _words(marks):
+        parts = {x for x in p if x[0] != "."}
+        last = {x[1:] for x in p - parts}
+        if last & (BESIDE - OWN) or parts & BESIDE and parts <= BESIDE | NEUTRAL:
+            most = max(most, STRONG if parts & APART else DOUBT)
+    return most
+
+
+class _Open(NamedTuple):
+    """An open element: whether it is left out, what its marks take from a line, the container and block of its text."""
+
+    tag: str
+    left_out: bool
+    doubt: float
+    node: int
+    block: str
+
+
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    doubt: float
+    node: int
+    block: str
+
+
 class _Lines(HTMLParser):
-    """Blocks of a page as lines: text, tags in and before it, length in links, open regions."""
+    """Blocks of a page as lines, and the containers around them, numbered from the root (0) on so
+    that each comes after its parent. Places of open elements are kept by name, so that no event
+    walks through all that are open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it is left out, its region
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.open: list[_Open] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.lines: list[_Line] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.regions = 0
+        self.tags = self.linked = 0
         self.parent = [0]
         self.kind = ["body"]
         self.ended = False
@@ -82,13 +132,22 @@ class _Lines(HTMLParser):
     def parse_pi(self, i: int) -> int:
         return self._until(">", i + 2)
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> _Open:
+        return self.open[-1] if self.open else _Open("body", False, 0.0, 0, "body")
+
+    def _last(self, names: Iterable[str]) -> int:
+        """The place of the last open element of these names, or -1."""
+        return max((self.at[x][-1] for x in names if self.at[x]), default=-1)
+
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
 
     def _break(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self._state()[1]))
+            now = self._state()
+            self.lines.append(_Line(text, self.tags, self.linked, now.doubt, now.node, now.block))
             self.tags = self.linked = 0
         self.text = []
 
@@ -98,28 +157,30 @@ class _Lines(HTMLParser):
             self.handle_data(" ")
         elif tag not in INLINE:
             self._break()
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name in IMPLIED.get(tag, ("p",)):
-                    del self.open[i:]
-                    break
-                if name in SCOPE or name in ("ul", "ol", "dl", "select"):
-                    break
+            ends, stops = ENDS.get(tag, (("p",), SCOPE))
+            place = self._last(ends)
+            if place >= 0 and place >= self._last(stops):
+                self._close(place)
         if tag in VOID:
             return
-        left_out, region = self._state()
+        _, left_out, lacks, node, block = self._state()
         given = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        if tag in SKIPPED and not (tag == "header" and self._inside("article", "main")):
+        if tag in SKIPPED and not (tag == "header" and (self.at["article"] or self.at["main"])):
             left_out = True
-        elif tag not in ("html", "body", "article", "main") and given:
+        elif tag not in ("html", "body", "main") and given:
             marks = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-            left_out |= beside(marks) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        if tag in REGIONS:
-            self.regions += 1
-            self.parent.append(region)
-            self.kind.append(tag)
-            region = self.regions
-        self.open.append((tag, left_out, region))
+            left_out |= of_readers(marks, tag)
+            if tag != "article":
+                left_out |= "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
+                lacks = max(lacks, doubt(marks))
+        if tag not in INLINE:
+            block = tag
+            if tag not in LINES and tag != "body":
+                self.parent.append(node)
+                self.kind.append(tag)
+                node = len(self.kind) - 1
+        self.at[tag].append(len(self.open))
+        self.open.append(_Open(tag, left_out, lacks, node, block))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -130,23 +191,17 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self._break()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-            if tag in INLINE and self.open[i][0] in SCOPE:
-                break
+        place = self._last((tag,))
+        if place >= 0 and not (tag in INLINE and place < self._last(SCOPE)):
+            self._close(place)
 
     def handle_data(self, data: str) -> None:
-        if self._state()[0]:
+        if self._state().left_out:
             return
         self.text.append(data)
-        if any(x[0] == "a" for x in self.open[-6:]):
+        if self.at["a"]:
             self.linked += len(data.strip())
 
-    def _inside(self, *names: str) -> bool:
-        return any(x[0] in names for x in self.open)
-
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing over the neighbouring lines, normalised at both ends."""
@@ -187,31 +242,86 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = page.lines
     if not lines:
         return ""
-    # Characters outside links for each tag; then the two clusters of the smoothed ratios.
-    size = np.array([max(0, len(text) - linked) for text, _, linked, _ in lines], float)
-    ratio = size / np.maximum(1, [tags for _, tags, _, _ in lines])
-    smooth = np.log1p(smoothed(ratio, sigma))
-    # An article or main element is a prior: beside one, a line needs more for its tags.
-    chains = []
-    for _, _, _, region in lines:
-        chain = [region]
-        while region:
-            region = page.parent[region]
-            chain.append(region)
-        chains.append(chain)
-    named = np.array([any(page.kind[r] in ("article", "main") for r in chain) for chain in chains])
-    prior = np.where(named, 0.0, PRIOR) if named.any() else np.zeros(len(lines))
+    node = np.array([x.node for x in lines])
+    chars, linked, lacks = (np.array([f(x) for x in lines], float) for f in (lambda x: len(x.text), lambda x: x.linked, lambda x: x.doubt))
+    # Characters outside links for each tag, smoothed over the lines.
+    size = np.maximum(0, chars - linked)
+    smooth = np.log1p(smoothed(size / np.maximum(1, [x.tags for x in lines]), sigma))
+    # An article or main element is a prior: beside one, a line needs more for its tags, as it does
+    # in elements whose names speak against it.
+    named = _down(page.parent, [k in ("article", "main") for k in page.kind])
+    prior = lacks + (np.where(named[node], 0.0, PRIOR) if named[node].any() else 0.0)
     smooth, own = smooth - prior, np.log1p(size / 2) - prior
-    cut = min(threshold(smooth), PROSE) if len(lines) > 1 else -np.inf
+    # The two clusters; what a name all but rules out is no content unless it is prose even so.
+    open_to = lacks < STRONG
+    cut = min(threshold(smooth[open_to]), PROSE) if open_to.sum() > 1 else -np.inf
+    cuts = np.where(open_to, cut, PROSE)
     # Smoothing lifts what stands next to the article; a line that selects is above the cut by itself
     # too, with the two tags of a paragraph, as those of the containers around it say nothing of it.
-    content = (smooth >= cut) & (own >= cut)
+    content = (smooth >= cuts) & (own >= cuts)
+    if not content.any():
+        content = open_to & (smooth >= cut)
     if not content.any():
-        content = smooth >= cut
-    # The smallest region that encloses all content lines, taken as a whole.
-    common = set.intersection(*(set(chain) for chain, good in zip(chains, content, strict=True) if good))
-    best = next(r for r in chains[int(np.argmax(content))] if r in common)
-    return "\n".join(text for (text, _, _, _), chain in zip(lines, chains, strict=True) if best in chain)
+        return ""
+    # Article and main elements that hold most of the prose hold all of it.
+    inside = content & named[node]
+    if inside.any() and 2 * size[inside].sum() >= size[content].sum():
+        content = inside
+    keep = content | _belongs(page, node, content, chars, linked, named) & (lacks == 0)
+    return "\n".join(x.text for x, good in zip(lines, keep, strict=True) if good)
+
+
+def _down(parent: list[int], marked: list[bool]) -> np.ndarray:
+    """Which containers are marked or within a marked one."""
+    out = list(marked)
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[parent[i]]
+    return np.array(out)
+
+
+def _up(parent: list[int], values: np.ndarray, join) -> np.ndarray:
+    """The values of containers joined with those of all within them."""
+    out = values.tolist()
+    for i in range(len(out) - 1, 0, -1):
+        out[parent[i]] = join(out[parent[i]], out[i])
+    return np.array(out)
+
+
+def _belongs(page: _Lines, node: np.ndarray, content: np.ndarray, chars: np.ndarray, linked: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """Which lines go with the content: in the smallest container of all content (or the article
+    element around it), those of a block that holds content lines itself or of an article: its lines
+    and headings, lists, tables and quotes, unless links make most of such a part, and whatever
+    stands between content lines.
+    """
+    n, parent, kind = len(page.kind), page.parent, page.kind
+    number = np.arange(len(node))
+    count = _up(parent, np.bincount(node[content], minlength=n), add)
+    region = inner = int(np.flatnonzero(count == count[0])[-1])
+    while inner and kind[inner] != "article":
+        inner = parent[inner]
+    region = inner or region
+    first, last, letters, links = np.full(n, len(node)), np.full(n, -1), np.zeros(n), np.zeros(n)
+    np.minimum.at(first, node[content], number[content])
+    np.maximum.at(last, node[content], number[content])
+    np.add.at(letters, node, chars)
+    np.add.at(links, node, linked)
+    own = last >= 0
+    first, last, letters, links = _up(parent, first, min), _up(parent, last, max), _up(parent, letters, add), _up(parent, links, add)
+    in_region = _down(parent, [i == region for i in range(n)])
+    one = _down(parent, (in_region & (own | named)).tolist())
+    # The smallest container with content around each container without, and the part of it.
+    around, part = list(range(n)), list(range(n))
+    for i in range(1, n):
+        if count[i] == 0:
+            p = parent[i]
+            around[i], part[i] = (around[p], part[p]) if count[p] == 0 else (p, i)
+    c, b = np.array(around)[node], np.array(part)[node]
+    direct = c == node
+    heading = np.array([x.block in HEADINGS for x in page.lines])
+    between = (first[c] < number) & (number < last[c])
+    by_links = np.where(direct, False, 2 * links[b] > letters[b])
+    fits = named[c] | direct | np.array([k in PARTS for k in kind])[b]
+    return in_region[node] & (between & (one[c] | (c > 0) & ~by_links) | one[c] & (heading & direct | ~by_links & fits))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], html_col: str) -> Iterator[pa.RecordBatch]:
@@ -225,10 +335,14 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace the HTML of every page by its main text and n_chars, the code points of that.
 
     Events of the streaming parser give lines (blocks) with their text-to-tag ratio; smoothing
-    and a threshold between two clusters mark content lines, and the smallest region that encloses
-    all of them is kept as a whole (article and main elements are a prior), without elements that stand beside an article by their name, class, id or
-    role. Null or empty HTML, or nothing found: empty text. Columns of pages named text and
-    n_chars are replaced. One pass, no shuffle.
+    and a threshold between two clusters mark content lines. An article or main element is a prior
+    for its lines, words of a class, id or role are one against theirs (reader comments, navigation,
+    forms and the like are left out). Kept are the content lines and, in the smallest container that
+    encloses all of them, what belongs to these (see _belongs): links and notices around them go.
+
+    Null or empty HTML, or nothing found: empty text. Equal pages give equal texts, each its row.
+    Nested and unclosed elements take time linear in the page, however deep they are. Columns of
+    pages named text and n_chars are replaced. One pass, no shuffle.
     """
     base = pages.drop("text", "n_chars")
     rest = [f for f in base.schema if f.name != html_col]
