@@ -29,6 +29,8 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
+
+
 def host(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; '' without :// or for null."""
     found = F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)
@@ -83,10 +85,12 @@ def _log_probabilities(counts: np.ndarray) -> np.ndarray:
 
 
 class UrlModel:
-    """log p_rejected - log p_accepted of each character in its context, and a threshold."""
+    """log p_rejected - log p_accepted of each character in its context, and a threshold; lost,
+    recall and precision are those of the threshold on URLs of hosts that were not counted."""
 
-    def __init__(self, ratio: np.ndarray, threshold: float = 0.0):
+    def __init__(self, ratio: np.ndarray, threshold: float = 0.0, lost: float | None = None, recall: float | None = None, precision: float | None = None):
         self.ratio, self.threshold = ratio, threshold
+        self.lost, self.recall, self.precision = lost, recall, precision
 
     def score(self, url: str | None) -> float:
         """The difference per character; 0 for no URL."""
@@ -94,50 +98,66 @@ class UrlModel:
         return float(self.ratio[g].mean()) if len(g) else 0.0
 
     def scores(self, url: Column) -> Column:
-        ratio = self.ratio
+        return _scores([self.ratio], url, F.lit(0))
+
+
+def _scores(ratios: list[np.ndarray], url: Column, which: Column) -> Column:
+    """The score of each URL by one of the models."""
+
+    @F.pandas_udf("double")
+    def scored(urls: pd.Series, which: pd.Series) -> pd.Series:
+        models = [UrlModel(x) for x in ratios]
+        return pd.Series([models[k].score(u) for u, k in zip(urls, which, strict=True)], dtype="float64")
+
+    return scored(url, which)
 
-        @F.pandas_udf("double")
-        def scored(urls: pd.Series) -> pd.Series:
-            model = UrlModel(ratio)
-            return pd.Series([model.score(u) for u in urls], dtype="float64")
 
-        return scored(url)
+def _ratio(counts: np.ndarray) -> np.ndarray:
+    """The differences from the counts of both kinds (accepted, rejected)."""
+    accepted, rejected = (_log_probabilities(x) for x in counts)
+    return (rejected - accepted).astype(np.float32)
 
 
-def fit(labelled: DataFrame, url_col: str = "url", rejected_col: str = "rejected", most_lost: float = 0.001, folds: int = 5) -> UrlModel | None:
-    """Count every labelled URL and calibrate the threshold on one fold that is not counted.
+def fit(labelled: DataFrame, url_col: str = "url", rejected_col: str = "rejected", most_lost: float = 0.01, folds: int = 5) -> UrlModel | None:
+    """Count every labelled URL; calibrate the threshold on all of them, each by a model without its fold.
 
-    Counts are made where the URLs are: distinct (label, gram) with partial aggregation, of which
-    there are at most 2 * SYMBOLS ** (ORDER + 1) however many URLs there are. Folds are of whole
-    hosts, so the fold has other hosts than those counted. The threshold is the least score (on a
-    grid of 0.01) that leaves at most `most_lost` of the accepted URLs of the fold above it, but
-    not below 0. None without URLs of both kinds.
+    Counts are made where the URLs are: distinct (fold, label, gram) with partial aggregation, of
+    which there are at most 2 * folds * SYMBOLS ** (ORDER + 1) however many URLs there are. Folds
+    are of whole hosts, so a URL is scored by a model that has not counted its host. The threshold
+    is the least score (on a grid of 0.01, not below 0) above which are at most `most_lost` of the
+    accepted URLs; as all of them are scored, 100 URLs are enough for a loss of 0.01. Null URL or
+    label: not counted. Repeated URLs count as often as they occur. None without URLs of both kinds.
     """
     rows = labelled.select(F.col(url_col).alias("url"), F.col(rejected_col).cast("boolean").alias("rejected")).filter("url is not null and rejected is not null")
-    fold = F.pmod(F.xxhash64(host(F.col("url"))), F.lit(folds))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(host(F.col("url"))), F.lit(folds)).cast("int"))
 
     @F.pandas_udf("array<int>")
     def all_grams(urls: pd.Series) -> pd.Series:
         return urls.map(lambda u: grams(u).astype(np.int32))
 
-    counted = rows.filter(fold != 0).select("rejected", F.explode(all_grams("url")).alias("gram")).groupBy("rejected", "gram").count().toPandas()
+    counted = rows.select("fold", "rejected", F.explode(all_grams("url")).alias("gram")).groupBy("fold", "rejected", "gram").count().toPandas()
     if counted["rejected"].nunique() < 2:
         return None
-    logs = []
-    for kind in (True, False):
-        part, counts = counted[counted["rejected"] == kind], np.zeros(SYMBOLS ** (ORDER + 1))
-        counts[part["gram"].to_numpy()] = part["count"].to_numpy()
-        logs.append(_log_probabilities(counts))
-    model = UrlModel((logs[0] - logs[1]).astype(np.float32))
-    cell = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.ceil(model.scores(F.col("url")) * 100)))
-    held = rows.filter((fold == 0) & ~F.col("rejected")).groupBy(cell.alias("cell")).count().toPandas().sort_values("cell", ascending=False)
-    above, model.threshold = 0, 0.0
-    for c, n in zip(held["cell"], held["count"], strict=True):
-        above += n
-        if above > most_lost * held["count"].sum():
-            model.threshold = max(0.0, c / 100)
-            break
-    return model
+    counts = np.zeros((2, SYMBOLS ** (ORDER + 1)))
+    kind, gram, n = counted["rejected"].to_numpy().astype(int), counted["gram"].to_numpy(), counted["count"].to_numpy()
+    np.add.at(counts, (kind, gram), n)
+    ratios = []
+    for k in range(folds):
+        own = (counted["fold"] == k).to_numpy()
+        rest = counts.copy()
+        np.subtract.at(rest, (kind[own], gram[own]), n[own])
+        ratios.append(_ratio(rest))
+    cell = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.ceil(_scores(ratios, F.col("url"), F.col("fold")) * 100)))
+    held = rows.groupBy("rejected", cell.alias("cell")).count().toPandas()
+    totals = {k: held.loc[held["rejected"] == k, "count"].sum() for k in (True, False)}
+
+    def above(limit: int, rejected: bool) -> int:
+        return int(held.loc[(held["rejected"] == rejected) & (held["cell"] > limit), "count"].sum())
+
+    # Above the greatest score there is none.
+    limit = next(c for c in range(0, 1001) if above(c, False) <= most_lost * totals[False])
+    lost, caught = above(limit, False), above(limit, True)
+    return UrlModel(_ratio(counts), limit / 100, lost / totals[False], caught / totals[True], caught / (caught + lost) if caught + lost else None)
 
 
 def labels_from_text(pages: DataFrame, url_col: str = "url", text_col: str = "text", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -159,8 +179,9 @@ def filter_urls(urls: DataFrame, model: UrlModel | None, rules: tuple[tuple[str,
     """Judge every URL: add host, path, rule, score and verdict (allow or block).
 
     The longest rule that fits decides; where none does, the model blocks scores above its
-    threshold and allows the rest. Null or empty URL: empty host and path, score 0, allow.
-    Columns of urls with these names are replaced. One pass, no shuffle.
+    threshold and allows the rest. Null or empty URL: empty host and path, score 0, allow. Every
+    character of a long URL counts; equal URLs get equal verdicts, each in its row. Columns of urls
+    with these names are replaced. One pass, no shuffle.
     """
     ruled = with_rules(urls.drop("host", "path", "rule", "score", "verdict"), rules, url_col)
     score, limit = (F.lit(0.0), 0.0) if model is None else (model.scores(F.col(url_col)), model.threshold)
