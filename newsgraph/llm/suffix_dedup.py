@@ -75,8 +75,8 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of texts, each with an owner (its document).
 
     Suffixes end with their text; equal suffixes stand in the order of the texts. Kept are the
-    runs (byte, first row, rank of the first row among rows of that byte) and, sampled where a
-    run or a group of rows with equal first `depth` bytes ends, the least owner of the group.
+    runs (byte, first row, rank of the first row among rows of that byte) and, for each group of
+    rows with equal first `depth` bytes (which may span runs), the least owner of the group.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, owners: np.ndarray, depth: int):
