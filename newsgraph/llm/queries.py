@@ -98,7 +98,21 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _found_by(rules: tuple[secrets.Rule, ...]) -> str:
+#: Fixed values, written out here and not taken from the operator: the contract's patterns with the
+#: least length of what they find, then those that the method adds.
+_SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "(AKIA[A-Z0-9]+)", 20),
+    ("hex", "([0-9a-f]+)", 24),
+    ("private_key", "(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1),
+    ("github", "(gh[pousr]_[A-Za-z0-9]{36,})", 40),
+    ("google", "(AIza[0-9A-Za-z_-]{35})", 39),
+    ("slack", "(xox[abprs]-[A-Za-z0-9-]{10,})", 15),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 38),
+)
+
+
+def _found_by(rules: tuple[tuple[str, str, int], ...]) -> str:
     """(doc_id, place, kind, s, e) of the matches of every rule that are long enough: the text is cut
     before each match by marks of the private area, and lengths are summed."""
     cut, value, end = (f"chr({0xE000 + i})" for i in range(3))
@@ -106,7 +120,7 @@ def _found_by(rules: tuple[secrets.Rule, ...]) -> str:
         select doc_id, j, case when j = 1 then 0 else length(split_part(p, {value}, 1)) end as m, case when j = 1 then '' else split_part(split_part(p, {value}, 2), {end}, 1) end as v,
           case when j = 1 then length(p) else length(p) - length(split_part(p, {value}, 1)) - length(split_part(split_part(p, {value}, 2), {end}, 1)) - 2 end as rest
         from (select doc_id, unnest(x) as p, generate_subscripts(x, 1) as j from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '({pattern})', {cut} || '\\1' || {value} || '\\2' || {end}, 'g'), {cut}) as x from documents)))) where j > 1 and length(v) >= {least}"""
-    return " union all ".join(one.format(place=i, kind=r.kind, pattern=r.pattern.replace("'", "''"), least=r.least, cut=cut, value=value, end=end) for i, r in enumerate(rules))
+    return " union all ".join(one.format(place=i, kind=kind, pattern=pattern.replace("'", "''"), least=least, cut=cut, value=value, end=end) for i, (kind, pattern, least) in enumerate(rules))
 
 
 ORACLE: dict[str, str] = {
@@ -131,7 +145,7 @@ ORACLE: dict[str, str] = {
         k as (select doc_id, min(root) as component_id from r group by 1)
         select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from d join k using (doc_id) left join n using (doc_id)""",
     "op7_secret_scan": f"""
-        with f as ({_found_by(secrets.RULES)}),
+        with f as ({_found_by(_SECRETS)}),
         g as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h,
           string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (place < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans from f group by doc_id)
         select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join g using (doc_id)""",
