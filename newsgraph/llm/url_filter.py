@@ -25,7 +25,7 @@ _CODE[[ord("."), ord("/"), ord("-")]] = 28, 29, 30
 RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )

@@ -27,6 +27,18 @@ def test_rules_equal_sql(spark, sf):
     assert sum(r.rule is not None for r in got.values()) > 10
 
 
+# The contract's list, word for word.
+CONTRACT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def test_verdicts_of_the_contract(spark):
+    """Each rule decides as its word in the contract says, on its host and on a subdomain."""
+    want = {rule: word for word, rule in (x.split() for x in CONTRACT.split(", "))}
+    urls = [f"http://{sub}{rule}1" for sub in ("", "a.") for rule in want]
+    got = url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), None).collect()
+    assert sorted((r.rule, r.verdict) for r in got) == sorted(2 * list(want.items()))
+
+
 def _made(r: random.Random, n_hosts: int, each: int) -> list[tuple[str, bool]]:
     """Hosts of two vocabularies of syllables over the same letters, with the same ends and paths."""
     kinds = {True: ["lor", "tana", "resi", "nolat", "erit", "sal"], False: ["rol", "anat", "iser", "talon", "tire", "las"]}
