@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from newsgraph.streaming import lifecycle
+import pytest
+
+from newsgraph.streaming import jobs, lifecycle
 
 DAY0 = datetime(2024, 1, 1)
 
@@ -34,3 +36,14 @@ def test_lifecycle_across_restarts(spark, tmp_path):
     assert run() == [("y", "new", 14)]
     land([("x", "6", 40), ("z", "2", 40)])  # gaps within a batch
     assert run() == [("x", "new", 40), ("x", "resolved", 25.5), ("y", "resolved", 24), ("z", "new", 40), ("z", "resolved", 23)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_landed_file_or_folder(spark, sf, tmp_path, files):
+    """A table that is a folder of files lands as a whole, as one that is a file does; other tables stay out."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    if files > 1:
+        events.repartition(files).write.parquet(f"{tmp_path}/events.parquet")
+        events.limit(5).write.parquet(f"{tmp_path}/more_events.parquet")
+    out = jobs.run_to_end(jobs.landed(spark, str(tmp_path) if files > 1 else sf, "events").select("event_id"), "append")
+    assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
