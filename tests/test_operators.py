@@ -232,3 +232,11 @@ def test_rebuild_skips_steps(spark, sf):
     assert any(r.entity_count for r in whole) and any(r.centroid for r in whole) and all(r.entity_count is r.centroid is r.max_epss is None for r in part)
     with pytest.raises(ValueError, match="no such steps"):
         intel.rebuilt(t, ("all",))
+
+
+def test_entities_read_the_texts_once(spark, sf):
+    """What follows the three sets of entities reads their table and not the texts again."""
+    from newsgraph.registry import QUERIES
+
+    plan = QUERIES["N13_entities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan
