@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgraph.operators.assignment import assign_clusters, routed
+from newsgraph.operators.assignment import Profiles, assign_clusters, described, profile_scores, routed, scored_keys
 from newsgraph.operators.clusters import SIGNATURE, connected, event_signature
 from newsgraph.operators.intel import extract_entities
 from newsgraph.operators.normalize import normalized_key
 from newsgraph.operators.read import at, cluster_type, idf
-from newsgraph.operators.score import MERGE, calibrated, cosine, importance, lifecycle, mean_vector, pair_scores
+from newsgraph.operators.score import MERGE, importance, lifecycle, mean_vector
 from newsgraph.operators.tables import mark_kev
-from newsgraph.operators.windows import interval_join
 from newsgraph.plans.exchange import written
 from newsgraph.registry import Tables, query
 
@@ -110,19 +109,21 @@ def detect_merges(clusters: DataFrame, weights: DataFrame, as_of: Column, hours:
     clusters: rows of build_clusters() and updated_at. Those of the last `hours` that are not resolved are
     compared with all that are not resolved and share a CVE, an alias or a campaign with them: K2 of
     the signature of the one and the founding of the other, with their centroids; where both are
-    recent the better of the two counts. Keys of very many clusters meet in parts (interval_join).
+    recent the better of the two counts. They are scored in blocks (profile_scores), as common keys
+    make pairs with the square of the clusters; only pairs that score enough are moved, and of
+    these those count that share such a key.
     """
-    live = clusters.filter("state <> 'resolved'")
+    live = clusters.filter("state <> 'resolved'").withColumn("profile", F.col("cluster_id").cast("long"))
     recent = live.filter(F.col("updated_at") >= as_of - F.make_dt_interval(hours=F.lit(hours)))
-    entities = written(signature_entities(live))
-    keys = entities.filter(F.col("type").isin("cve", "vuln_alias", "campaign")).withColumn("at", F.lit("2000-01-01").cast("timestamp"))
-    mine = keys.join(recent.select(F.col("cluster_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "slug")
-    pairs = interval_join(mine, keys.withColumnRenamed("at", "latest"), ["type", "normalized_key"], "at", "latest").filter("slug <> id").select("slug", "id").distinct()
-    vectors = live.select(F.col("cluster_id").alias("id"), "centroid")
-    pairs = pairs.join(vectors, "id").join(vectors.select(F.col("id").alias("slug"), F.col("centroid").alias("other")), "slug")
-    pairs = written(pairs.select("slug", "id", calibrated(F.round(cosine(F.col("centroid"), F.col("other")), 9)).alias("embed")))
-    founding = live.select(F.col("cluster_id").alias("id"), F.explode("founding").alias("x")).select("id", "x.*")
-    scored = pair_scores(pairs, entities.withColumnRenamed("id", "slug"), founding, weights).filter(F.round("score", 9) >= least)
+    entities, weights = written(signature_entities(live)), written(weights)
+    vectors = live.filter("centroid is not null").select("profile", F.col("centroid").alias("vector"))
+    told = lambda types: described(Profiles(None, types, scored_keys(types, "profile"), vectors), weights)
+    mine, theirs = told(entities.withColumnRenamed("id", "profile")), told(live.select("profile", F.explode("founding").alias("x")).select("profile", "x.*"))
+    asking = recent.select("profile", as_of.alias("until"), F.lit(None).cast("double").alias("sure"))
+    stored = live.select("profile", as_of.alias("since"), F.lit(False).alias("steady"), F.lit(None).cast("string").alias("first"))
+    near = profile_scores(asking, stored, mine, least, theirs).filter("a <> b").select(F.col("a").alias("slug"), F.col("b").alias("id"))
+    keys = entities.filter(F.col("type").isin("cve", "vuln_alias", "campaign"))
+    scored = near.join(keys.withColumnRenamed("id", "slug"), "slug").join(keys, ["id", "type", "normalized_key"], "left_semi").select("slug", "id")
     roots = connected(scored.select(F.least("slug", "id").alias("a"), F.greatest("slug", "id").alias("b")).distinct())
     sizes = live.select(F.col("cluster_id").alias("id"), "article_count")
     best = roots.join(sizes, "id").groupBy("root").agg(F.max_by("id", F.struct("article_count", -F.col("id"))).alias("survivor"))
