@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -213,6 +214,17 @@ def test_fuzzy_terms_equal_all_pairs(spark):
     assert {(r.query, r.term) for r in search.fuzzy_terms(frame(words), frame(words[::5])).collect()} == want
 
 
+def test_short_words_meet_by_what_their_query_allows(spark):
+    """Words that have two characters in common are not compared where one edit is allowed, nor any where none is."""
+    words = ["".join(w) for n in (1, 2, 4) for w in itertools.product("abcde", repeat=n)]
+    frame = spark.createDataFrame([(w,) for w in words], "term string")
+    pairs = search.fuzzy_pairs(frame, frame).select("query", "term").distinct()
+    sizes = {r.n: r["count"] for r in pairs.groupBy(F.length("query").alias("n")).count().collect()}
+    assert (sizes[1], sizes[2]) == (5, 25)
+    # Four letters of five: a query meets what has three of its own in order, not all that has two.
+    assert sizes[4] < 625 * 80
+
+
 def test_upserts_go_on_after_a_restart(spark, tmp_path):
     schema = "slug long, category string"
     target = spark.createDataFrame([(1, "old")], schema)
