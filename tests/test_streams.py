@@ -47,3 +47,37 @@ def test_landed_file_or_folder(spark, sf, tmp_path, files):
         events.limit(5).write.parquet(f"{tmp_path}/more_events.parquet")
     out = jobs.run_to_end(jobs.landed(spark, str(tmp_path) if files > 1 else sf, "events").select("event_id"), "append")
     assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
+
+
+def test_lifecycle_keeps_slugs_in_lists(monkeypatch):
+    """Few reads and writes of the state for many articles; copies are known in any batch, as lists split and lives end."""
+    from types import SimpleNamespace
+
+    calls, stored, timers = [], {}, set()
+
+    class Map:
+        getValue = lambda self, k: calls.append("read") or stored.get(k)
+        updateValue = lambda self, k, v: calls.append("write") or stored.__setitem__(k, v)
+        containsKey = lambda self, k: calls.append("read") or k in stored
+        clear = lambda self: stored.clear()
+
+    class Value:
+        now = None
+        get = lambda self: self.now
+        exists = lambda self: self.now is not None
+        update = lambda self, v: setattr(self, "now", v)
+        clear = lambda self: setattr(self, "now", None)
+
+    steps = lifecycle.Lifecycle("id", 10_000)
+    steps.init(SimpleNamespace(getValueState=lambda *_: Value(), getMapState=lambda *_: Map(), registerTimer=timers.add, deleteTimer=timers.discard))
+    run = lambda rows: [(r["state"], r["ms"]) for r in steps.handleInputRows(("x",), iter([{"ms": ms, "slug": s} for ms, s in rows]), None)]
+    assert run([(i, f"s{i % 3000}") for i in range(6000)]) == [("new", 0), ("developing", 1), ("confirmed", 2)]
+    assert len(calls) < 100 and timers == {12_999}
+    assert sorted(s for v in stored.values() for s in v[0]) == sorted({f"s{i}" for i in range(3000)})
+    for i in range(3000, 6000, 500):  # copies of all, and 500 that are new: some lists split again
+        assert run([(i, f"s{j}") for j in range(i + 500)]) == []
+    assert steps.active.now[0] == 6000
+    calls.clear()
+    assert run([(5500, "s7"), (5500, "t")]) == [] and len(calls) <= 3
+    assert run([(30_000, "s7"), (50_000, "s7")]) == [("resolved", 15_500), ("new", 30_000), ("resolved", 40_000), ("new", 50_000)]
+    assert [v[0] for v in stored.values()] == [["s7"]] and timers == {60_000}
