@@ -189,7 +189,12 @@ def _articles(t: Tables) -> DataFrame:
     return t.articles.withColumn("credibility_weight", F.col("credibility_weight").cast("double")).withColumn("cvss_score", F.col("cvss_score").cast("double"))
 
 
+def _once(t: Tables) -> Tables:
+    return t.once("doc_id", "title", "category", "content_type", "cvss_score", "credibility_weight")
+
+
 def _built(t: Tables) -> DataFrame:
+    t = _once(t)
     return build_clusters(t.articles.select(_of_five(), "slug"), _articles(t), t.mentions, t.vectors)
 
 
@@ -244,6 +249,7 @@ def _(t: Tables) -> DataFrame:
 @query("K6_update", _BUILD_SQL)
 def _(t: Tables) -> DataFrame:
     """Clusters of some of their members, of which those that got more are built anew."""
+    t = _once(t)
     some = t.articles.filter("doc_id % 3 > 0 or doc_id % 10 < 5").select(_of_five(), "slug")
     old = build_clusters(some, _articles(t), t.mentions, t.vectors)
     late = t.articles.filter("doc_id % 3 = 0 and doc_id % 10 >= 5").select(_of_five())

@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsgraph import catalog  # noqa: F401
 from newsgraph.functions.references import unescape
 from newsgraph.operators import clusters, entities, intel, normalize, read, score, search, tables
-from newsgraph.registry import Tables
+from newsgraph.registry import QUERIES, Tables
 from newsgraph.sources import feeds
 from newsgraph.streaming import jobs
 
@@ -225,6 +226,13 @@ def test_short_words_meet_by_what_their_query_allows(spark):
     assert sizes[4] < 625 * 80
 
 
+@pytest.mark.parametrize("name", ["K2_pair_score", "W2_best_candidate", "K5_build", "K6_update"])
+def test_texts_are_not_read_for_each_part(spark, sf, name):
+    """What is left to do after the tables in the shared folder reads no texts."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "text:string" not in plan
+
+
 def test_upserts_go_on_after_a_restart(spark, tmp_path):
     schema = "slug long, category string"
     target = spark.createDataFrame([(1, "old")], schema)
