@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -233,6 +234,19 @@ def test_texts_are_not_read_for_each_part(spark, sf, name):
     assert "ReadSchema" in plan and "text:string" not in plan
 
 
+def test_spans_are_dealt_by_the_number_of_tokens(spark, monkeypatch):
+    """More tokens make more tasks, not larger ones; the spans are the same."""
+    rows = [(f"s{i}", j, j, "B-tool" if j % 3 else "O", 0.9, 4 * j, 4 * j + 3) for i in range(40) for j in range(10)]
+    frame = spark.createDataFrame(rows, "slug string, idx int, word_id int, label string, score double, start long, end long")
+    texts = spark.createDataFrame([(f"s{i}", "abc " * 10) for i in range(40)], "slug string, text string")
+    whole = sorted(map(tuple, entities.assemble_spans(frame, texts).collect()))
+    monkeypatch.setattr(entities, "TOKENS", 30)
+    dealt = entities.assemble_spans(frame, texts)
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 40
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(slug#\d+L?, 14\), REPARTITION_BY_NUM", plan)
+
+
 def test_upserts_go_on_after_a_restart(spark, tmp_path):
     schema = "slug long, category string"
     target = spark.createDataFrame([(1, "old")], schema)
