@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from newsgraph import catalog  # noqa: F401
 from newsgraph.functions.references import unescape
 from newsgraph.operators import clusters, entities, intel, normalize, read, score, search, tables
-from newsgraph.registry import QUERIES, Tables
+from newsgraph.registry import ORACLE, QUERIES, Tables
 from newsgraph.sources import feeds
 from newsgraph.streaming import jobs
 
@@ -39,6 +40,17 @@ def test_broken_feed_items_cost_only_themselves(spark):
     assert {r.title for r in got} >= {"A", "C & D"}
 
 
+def test_entries_of_odd_texts_equal_sql(spark, tmp_path):
+    texts = [None, "", "  ", "\u00a0\u3000", "\n", "a\u00a0", " b\u2009 ", "&lt;", "&amp;lt;", "&&amp;&", "AT&T;", "&#65;", "x" * 493 + "&lt;" + "y" * 9, "x" * 490 + "  \u00a0  y"]
+    spark.createDataFrame([(10 * i + k, t) for k in range(4) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["N1_normalize_entries"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLE["N1_normalize_entries"]).fetchall())
+    entries = spark.createDataFrame([("\u3000a&nbsp;", " http://x ", None), ("&#160;", "http://x", "1"), ("b", "\u00a0", "2")], "title string, link string, id string")
+    assert [(r.title, r.guid) for r in normalize.normalize_entries(entries).collect()] == [("a", "http://x")]
+
+
 def test_excerpt(spark):
     texts = ["A whole sentence that is long enough to stay when the rest is cut away here. And a rest without", "Short rest", "Done."]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalize.clean_excerpt(F.col("t"))).collect()]
