@@ -20,6 +20,9 @@ STEP = 20
 GROUP = 200
 #: How often they do, before one after the other is compared with all the rest.
 LEVELS = 2
+#: Shingles that all hash functions take at once; their values have the same room each time, which stays in the cache.
+PART = 1024
+_ROOM: dict[int, np.ndarray] = {}
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -38,7 +41,7 @@ def shingle_sets(column: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
         cuts = np.searchsorted(found.doc[starts], np.arange(b - a + 1)).tolist()
         for i in range(b - a):
             if cuts[i] < cuts[i + 1]:
-                yield np.unique(hashes[cuts[i] : cuts[i + 1]])
+                yield _distinct(hashes[cuts[i] : cuts[i + 1]])
             elif found.per_doc[i]:
                 lo, hi = found.first[i], found.first[i + 1]
                 sums = blocks.prefix(found.hash[lo:hi], blocks._SEQ)
@@ -47,6 +50,12 @@ def shingle_sets(column: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
                 yield _NONE
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct ones of some hashes; by sorting, as np.unique() is slower on few."""
+    ordered = np.sort(hashes)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+
+
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = np.random.default_rng(7).integers(0, 2**64, (2, n), dtype=np.uint64)
     return both[0] | np.uint64(1), both[1]
@@ -55,10 +64,15 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     """The least of each of n hash functions over the shingles, 32 bits each."""
     a, b = (x[:, None] for x in _multipliers(n))
-    out = np.full(n, 2**32 - 1, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        out = np.minimum(out, ((shingles[i : i + 2048] * a + b) >> np.uint64(32)).min(axis=1))
-    return out.astype(np.uint32)
+    room = _ROOM[n] = _ROOM[n] if n in _ROOM else np.empty(n * PART, np.uint64)
+    out = np.full(n, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), PART):
+        part = shingles[i : i + PART]
+        products = room[: n * len(part)].reshape(n, -1)
+        np.multiply(part, a, out=products)
+        np.add(products, b, out=products)
+        np.minimum(out, products.min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def _print(shingles: np.ndarray) -> bytes | None:

@@ -6,8 +6,10 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -545,3 +547,17 @@ def test_pipeline_equals_plain_python(spark, sf):
     plain = [" ".join(WORD.findall(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {r.doc_id for r in corpus_pipeline.drop_benchmark_leaks(spark, good, sf).collect()}
     assert left == {i for i, t in texts.items() if not any(p in " ".join(WORD.findall(t)) for p in plain)}
+
+
+def test_signature_values():
+    """The least value of each hash function, whatever the number of parts, without large arrays made for each text."""
+    a, b = minhash._multipliers(120)
+    for size in (1, 7, minhash.PART, 2 * minhash.PART + 3):
+        shingles = np.random.default_rng(size).integers(0, 2**64, size, dtype=np.uint64)
+        want = [min((int(x) * int(m) + int(c)) % 2**64 >> 32 for x in shingles) for m, c in zip(a, b, strict=True)]
+        assert minhash.signature(shingles, 120).tolist() == want
+        tracemalloc.start()
+        minhash.signature(shingles, 120)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300_000
