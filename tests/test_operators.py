@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,22 @@ def test_components_of_a_chain(spark):
     assert set(roots.values()) == {0, 100} and len(roots) == 53
 
 
+def test_components_without_rounds(spark, monkeypatch):
+    """Few links need no rounds; many are linked within their partitions first, whatever is held at once."""
+    edges = [(i, i + 1) for i in range(0, 900)] + [(2000, 2000), (3001, 3000)]
+    random.Random(1).shuffle(edges)
+    want = {i: 0 for i in range(901)} | {2000: 2000, 3000: 3000, 3001: 3000}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert {r.id: r.root for r in clusters.connected(frame, rounds=0).collect()} == want
+    assert {r.id: r.root for r in clusters.connected(frame, few=0).collect()} == want
+    assert {r.id: r.root for r in clusters.connected(frame.coalesce(1), rounds=2, few=0).collect()} == want
+    names = frame.select(*(F.concat(F.lit("a"), c).alias(c) for c in "ab"))
+    assert {r.id: r.root for r in clusters.connected(names).collect()} == {f"a{i}": min(f"a{j}" for j in want if want[j] == root) for i, root in want.items()}
+    monkeypatch.setattr(clusters, "FEW", 50)
+    parts = pa.table({"a": [x for x, _ in edges], "b": [y for _, y in edges]}).to_batches(7)
+    assert {x: y for batch in clusters._forest(iter(parts)) for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)} == want
+
+
 def test_nearest_over_many_blocks(spark):
     """Blocks follow the counts, with equal vectors that tie; sub-blocks hold fewer rows than ties."""
     rnd = np.random.default_rng(2)
